@@ -10,14 +10,16 @@ from lithoframe.runtime import table
 
 #: Metres within which traces of two lines count as near.
 NEAR_M = 15.0
+#: Metres per side of a block's cell, the same in both joins, so that they share the blocks.
+CELL_M = 64.0
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, id_a, id_b: traces of different lines at most 15 m apart, and traces inside rectangles."""
     points = distinct_positions(table(spark, sf_dir, "trajectory"), "trace_id", "line")
     ranges = normal_ranges(table(spark, sf_dir, "xy_ranges"))
-    near = near_pairs(points, NEAR_M).select(F.lit("near").alias("kind"), "id_a", "id_b")
-    inside = containing_ranges(points, ranges).select(F.lit("inside").alias("kind"), "id_a", "id_b")
+    near = near_pairs(points, NEAR_M, CELL_M).select(F.lit("near").alias("kind"), "id_a", "id_b")
+    inside = containing_ranges(points, ranges, CELL_M).select(F.lit("inside").alias("kind"), "id_a", "id_b")
     return near.unionByName(inside).distinct()
 
 
