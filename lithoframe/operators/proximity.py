@@ -40,7 +40,7 @@ def blocks_of(points: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
     points of the blocks that met only, so a group that stands still costs one block.
     """
     pts = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    return pts, pts.groupBy("cx", "cy", "grp").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(F.col("grp") == NO_GROUP).alias("none"))
+    return pts, pts.groupBy("cx", "cy", "grp").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
 def near_pairs(points: DataFrame, distance: float, cell: float | None = None) -> DataFrame:
@@ -66,9 +66,11 @@ def near_pairs(points: DataFrame, distance: float, cell: float | None = None) ->
     gap = lambda k: F.greatest(F.lit(0.0), F.col(f"a_{k}0") - F.col(f"b_{k}1"), F.col(f"b_{k}0") - F.col(f"a_{k}1"))
     far = lambda k: F.greatest(F.col(f"a_{k}1") - F.col(f"b_{k}0"), F.col(f"b_{k}1") - F.col(f"a_{k}0"))
     limit = distance * distance
+    # Of both sides at once: a filter on one would sink below the shared exchange and split it in two.
+    known = (F.least("a_grp", "b_grp") != NO_GROUP) & (F.greatest("a_grp", "b_grp") != NO_GROUP)
     met = (
         home.join(spread, ["a_cx", "a_cy"])
-        .where((F.col("a_grp") < F.col("b_grp")) & ~(F.col("a_none") | F.col("b_none")) & (gap("x") * gap("x") + gap("y") * gap("y") <= limit * (1 + 1e-9)))
+        .where((F.col("a_grp") < F.col("b_grp")) & known & (gap("x") * gap("x") + gap("y") * gap("y") <= limit * (1 + 1e-9)))
         .withColumn("inner", far("x") * far("x") + far("y") * far("y") <= limit * (1 - 1e-9))
         .select("a_cx", "a_cy", "a_grp", "b_cx", "b_cy", "b_grp", "b_x0", "b_x1", "b_y0", "b_y1", "inner")
     )
