@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lithoframe.llm.bpe import count_tokens, decode_ids, encode_texts
 from lithoframe.llm.packing import pack_counted
 from lithoframe.llm.runs import collapse_runs
+from lithoframe.llm.sentences import split_sentences
 from lithoframe.runtime import table
 
 #: Metres a position may be from the one before within a standing stretch.
@@ -40,6 +41,16 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_counted(count_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "token_budgets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, end_char: the end of every sentence of every document."""
+    return split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "end_char")
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence in order with its span and text."""
+    return split_sentences(table(spark, sf_dir, "documents"), with_text=True)
+
+
 _P2 = """
 WITH t AS (SELECT line, trace, min(x) AS x, min(y) AS y, min(fix_time) AS ft FROM trajectory WHERE valid AND isfinite(x) AND isfinite(y) AND line IS NOT NULL AND trace IS NOT NULL GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) <= 1 THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY line ORDER BY trace)),
@@ -47,7 +58,7 @@ g AS (SELECT *, sum(st) OVER (PARTITION BY line ORDER BY trace) AS isl FROM s)
 SELECT line, min(trace) AS first_trace, max(trace) AS last_trace{more} FROM g GROUP BY line, isl HAVING count(*) >= 2
 """
 
-QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers}
+QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = {
     "p2_found": _P2.format(more=""),
     "p2_runs": _P2.format(more=", count(*) AS n_traces, round((epoch_us(max_by(ft, trace)) - epoch_us(min_by(ft, trace))) / 1e6, 3) AS duration_s"),
