@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.llm.bpe import count_tokens, decode_ids, encode_texts
+from lithoframe.llm.mojibake import repair
 from lithoframe.llm.packing import pack_counted
 from lithoframe.llm.runs import collapse_runs
 from lithoframe.llm.sentences import split_sentences
@@ -26,6 +27,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_runs(spark, sf_dir).select("line", "first_trace", "last_trace")
 
 
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every header with garbled lines, its text as far as it can be restored, and how."""
+    return repair(table(spark, sf_dir, "text_headers")).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """header_id of every header of which any part was read in the wrong encoding."""
+    return repair(table(spark, sf_dir, "text_headers")).where("header_id is not null").select("header_id").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document's text by byte_bpe_50k, without special tokens; null and empty texts have no ids."""
     return encode_texts(table(spark, sf_dir, "documents"))
@@ -58,7 +69,7 @@ g AS (SELECT *, sum(st) OVER (PARTITION BY line ORDER BY trace) AS isl FROM s)
 SELECT line, min(trace) AS first_trace, max(trace) AS last_trace{more} FROM g GROUP BY line, isl HAVING count(*) >= 2
 """
 
-QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = {
     "p2_found": _P2.format(more=""),
     "p2_runs": _P2.format(more=", count(*) AS n_traces, round((epoch_us(max_by(ft, trace)) - epoch_us(min_by(ft, trace))) / 1e6, 3) AS duration_s"),
