@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +62,33 @@ def finite(c):
 
 def data_dir(sf: str = "sf0.001") -> str:
     return os.path.join(os.environ.get("LITHOFRAME_DATA", "/root/testdata"), sf)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, unless PYTHONPATH already does.
+
+    Spark serves the archive to every executor; the driver keeps it in its own temporary folder.
+    """
+    root = Path(__file__).resolve().parent
+    if any(Path(p, root.name).is_dir() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_lithoframe_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lithoframe-")) / "lithoframe.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._lithoframe_shipped = True
+
+
+def shipped(query):
+    """The query, run after ship()."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
