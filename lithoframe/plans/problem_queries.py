@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.operators.proximity import containing_ranges, distinct_positions, near_pairs, normal_ranges
+from lithoframe.operators.units import common_units, units_sql
 from lithoframe.runtime import table
 
 #: Metres within which traces of two lines count as near.
@@ -35,5 +36,25 @@ UNION
 SELECT DISTINCT 'inside', t.trace_id, r.range_id FROM t JOIN r ON t.x BETWEEN r.x0 AND r.x1 AND t.y BETWEEN r.y0 AND r.y1
 """
 
-QUERIES = {"p1_found": p1_found}
-SQL = {"p1_found": _P1_SQL}
+
+
+def p5_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid trace with its position in common units, and whether navigation overruled the records."""
+    common = common_units(*(table(spark, sf_dir, t) for t in ("trace_coordinates", "segy_files", "navigation")))
+    return common.select("coord_id", F.round("x_exact", 3).alias("x_exact"), F.round("y_exact", 3).alias("y_exact"), "x_common", "y_common", "mended")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """coord_id, x_common, y_common of the valid traces whose recorded x or y isn't the common value yet."""
+    common = common_units(*(table(spark, sf_dir, t) for t in ("trace_coordinates", "segy_files", "navigation")))
+    return common.where("x <> x_common OR y <> y_common").select("coord_id", "x_common", "y_common").distinct()
+
+
+_P5_SQL = units_sql("trace_coordinates", "segy_files", "navigation", "duckdb")
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_common": p5_common}
+SQL = {
+    "p1_found": _P1_SQL,
+    "p5_found": f"SELECT DISTINCT coord_id, x_common, y_common FROM ({_P5_SQL}) c WHERE x <> x_common OR y <> y_common",
+    "p5_common": f"SELECT coord_id, round(x_exact, 3) AS x_exact, round(y_exact, 3) AS y_exact, x_common, y_common, mended FROM ({_P5_SQL}) c",
+}
