@@ -35,7 +35,7 @@ MEMORY = 100_000
 
 _DIGITS, _BLANKS, _RULERS = re.compile(r"[0-9]+"), re.compile(r"[ \t\r\n]+"), re.compile(r"([^\w\s])\1+")
 _BREAK = re.compile(r"(\r\n|\n|\r)")
-_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f�-]")
+_CONTROL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\ufffd\\ue000-\\uf8ff]")
 
 
 def normal_line(line: str) -> str:
@@ -174,7 +174,7 @@ def repair(df: DataFrame, id_col: str = "header_id", text_col: str = "text") ->
                     line = parts[i]
                     if not line or line.isspace():
                         continue
-                    lost = "�" in line
+                    lost = "\ufffd" in line
                     key = normal_line(line)
                     steps = memory.get(key)
                     if steps is None:
@@ -190,7 +190,7 @@ def repair(df: DataFrame, id_col: str = "header_id", text_col: str = "text") ->
                         fixed = _restore(line, pair_model.chain(line))
                     if fixed is not None and fixed != line:
                         parts[i] = fixed
-                        n_mended += "�" not in fixed
+                        n_mended += "\ufffd" not in fixed
                         how[" ".join(f"{r}>{w}" for r, w in steps)] = None
                 if n_bad:
                     at.append(row)

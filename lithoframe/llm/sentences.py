@@ -42,7 +42,7 @@ CLOSE_OF = {"«": "»", "“": "”", "„": "“”", "「": "」", "『": "』
 CLOSERS = "»”“」』)）]】》\""
 HARD = "。｡．！？।॥؟۔;…"  # ends that need no blank behind them
 _MARK = (
-    r"(?P<brk>(?:[^\S\r\n  ]*(?:\r\n|[\r\n  ]))+)"
+    r"(?P<brk>(?:[^\S\r\n\u2028\u2029]*(?:\r\n|[\r\n\u2028\u2029]))+)"
     r"|(?P<end>[.!?。｡．！？।॥؟۔;…]+|(?<=\p{Greek});)"
     r"|(?P<open>[«„「『(（\[【《])|(?P<close>[»”」』)）\]】》])|(?P<both>[“\"])"
     r"|(?<=\p{Thai})(?P<thai>[^\S\r\n]+)(?=\p{Thai}|\p{Lu}\p{Ll})"
@@ -129,7 +129,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 
     def breaks(m) -> int:
         s = m.group()
-        return s.count("\n") + s.count("\r") - s.count("\r\n") + s.count(" ") + s.count(" ")
+        return s.count("\n") + s.count("\r") - s.count("\r\n") + s.count("\u2028") + s.count("\u2029")
 
     limit = -1  # block_end, found when first needed
     pos = 0
