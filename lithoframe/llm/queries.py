@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.llm.bpe import count_tokens, decode_ids, encode_texts
+from lithoframe.llm.linkage import link
 from lithoframe.llm.mojibake import repair
 from lithoframe.llm.packing import pack_counted
 from lithoframe.llm.runs import collapse_runs
@@ -14,6 +15,8 @@ from lithoframe.runtime import table
 
 #: Metres a position may be from the one before within a standing stretch.
 STILL_M = 1.0
+#: Confidence from which a pair of records counts as one trace.
+SURE = 0.5
 
 
 def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_runs(spark, sf_dir).select("line", "first_trace", "last_trace")
 
 
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best A record of every B record, with the confidence that both are one trace."""
+    a, b, labels = (table(spark, sf_dir, t) for t in ("prestack_records", "prestack_records_b", "match_labels"))
+    return link(a, b, labels)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a_record_id, b_record_id of the pairs that are more likely one trace than not."""
+    return p3_pairs(spark, sf_dir).where(F.col("confidence") >= SURE).select("a_record_id", "b_record_id").distinct()
+
+
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every header with garbled lines, its text as far as it can be restored, and how."""
     return repair(table(spark, sf_dir, "text_headers")).distinct()
@@ -69,7 +83,7 @@ g AS (SELECT *, sum(st) OVER (PARTITION BY line ORDER BY trace) AS isl FROM s)
 SELECT line, min(trace) AS first_trace, max(trace) AS last_trace{more} FROM g GROUP BY line, isl HAVING count(*) >= 2
 """
 
-QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = {
     "p2_found": _P2.format(more=""),
     "p2_runs": _P2.format(more=", count(*) AS n_traces, round((epoch_us(max_by(ft, trace)) - epoch_us(min_by(ft, trace))) / 1e6, 3) AS duration_s"),
