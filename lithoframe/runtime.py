@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from functools import wraps
 from pathlib import Path
@@ -33,18 +34,20 @@ def local_session(app: str = "lithoframe", cores: int | str = 8, partitions: int
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests, a laptop) one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lithoframe-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests, a laptop) a folder of this machine is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithoframe-"))
-    return df.checkpoint(eager=True)
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written to a table in the shared folder and read back, so losing executors loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/lithoframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
