@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.functions.scalar import is_finite
+from lithoframe.operators.gathers import with_flags
 
 
 def _kind(kind: str) -> tuple[str, str, str, str]:
@@ -26,9 +27,9 @@ def id_conflicts(df: DataFrame, kind: str, with_zero: bool = False) -> DataFrame
 def identity_flags(df: DataFrame, kind: str) -> DataFrame:
     """One row (conflict, all_have_ids, uses_coordinates): how points of the kind are told apart."""
     i, _, _, has = _kind(kind)
-    return df.agg(F.coalesce(F.bool_and(F.when(F.col(has), F.coalesce(F.col(i), F.lit(0)) != 0)), F.lit(False)).alias("all_have_ids")).join(
-        id_conflicts(df, kind).agg((F.count(F.lit(1)) > 0).alias("conflict")), how="inner"
-    ).select("conflict", "all_have_ids", (F.col("conflict") | ~F.col("all_have_ids")).alias("uses_coordinates"))
+    named = df.agg(F.coalesce(F.bool_and(F.when(F.col(has), F.coalesce(F.col(i), F.lit(0)) != 0)), F.lit(False)).alias("all_have_ids"))
+    both = with_flags(named, id_conflicts(df, kind).agg((F.count(F.lit(1)) > 0).alias("conflict")))
+    return both.select("conflict", "all_have_ids", (F.col("conflict") | ~F.col("all_have_ids")).alias("uses_coordinates"))
 
 
 def points(df: DataFrame, kind: str, by_place: bool) -> DataFrame:

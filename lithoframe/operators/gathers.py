@@ -21,8 +21,9 @@ def azimuth_bin(width: float = AZIMUTH_WIDTH) -> Column:
 
 
 def with_flags(df: DataFrame, flags: DataFrame) -> DataFrame:
-    """The table with a one-row table's columns: file-level facts that steer row-level choices."""
-    return df.join(F.broadcast(flags), how="inner")  # one row by construction: an ungrouped aggregate
+    """The table with a one-row table's columns: file-level facts, as a scalar subquery, that steer row-level choices. Null if there is no such row."""
+    facts = flags.select(F.struct(*flags.columns).alias("f")).scalar()
+    return df.withColumn("_facts", facts).select(*df.columns, *(F.col(f"_facts.{c}").alias(c) for c in flags.columns))
 
 
 def cmp_keys(df: DataFrame, flags: DataFrame) -> DataFrame:

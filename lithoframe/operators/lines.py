@@ -46,8 +46,8 @@ def nearest_along(line: DataFrame, targets: DataFrame, position: str = "distance
 
 
 def even_targets(line: DataFrame, width: int) -> DataFrame:
-    """(line, qid, target): so many positions evenly spread over each line's distance."""
-    ends = with_distance(line).groupBy("line").agg(F.min("distance").alias("a"), F.max("distance").alias("b"))
+    """(line, qid, target): so many positions evenly spread over each line's distance (line, distance)."""
+    ends = line.groupBy("line").agg(F.min("distance").alias("a"), F.max("distance").alias("b"))
     return ends.select("line", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))).alias("qid"), "a", "b").select("line", "qid", (F.col("a") + (F.col("b") - F.col("a")) * F.col("qid") / F.lit(float(max(width - 1, 1)))).alias("target"))
 
 

@@ -135,14 +135,14 @@ def line_summary(spark, sf):
 
 
 @query(
-    _DIST
+    _DIST.replace("sum(d) OVER (PARTITION BY line ORDER BY trace) AS distance", "round(sum(d) OVER (PARTITION BY line ORDER BY trace), 4) AS distance")
     + """, e AS (SELECT line, min(distance) AS a, max(distance) AS b FROM ds GROUP BY 1), t AS (SELECT line, q AS qid, a + (b - a) * q / 8.0 AS target FROM e, generate_series(0, 8) g(q)),
 m AS (SELECT t.line, qid, target, ds.trace, ds.distance, row_number() OVER (PARTITION BY t.line, qid ORDER BY abs(ds.distance - target), ds.distance, ds.trace) AS rn FROM t JOIN ds ON ds.line = t.line) SELECT line, qid, trace FROM m WHERE rn = 1"""
 )
 def trace_at_distance(spark, sf):
     """The trace nearest to each of nine even distances of every line."""
-    line = trajectory(spark, sf)
-    return lines.nearest_along(lines.with_distance(line), lines.even_targets(line, 9))
+    line = lines.with_distance(trajectory(spark, sf)).withColumn("distance", F.round("distance", 4))
+    return lines.nearest_along(line, lines.even_targets(line, 9))
 
 
 @query(TRJ + " SELECT line, trace, round(d2, 4) AS d2 FROM (SELECT line, trace, (x - 3000) * (x - 3000) + (y - 3005000) * (y - 3005000) AS d2, row_number() OVER (PARTITION BY line ORDER BY (x - 3000) * (x - 3000) + (y - 3005000) * (y - 3005000), trace) AS rn FROM trj) t WHERE rn = 1")
