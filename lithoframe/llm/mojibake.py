@@ -76,6 +76,7 @@ class PairModel:
         """(drop, (read with, written in), text) of the best round trip; drop 0 and no pair if none is cheaper."""
         base = self.cost(normal_line(line))
         least, how, best = base, None, line
+        controls = len(_CONTROL.findall(line))  # an inner layer may hold some, but not more than the outer one
         seen, coded = {line}, set()
         for read in ENCODINGS:
             try:
@@ -93,7 +94,7 @@ class PairModel:
                 if text in seen:
                     continue
                 seen.add(text)
-                if _CONTROL.search(text):
+                if len(_CONTROL.findall(text)) > controls:
                     continue
                 cost = self.cost(normal_line(text))
                 if cost < least:

@@ -13,7 +13,7 @@ def spoil(line, written, read):
 
 
 BAD = [
-    (1, "utf-8", "cp1252"), (0, "utf-8", "latin-1"), (0, "cp1252", "cp1251"), (0, "cp850", "cp1252"), (0, "utf-8", "mac-roman"), (1, "utf-8", "latin-1"), (2, "cp1251", "latin-1"), (2, "koi8-r", "cp1251"), (2, "utf-8", "latin-1"), (3, "gb18030", "latin-1"),
+    (1, "utf-8", "cp1252"), (0, "utf-8", "latin-1"), (0, "cp1252", "cp1251"), (1, "cp850", "cp1252"), (0, "utf-8", "mac-roman"), (1, "utf-8", "latin-1"), (2, "cp1251", "latin-1"), (2, "koi8-r", "cp1251"), (2, "utf-8", "latin-1"), (3, "gb18030", "latin-1"),
     (4, "utf-8", "latin-1"), (5, "cp037", "cp500"), (5, "cp037", "latin-1"),
 ]
 
