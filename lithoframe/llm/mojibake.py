@@ -58,6 +58,9 @@ class PairModel:
     def __init__(self, chars: dict[int, int], pairs: dict[int, int], pairs2: dict[int, int]) -> None:
         self.chars, self.pairs, self.pairs2, self.total = chars, pairs, pairs2, sum(chars.values()) + 1.0
         self.memory: dict[tuple[int, int, int, int], float] = {}
+        self.known = {chr(slot) for slot in chars}
+        #: What a character that the corpus doesn't have costs at least.
+        self.unknown = math.log((self.total + 0.01 * CHAR_SLOTS) / 0.01)
 
     def cost(self, line: str) -> float:
         first, pair, pair2 = _pairs(line)
@@ -94,9 +97,10 @@ class PairModel:
                 if text in seen:
                     continue
                 seen.add(text)
-                if len(_CONTROL.findall(text)) > controls:
-                    continue
-                cost = self.cost(normal_line(text))
+                alike = normal_line(text)
+                if len(set(alike) - self.known) * self.unknown > least or len(_CONTROL.findall(text)) > controls:
+                    continue  # can't be cheaper, or isn't text
+                cost = self.cost(alike)
                 if cost < least:
                     least, how, best = cost, (read, written), text
         return base - least, how, best
