@@ -59,7 +59,7 @@ def nearest_rank(ranks: DataFrame, queries: DataFrame) -> DataFrame:
     )
     at = F.when(F.col("rank").isNotNull(), F.struct("v", "rank"))
     below = F.last(at, ignorenulls=True).over(Window.orderBy("v", F.col("rank").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(at, ignorenulls=True).over(Window.orderBy("v", F.col("rank").isNotNull()).rowsBetween(0, Window.unboundedFollowing))
+    above = F.last(at, ignorenulls=True).over(Window.orderBy(F.desc("v"), F.col("rank").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     merged = both.select("qid", "v", below.alias("lo"), above.alias("hi")).where("qid IS NOT NULL")
     nearest = F.when(F.col("lo").isNull() | F.col("hi").isNull(), F.lit(-1)).when(F.col("v") - F.col("lo.v") <= F.col("hi.v") - F.col("v"), F.col("lo.rank")).otherwise(F.col("hi.rank"))
     return merged.select("qid", nearest.alias("rank"))

@@ -39,7 +39,8 @@ def nearest_along(line: DataFrame, targets: DataFrame, position: str = "distance
     both = line.select("line", F.col(position).alias("p"), "trace", F.lit(None).cast("bigint").alias("qid")).unionByName(targets.select("line", F.col("target").alias("p"), F.lit(None).cast("bigint").alias("trace"), "qid"))
     at = F.when(F.col("trace").isNotNull(), F.struct("p", "trace"))
     left = F.last(at, ignorenulls=True).over(Window.partitionBy("line").orderBy("p", F.col("trace").isNull(), F.col("trace").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(at, ignorenulls=True).over(Window.partitionBy("line").orderBy("p", F.col("trace").isNotNull(), "trace").rowsBetween(0, Window.unboundedFollowing))
+    # the right one is the last one of the reversed order: a frame that ends at the row is one pass, one that starts there isn't
+    right = F.last(at, ignorenulls=True).over(Window.partitionBy("line").orderBy(F.desc("p"), F.col("trace").isNull(), F.desc("trace")).rowsBetween(Window.unboundedPreceding, 0))
     found = both.select("line", "qid", "p", left.alias("l"), right.alias("r")).where("qid IS NOT NULL")
     nearest = F.when(F.col("r").isNull(), F.col("l.trace")).when(F.col("l").isNull(), F.col("r.trace")).when(F.col("p") - F.col("l.p") <= F.col("r.p") - F.col("p"), F.col("l.trace")).otherwise(F.col("r.trace"))
     return found.select("line", "qid", nearest.alias("trace"))
@@ -122,7 +123,7 @@ def interpolate(queries: DataFrame, nav: DataFrame) -> DataFrame:
     """(line, trace, x, y): the navigation polyline at each query's trace; queries outside its range have no row."""
     both = nav.select("line", "trace", F.struct("trace", "x", "y").alias("p"), F.lit(False).alias("q")).unionByName(queries.select("line", "trace", F.lit(None).cast("struct<trace:bigint,x:double,y:double>").alias("p"), F.lit(True).alias("q")))
     lo = F.last("p", ignorenulls=True).over(Window.partitionBy("line").orderBy("trace", "q").rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("p", ignorenulls=True).over(Window.partitionBy("line").orderBy("trace", F.col("q").cast("int").desc()).rowsBetween(0, Window.unboundedFollowing))
+    hi = F.last("p", ignorenulls=True).over(Window.partitionBy("line").orderBy(F.desc("trace"), "q").rowsBetween(Window.unboundedPreceding, 0))
     found = both.select("line", "trace", "q", lo.alias("a"), hi.alias("b")).where("q AND a IS NOT NULL AND b IS NOT NULL")
     f = F.when(F.col("b.trace") > F.col("a.trace"), (F.col("trace") - F.col("a.trace")) / (F.col("b.trace") - F.col("a.trace"))).otherwise(F.lit(0.0))
     return found.select("line", "trace", *((F.col(f"a.{c}") + f * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c) for c in "xy"))

@@ -152,7 +152,7 @@ def spectrum_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
     both = a.select("frequency", "bin", "db", F.lit(None).cast("struct<frequency:double,db:double>").alias("p")).unionByName(b.select("frequency", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("db"), F.struct("frequency", "db").alias("p")))
     lo = F.last("p", ignorenulls=True).over(Window.orderBy("frequency", F.col("bin").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("p", ignorenulls=True).over(Window.orderBy("frequency", F.col("bin").isNull()).rowsBetween(0, Window.unboundedFollowing))
+    hi = F.last("p", ignorenulls=True).over(Window.orderBy(F.desc("frequency"), F.col("bin").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
     met = both.select("bin", "frequency", "db", lo.alias("l"), hi.alias("h")).where("bin IS NOT NULL")
     f = F.coalesce(F.try_divide(F.col("frequency") - F.col("l.frequency"), F.col("h.frequency") - F.col("l.frequency")), F.lit(0.0))
     at = F.when(F.col("l").isNull(), F.col("h.db")).when(F.col("h").isNull(), F.col("l.db")).otherwise(F.col("l.db") + (F.col("h.db") - F.col("l.db")) * f)

@@ -184,7 +184,7 @@ def position_columns(line: DataFrame, width: int) -> DataFrame:
     both = line.select("line", F.col("distance").alias("p"), "trace", F.lit(None).cast("int").alias("px")).unionByName(targets.select("line", "p", F.lit(None).cast("bigint").alias("trace"), "px"))
     at = F.when(F.col("trace").isNotNull(), F.struct("p", "trace"))
     left = F.last(at, ignorenulls=True).over(Window.partitionBy("line").orderBy("p", F.col("trace").isNull(), "trace").rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(at, ignorenulls=True).over(Window.partitionBy("line").orderBy("p", F.col("trace").isNotNull(), "trace").rowsBetween(0, Window.unboundedFollowing))
+    right = F.last(at, ignorenulls=True).over(Window.partitionBy("line").orderBy(F.desc("p"), F.col("trace").isNull(), F.desc("trace")).rowsBetween(Window.unboundedPreceding, 0))
     met = both.select("line", "px", "p", left.alias("l"), right.alias("r")).where("px IS NOT NULL").withColumns({"l": F.coalesce("l", "r"), "r": F.coalesce("r", "l")})
     return met.select("line", "px", F.col("l.trace").alias("trace_l"), F.col("r.trace").alias("trace_r"), F.coalesce(F.try_divide(F.col("p") - F.col("l.p"), F.col("r.p") - F.col("l.p")), F.lit(0.0)).alias("f"))
 
