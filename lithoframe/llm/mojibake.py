@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,24 +58,28 @@ class PairModel:
 
     def __init__(self, chars: dict[int, int], pairs: dict[int, int], pairs2: dict[int, int]) -> None:
         self.chars, self.pairs, self.pairs2, self.total = chars, pairs, pairs2, sum(chars.values()) + 1.0
-        self.memory: dict[tuple[int, int, int, int], float] = {}
-        self.known = {chr(slot) for slot in chars}
+        self.memory: dict[str, float] = {}
+        self.known = {chr(slot) for slot in chars} | set("0123456789 \t\r\n")
         #: What a character that the corpus doesn't have costs at least.
         self.unknown = math.log((self.total + 0.01 * CHAR_SLOTS) / 0.01)
 
     def cost(self, line: str) -> float:
-        first, pair, pair2 = _pairs(line)
         memory, cost = self.memory, 0.0
-        second = np.append(first[1:], 3)
-        for key in zip(first.tolist(), pair.tolist(), pair2.tolist(), second.tolist()):
-            one = memory.get(key)
+        text = f"\x02{line}\x03"
+        for pair in map("".join, zip(text, text[1:])):
+            one = memory.get(pair)
             if one is None:
-                a, ab, ab2, b = key
-                alone = (self.chars.get(b, 0) + 0.01) / (self.total + 0.01 * CHAR_SLOTS)
-                one = memory[key] = -math.log((min(self.pairs.get(ab, 0), self.pairs2.get(ab2, 0)) + BACKOFF * alone) / (self.chars.get(a, 0) + BACKOFF))
+                one = memory[pair] = self._pair_cost(pair)
             cost += one
         return cost
 
+    def _pair_cost(self, pair: str) -> float:
+        first, row, row2 = _pairs(pair)  # the pair stands in the middle of its line of two
+        b = ord(pair[1]) % CHAR_SLOTS
+        alone = (self.chars.get(b, 0) + 0.01) / (self.total + 0.01 * CHAR_SLOTS)
+        found = min(self.pairs.get(int(row[1]), 0), self.pairs2.get(int(row2[1]), 0))
+        return -math.log((found + BACKOFF * alone) / (self.chars.get(int(first[1]), 0) + BACKOFF))
+
     def step(self, line: str) -> tuple[float, tuple[str, str] | None, str]:
         """(drop, (read with, written in), text) of the best round trip; drop 0 and no pair if none is cheaper."""
         base = self.cost(normal_line(line))
@@ -97,10 +102,9 @@ class PairModel:
                 if text in seen:
                     continue
                 seen.add(text)
-                alike = normal_line(text)
-                if len(set(alike) - self.known) * self.unknown > least or len(_CONTROL.findall(text)) > controls:
+                if len(set(text) - self.known) * self.unknown > least or len(_CONTROL.findall(text)) > controls:
                     continue  # can't be cheaper, or isn't text
-                cost = self.cost(alike)
+                cost = self.cost(normal_line(text))
                 if cost < least:
                     least, how, best = cost, (read, written), text
         return base - least, how, best
@@ -122,20 +126,20 @@ def train(df: DataFrame, text_col: str = "text") -> PairModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(n, np.int64) for n in (CHAR_SLOTS, PAIR_SLOTS, PAIR_SLOTS)]
-        known: dict[str, tuple[np.ndarray, ...]] = {}
+        alike: Counter[str] = Counter()
+
+        def flush() -> None:
+            for line, n in alike.items():
+                for into, slots in zip(counts, _pairs(line)):
+                    np.add.at(into, slots, n)
+            alike.clear()
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for line in _BREAK.split(text or "")[::2]:
-                    line = normal_line(line)
-                    if not line:
-                        continue
-                    found = known.get(line)
-                    if found is None:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        found = known[line] = _pairs(line)
-                    for into, slots in zip(counts, found):
-                        np.add.at(into, slots, 1)
+                alike.update(filter(None, map(normal_line, _BREAK.split(text or "")[::2])))
+                if len(alike) > MEMORY:
+                    flush()
+        flush()
         for kind, of in enumerate(counts):
             at = np.flatnonzero(of)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(of[at])], names=["kind", "slot", "n"])
