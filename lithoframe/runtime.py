@@ -68,16 +68,14 @@ def data_dir(sf: str = "sf0.001") -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, unless PYTHONPATH already does.
+    """Make this package importable in Python workers wherever they run.
 
     Spark serves the archive to every executor; the driver keeps it in its own temporary folder.
     """
-    root = Path(__file__).resolve().parent
-    if any(Path(p, root.name).is_dir() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
-        return
     sc = spark.sparkContext
     if getattr(sc, "_lithoframe_shipped", False):
         return
+    root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="lithoframe-")) / "lithoframe.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
