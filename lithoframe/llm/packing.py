@@ -17,6 +17,8 @@ from lithoframe.runtime import durable
 
 #: Parts that the items of one length are ranked in, so that a frequent length isn't one task.
 RANK_PARTS = 256
+#: Items of a slot that one task writes out at most.
+SLOT_RUN = 1 << 18
 _SLOTS = "budget_id int, len bigint, rank_lo bigint, n bigint, first_container bigint, per_container bigint"
 
 
@@ -86,7 +88,9 @@ def pack(sizes: DataFrame, budgets: DataFrame, id_col: str = "doc_id", size_col:
         histogram[b][n] = c
     rows = []
     for b, cap in known:
-        rows += [(b, *slot) for slot in plan_slots(histogram[b], int(cap))[0]]
+        for length, rank, n, first, each in plan_slots(histogram[b], int(cap))[0]:
+            run = max(each, SLOT_RUN // each * each)  # a long slot is written out by several tasks
+            rows += [(b, length, rank + k, min(run, n - k), first + k // each, each) for k in range(0, n, run)]
     spark = sizes.sparkSession
     slots = (
         spark.createDataFrame(rows, _SLOTS)
