@@ -59,6 +59,8 @@ class PairModel:
     def __init__(self, chars: dict[int, int], pairs: dict[int, int], pairs2: dict[int, int]) -> None:
         self.chars, self.pairs, self.pairs2, self.total = chars, pairs, pairs2, sum(chars.values()) + 1.0
         self.memory: dict[str, float] = {}
+        #: Verdicts on lines met before. A worker keeps the broadcast model from task to task, and these with it.
+        self.chains: dict[str, list[tuple[str, str]]] = {}
         self.known = {chr(slot) for slot in chars} | set("0123456789 \t\r\n")
         #: What a character that the corpus doesn't have costs at least.
         self.unknown = math.log((self.total + 0.01 * CHAR_SLOTS) / 0.01)
@@ -170,7 +172,7 @@ def repair(df: DataFrame, id_col: str = "header_id", text_col: str = "text") ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair_model: PairModel = model.value
-        memory: dict[str, list[tuple[str, str]]] = {}
+        memory = pair_model.chains
         for batch in batches:
             at, bad, mended, texts, hows = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
