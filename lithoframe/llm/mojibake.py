@@ -22,6 +22,9 @@ ENCODINGS = (
     "latin-1 cp1252 utf-8 cp437 cp850 cp852 mac-roman iso8859-15 cp1250 iso8859-2 cp1251 koi8-r cp866 iso8859-5 cp1253 cp1254 cp1257 "
     "gb18030 big5 cp932 euc_jp euc_kr cp037 cp500 cp273 cp1026 cp1140"
 ).split()
+#: Those that leave ASCII as it is and have one byte a character, and those that don't have letters where ASCII has them.
+SINGLE = "latin-1 cp1252 cp437 cp850 cp852 mac-roman iso8859-15 cp1250 iso8859-2 cp1251 koi8-r cp866 iso8859-5 cp1253 cp1254 cp1257".split()
+EBCDIC = "cp037 cp500 cp273 cp1026 cp1140".split()
 #: Nats by which a round trip must lower the cost of a line.
 MARGIN = 3.0
 #: Nested layers undone at most.
@@ -59,22 +62,45 @@ class PairModel:
     def __init__(self, chars: dict[int, int], pairs: dict[int, int], pairs2: dict[int, int]) -> None:
         self.chars, self.pairs, self.pairs2, self.total = chars, pairs, pairs2, sum(chars.values()) + 1.0
         self.memory: dict[str, float] = {}
+        self.strange: dict[str, frozenset[int]] = {}
         #: Verdicts on lines met before. A worker keeps the broadcast model from task to task, and these with it.
         self.chains: dict[str, list[tuple[str, str]]] = {}
         self.known = {chr(slot) for slot in chars} | set("0123456789 \t\r\n")
         #: What a character that the corpus doesn't have costs at least.
         self.unknown = math.log((self.total + 0.01 * CHAR_SLOTS) / 0.01)
 
-    def cost(self, line: str) -> float:
-        memory, cost = self.memory, 0.0
-        text = f"\x02{line}\x03"
-        for pair in map("".join, zip(text, text[1:])):
-            one = memory.get(pair)
+    def costs(self, line: str) -> list[float]:
+        """Of each pair of the line, its ends included."""
+        memory, text = self.memory, f"\x02{line}\x03"
+        pairs = list(map("".join, zip(text, text[1:])))
+        for pair in set(pairs):
+            if pair not in memory:
+                memory[pair] = self._pair_cost(pair)
+        return [memory[pair] for pair in pairs]
+
+    def cost(self, line: str, limit: float = math.inf) -> float:
+        """Cost of a line; infinite as soon as it is known to reach the limit."""
+        if limit == math.inf:
+            return sum(self.costs(line))
+        memory, cost, last = self.memory, 0.0, "\x02"
+        for c in (*line, "\x03"):
+            one = memory.get(last + c)
             if one is None:
-                one = memory[pair] = self._pair_cost(pair)
+                one = memory[last + c] = self._pair_cost(last + c)
             cost += one
+            if cost >= limit:
+                return math.inf
+            last = c
         return cost
 
+    def unknown_bytes(self, encoding: str) -> frozenset[int]:
+        """Bytes from 128 on that a single-byte encoding has no character for, or one that the corpus doesn't have."""
+        found = self.strange.get(encoding)
+        if found is None:
+            chars = ((k, bytes([k]).decode(encoding, "ignore")) for k in range(128, 256))
+            found = self.strange[encoding] = frozenset(k for k, c in chars if not c or c not in self.known)
+        return found
+
     def _pair_cost(self, pair: str) -> float:
         first, row, row2 = _pairs(pair)  # the pair stands in the middle of its line of two
         b = ord(pair[1]) % CHAR_SLOTS
@@ -84,7 +110,12 @@ class PairModel:
 
     def step(self, line: str) -> tuple[float, tuple[str, str] | None, str]:
         """(drop, (read with, written in), text) of the best round trip; drop 0 and no pair if none is cheaper."""
-        base = self.cost(normal_line(line))
+        alike = normal_line(line)
+        costs = self.costs(alike)
+        base = sum(costs)
+        # Encodings that share ASCII change nothing but the pairs around other characters: that is all they can save.
+        text = f"\x02{alike}\x03"
+        at_stake = sum(c for c, x, y in zip(costs, text, text[1:]) if x > "\x7f" or y > "\x7f")
         least, how, best = base, None, line
         controls = len(_CONTROL.findall(line))  # an inner layer may hold some, but not more than the outer one
         seen, coded = {line}, set()
@@ -96,7 +127,15 @@ class PairModel:
             if data in coded:
                 continue
             coded.add(data)
-            for written in ENCODINGS:
+            shared = read not in EBCDIC
+            if shared and data.isascii():
+                tried = EBCDIC
+            else:
+                tried = ENCODINGS
+                high = {k for k in data if k > 127}
+            for written in tried:
+                if tried is ENCODINGS and shared and written in SINGLE and len(high & self.unknown_bytes(written)) * self.unknown >= at_stake:
+                    continue  # what it saves, its strange characters cost again
                 try:
                     text = data.decode(written)
                 except UnicodeError:
@@ -106,7 +145,7 @@ class PairModel:
                 seen.add(text)
                 if len(set(text) - self.known) * self.unknown > least or len(_CONTROL.findall(text)) > controls:
                     continue  # can't be cheaper, or isn't text
-                cost = self.cost(normal_line(text))
+                cost = self.cost(normal_line(text), least)
                 if cost < least:
                     least, how, best = cost, (read, written), text
         return base - least, how, best
