@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.operators import lines
-from lithoframe.sources.segy import SegyDataSource, SegyReader, open_layout
+from lithoframe.sources.segy import SegyReader, open_layout, register
 
 MAX_HEADERS = 8192
 
@@ -170,7 +170,7 @@ def route(spark: SparkSession, path: str, wanted: int = 3072) -> tuple[str, Dete
         return "line_2d", None
     if found.score >= GRID_SCORE and max(found.confidence, found.pairs[0].confidence) >= GRID_CONFIDENCE:
         return "regular_3d", found
-    spark.dataSource.register(SegyDataSource)
+    register(spark)
     rec = spark.read.format("segy").option("view", "records").load(path)
     ends = (("cdp_xy", "cdp"), ("source_xy", "source"), ("group_xy", "receiver"))
     # on a crooked line a place is there if either word is not 0

@@ -40,9 +40,9 @@ def cached_records(spark: SparkSession, path: str, cache: str, mapping: dict[str
     key = metadata_identity(path, mapping)
     kept = os.path.join(cache, key)
     if not os.path.exists(os.path.join(kept, "_SUCCESS")):
-        from lithoframe.sources.segy import SegyDataSource
+        from lithoframe.sources.segy import register
 
-        spark.dataSource.register(SegyDataSource)
+        register(spark)
         reader = spark.read.format("segy").option("view", "records")
         if mapping:
             reader = reader.option("mapping", ",".join(f"{k}={v}" for k, v in mapping.items()))

@@ -1,6 +1,6 @@
 """SEG-Y files as a Spark data source.
 
-    spark.dataSource.register(SegyDataSource)
+    register(spark)
     spark.read.format("segy").option("view", "records").load("line.sgy")
 
 Python data sources get no column pruning, so what is read is chosen by `view`: header views never
@@ -16,8 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lithoframe.runtime import ship
 from lithoframe.sources.words import BINARY_WORDS, SAMPLE_BYTES, TRACE_WORDS, UNSIGNED, decode_samples, read_word, text_encoding, text_lines
 
 #: Bytes of trace data per partition, unless the option partition_traces says otherwise.
@@ -236,3 +238,9 @@ class SegyReader(DataSourceReader):
         a, b = self._window(at)
         blocks = self._blocks(at, first, n)
         yield pa.RecordBatch.from_arrays([pa.array([at.path] * n), pa.array(np.arange(first, first + n)), pa.array([t[:240].tobytes() for t in blocks], pa.binary()), pa.array([t[240 + a * at.width : 240 + (b + 1) * at.width].tobytes() for t in blocks], pa.binary())], names=["path", "trace_number", "header", "raw_samples"])
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session and the package to its workers."""
+    ship(spark)
+    spark.dataSource.register(SegyDataSource)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithoframe.sources.segy import Layout, SegyDataSource, open_layout
+from lithoframe.sources.segy import Layout, open_layout, register
 from lithoframe.sources.words import encode_samples
 
 RUN = 4096
@@ -80,7 +80,7 @@ def export_section(spark: SparkSession, source: str, traces: DataFrame, path: st
     """
     if os.path.exists(path) and os.path.samefile(path, source):
         raise ValueError("the source can't be its own export")
-    spark.dataSource.register(SegyDataSource)
+    register(spark)
     at = open_layout(source)
     last = at.count - 1 if last is None else min(last, at.count - 1)
     first = max(0, first)
@@ -100,7 +100,7 @@ def export_section(spark: SparkSession, source: str, traces: DataFrame, path: st
 
 def export_difference(spark: SparkSession, a: str, b: str, pairs: DataFrame, path: str) -> int:
     """A - B of pairs (a_trace, b_trace, output_order) as IEEE float32 on A's headers, over the shorter trace; both need the same interval."""
-    spark.dataSource.register(SegyDataSource)
+    register(spark)
     la, lb = open_layout(a), open_layout(b)
     if la.interval_us != lb.interval_us:
         raise ValueError(f"sample intervals differ: {la.interval_us} and {lb.interval_us}")

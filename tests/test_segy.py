@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lithoframe.sources import sink
-from lithoframe.sources.segy import SegyDataSource, open_layout, segy_paths
+from lithoframe.sources.segy import open_layout, register, segy_paths
 from lithoframe.sources.words import SAMPLE_BYTES, decode_samples, encode_samples, float_to_ibm, ibm_to_float, text_encoding
 
 
@@ -31,7 +31,7 @@ def make(path, traces=8, ns=16, code=5, little=False, dt=2000, extended=0, text=
 
 
 def read(spark, path, view, **options):
-    spark.dataSource.register(SegyDataSource)
+    register(spark)
     r = spark.read.format("segy").option("view", view)
     for k, v in options.items():
         r = r.option(k, v)
