@@ -2,7 +2,7 @@
 
 Records, their attributes and the tokens of the attributes' values form a graph. Random walks over it
 train skip-gram vectors of the tokens; a record's vector is the weighted sum of its tokens'. Vectors
-are blocked by several tables of random hyperplanes, the pairs of a block are compared exactly, and
+are blocked by several tables of random hyperplanes within tiles of the ground, the pairs of a block are compared exactly, and
 what the pairs of a delivery have in common (clock, shift, swapped axes) reranks them. Labelled pairs
 calibrate the scores.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,16 @@ SAMPLE = 20_000
 WALKS, STEPS, WINDOW, NEGATIVES, EPOCHS, RATE = 2, 6, 2, 4, 1, 0.02
 #: Metres per cell of a token, by attribute.
 PLACE, SPREAD, LENGTH = 250.0, 40.0, 15.0
+#: Cells along a tile. Tokens of places repeat from tile to tile and blocks lie within one, so neither the vocabulary that the sample has to cover nor the hyperplanes grow with the area.
+PERIOD = 16
 #: Views (attributes whose vectors are added) with their number of tables: either end with the length between both, and the numbers with it.
 VIEWS = ((("rec", "len"), 2), (("src", "len"), 2), (("sid", "rid", "len"), 1))
-#: Hyperplanes of a table at least; beyond 2^BITS records their number grows with the logarithm of the records.
-BITS = 20
+#: Hyperplanes of a table at least; where a tile has more than 2^BITS records their number grows with the logarithm of its records, and with every MORE of them each view gets another table.
+BITS, MORE = 20, 4
 #: Positions of a delivery may be shifted so far, shapes and offsets may differ so far (metres), clocks so far (seconds).
 MAX_SHIFT, MAX_SHAPE, MAX_OFFSET, MAX_CLOCK = 90.0, 10.0, 4.0, 43_200
+#: Metres from a tile's border up to which a record's partner may lie beyond it.
+REACH = MAX_SHIFT + MAX_SHAPE
 #: Metres from which the shift of one end against the other is taken for a slip.
 SLIP = 100.0
 #: Cost beyond which a pair isn't pursued: missing parts and unequal numbers cost 6 together.
@@ -40,6 +45,8 @@ MAX_MISS = 9.0
 CLOCK_BIN, SHIFT_BIN = 8.0, 16.0
 #: Labelled pairs used for the calibration at most.
 MAX_LABELS = 20_000
+#: Right and wrong pairs among them that a calibration needs at least: one wrong pair would decide alone what is doubted.
+MIN_EACH = 5
 
 _ATTR = {"mid": 1, "vec": 2, "rec": 3, "src": 4, "len": 5, "sid": 6, "rid": 7}
 
@@ -60,12 +67,13 @@ def _hat1(attr: int, v: np.ndarray, size: float) -> list[tuple[np.ndarray, np.nd
     return [(_slot(attr, i), 1 - f), (_slot(attr, i + 1), f)]
 
 
-def _hat2(attr: int, x: np.ndarray, y: np.ndarray, size: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tokens of a place: the four grid points around it, weighted by nearness."""
+def _hat2(attr: int, x: np.ndarray, y: np.ndarray, size: float, period: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of a pair of values: the four grid points around it, weighted by nearness; they repeat after `period` points."""
     qx, qy = x / size, y / size
     i, j = np.floor(qx), np.floor(qy)
     fx, fy = qx - i, qy - j
-    return [(_slot(attr, i + a, j + b), (fx if a else 1 - fx) * (fy if b else 1 - fy)) for a in (0, 1) for b in (0, 1)]
+    at = lambda k: np.mod(k, period) if period else k
+    return [(_slot(attr, at(i + a), at(j + b)), (fx if a else 1 - fx) * (fy if b else 1 - fy)) for a in (0, 1) for b in (0, 1)]
 
 
 def tokens(cols: dict[str, np.ndarray], only: set[str] | None = None) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
@@ -82,10 +90,10 @@ def tokens(cols: dict[str, np.ndarray], only: set[str] | None = None) -> dict[st
     both = has["sx"] & has["rx"]
     length = np.where(has["off"], np.abs(off), np.hypot(rx - sx, ry - sy))  # without an offset the ends tell it
     made = {
-        "mid": (both, lambda t: _hat2(t, lo(mx, my), hi(mx, my), PLACE)),
+        "mid": (both, lambda t: _hat2(t, lo(mx, my), hi(mx, my), PLACE, PERIOD)),
         "vec": (both, lambda t: _hat2(t, lo(dx, dy), hi(dx, dy), SPREAD)),
-        "rec": (has["rx"], lambda t: _hat2(t, lo(rx, ry), hi(rx, ry), PLACE)),
-        "src": (has["sx"], lambda t: _hat2(t, lo(sx, sy), hi(sx, sy), PLACE)),
+        "rec": (has["rx"], lambda t: _hat2(t, lo(rx, ry), hi(rx, ry), PLACE, PERIOD)),
+        "src": (has["sx"], lambda t: _hat2(t, lo(sx, sy), hi(sx, sy), PLACE, PERIOD)),
         "len": (has["off"] | both, lambda t: _hat1(t, length, LENGTH)),
         "sid": (cols["sid"] > 0, lambda t: [(_slot(t, cols["sid"] % 1000), np.ones(len(sx)))]),
         "rid": (cols["rid"] > 0, lambda t: [(_slot(t, cols["rid"] % 1000), np.ones(len(sx)))]),
@@ -222,21 +230,46 @@ def unpack(s: np.ndarray, r: np.ndarray, n: np.ndarray, q: np.ndarray) -> dict[s
     return {"sx": sx, "sy": sy, "rx": rx, "ry": ry, "off": _offsets(q), "sid": n >> 20, "rid": n & ((1 << 20) - 1)}
 
 
-def blocked(df: DataFrame, vec, bits: int) -> DataFrame:
+def tiles(view: tuple[str, ...], cols: dict[str, np.ndarray], wide: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tile hash, records in it) of a view: a square of the ground, or the numbers where the view has no place.
+
+    wide adds the tiles beyond borders nearer than REACH, so a partner across the border is met in its own.
+    """
+    mixed = lambda i, j: (i.astype(np.int64) * 0x9E3779B1 ^ j.astype(np.int64) * 0x85EBCA77) * 0x27D4EB2F >> 8
+    for attr, x, y in (("rec", "rx", "ry"), ("src", "sx", "sy")):
+        if attr in view:
+            size = PLACE * PERIOD
+            u, v = np.nan_to_num(np.minimum(cols[x], cols[y])), np.nan_to_num(np.maximum(cols[x], cols[y]))
+            i, j = np.floor(u / size), np.floor(v / size)
+            for a in (-1, 0, 1) if wide else (0,):
+                for b in (-1, 0, 1) if wide else (0,):
+                    here = (np.floor((u + a * REACH) / size) == i + a) & (np.floor((v + b * REACH) / size) == j + b)
+                    yield mixed(i + a, j + b), here
+            return
+    yield mixed(cols["sid"] % 1000, cols["rid"] % 1000), np.ones(len(cols["sid"]), bool)
+
+
+def tables(n: int, bits: int) -> int:
+    """Tables of a view that has n at BITS hyperplanes."""
+    return min(8, n + -(-(bits - BITS) // MORE))
+
+
+def blocked(df: DataFrame, vec, bits: int, wide: bool = True) -> DataFrame:
     """(key, id, s, r, q): each record in its block of every table of its views; q holds signs of its vector for the cosine.
 
-    A record is put under all views it has the attributes of.
+    A record is put under all views it has the attributes of. One side at least has to be wide (see tiles()).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, means = vec.value
-        planes = [[hyperplanes(i, t, bits) for t in range(n)] for i, (_, n) in enumerate(VIEWS)]
+        planes = [[hyperplanes(i, t, bits) for t in range(tables(n, bits))] for i, (_, n) in enumerate(VIEWS)]
         sign_planes = [hyperplanes(i, 99, 16) for i in range(len(VIEWS))]
         weights = 1 << np.arange(bits, dtype=np.int64)
         needed = {attr for view, _ in VIEWS for attr in view}
         for batch in batches:
             ids, s, r, n, q = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            edges = tokens(unpack(s, r, n, q), needed)
+            cols = unpack(s, r, n, q)
+            edges = tokens(cols, needed)
             for i, (view, _) in enumerate(VIEWS):
                 x, ok = view_vectors(edges, view, v)
                 at = np.flatnonzero(ok)
@@ -244,9 +277,13 @@ def blocked(df: DataFrame, vec, bits: int) -> DataFrame:
                     continue
                 x = x - means[i]
                 signed = q[at] | ((x[at] @ sign_planes[i] > 0) * (1 << np.arange(16, dtype=np.int64))).sum(1)
+                within = [(tile[at], np.flatnonzero(here[at])) for tile, here in tiles(view, cols, wide)]
                 for t, plane in enumerate(planes[i]):
-                    key = ((x[at] @ plane > 0) * weights).sum(1) | ((np.int64(i) * 8 + t) << np.int64(56))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids[at], s[at], r[at], signed)], names=["key", "id", "s", "r", "q"])
+                    block = ((x[at] @ plane > 0) * weights).sum(1)
+                    for tile, k in within:
+                        if len(k):
+                            key = block[k] | ((tile[k] & ((1 << (56 - bits)) - 1)) << np.int64(bits)) | ((np.int64(i) * 8 + t) << np.int64(56))
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids[at][k], s[at][k], r[at][k], signed[k])], names=["key", "id", "s", "r", "q"])
 
     return df.select("id", "s", "r", "n", "q").mapInArrow(work, "key bigint, id bigint, s bigint, r bigint, q bigint")
 
@@ -335,13 +372,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 PRIOR = (4.0, 0.4, 0.2, 0.3, -2.5)
 
 
+def crowd(frames: list[DataFrame]) -> int:
+    """Records of the fullest tile by either end, of both frames together; copies count."""
+    ends = []
+    for df in frames:
+        for end in ("source", "receiver"):
+            x, y = F.col(f"{end}_x"), F.col(f"{end}_y")
+            i, j = (F.floor(f(x, y) / F.lit(PLACE * PERIOD)).alias(k) for k, f in (("i", F.least), ("j", F.greatest)))
+            ends.append(df.where(F.col(f"has_{end}") & finite(x) & finite(y)).select(F.lit(end).alias("end"), i, j))
+    return reduce(DataFrame.unionByName, ends).groupBy("end", "i", "j").count().agg(F.max("count")).first()[0] or 0
+
+
 def link(a: DataFrame, b: DataFrame, labels: DataFrame | None = None, a_line: str = "line") -> DataFrame:
     """(a_record_id, b_record_id, confidence): the best A record of every B record that has one.
 
     Both frames have the columns of the record schema; extra ones are ignored. Copies count once. An
     A record may have several B records. Records of empty tables or without any usable attribute have
     no pairs. labels (a_record_id, b_record_id, same_trace) calibrate the confidence; of more than
-    MAX_LABELS those with the smallest hashes are used, and without any PRIOR holds.
+    MAX_LABELS those with the smallest hashes are used, and with fewer than MIN_EACH right or wrong
+    ones PRIOR holds.
     """
     spark = a.sparkSession
     da, db = digests(a, a_line), digests(b, None)
@@ -351,15 +400,15 @@ def link(a: DataFrame, b: DataFrame, labels: DataFrame | None = None, a_line: st
     sampled = unpack(*(sample[c].to_numpy(np.int64) for c in ("s", "r", "n", "q")))
     trained = train_vectors(sampled)
     vec = spark.sparkContext.broadcast((trained, centres(tokens(sampled), trained)))  # SLOTS x DIM floats and a few vectors
-    bits = max(BITS, math.ceil(math.log2(max(rows, 2))))
-    best = durable(best_pairs(compared(blocked(da, vec, bits), blocked(db, vec, bits))))
+    bits = max(BITS, math.ceil(math.log2(max(crowd([a, b]), 2))))
+    best = durable(best_pairs(compared(blocked(da, vec, bits, wide=False), blocked(db, vec, bits))))
     weights = np.array(PRIOR)
     features = ["cos", "miss", "support", "lead"]
     if labels is not None:
         known = labels.where("a_record_id is not null and b_record_id is not null and same_trace is not null").select(F.col("a_record_id").alias("la"), F.col("b_record_id").alias("b_id"), "same_trace").distinct()
         known = known.orderBy(F.xxhash64("la", "b_id")).limit(MAX_LABELS)
         seen = best.join(known, "b_id").where("same_trace or a_id = la").select(*features, ((F.col("a_id") == F.col("la")) & F.col("same_trace")).cast("int").alias("y")).toPandas()
-        if seen["y"].nunique() == 2 and len(seen) >= 50:
+        if len(seen) >= 50 and min(seen["y"].sum(), (1 - seen["y"]).sum()) >= MIN_EACH:
             x = seen[features].to_numpy(float) * np.array([1, -1, 1, 1])
             weights = _logistic(x, seen["y"].to_numpy(float))
     z = F.lit(float(weights[4])) + F.col("cos") * float(weights[0]) - F.col("miss") * float(weights[1]) + F.col("support") * float(weights[2]) + F.col("lead") * float(weights[3])

@@ -115,3 +115,39 @@ def test_blocks_hold_the_best_partners(spark):
     da, db = (linkage.digests(spark.createDataFrame([tuple(x) for x in rows], COLS), line) for rows, line in ((a, "line"), (b, None)))
     found, all_ = block_recall(da, db, "id % 5 = 0")
     assert all_ > 150 and found >= 0.9 * all_, (found, all_)
+
+
+def area_recall(side, n):
+    """Share of 5,000 shifted and noisy records that share a block of the views by place with their originals, on a square of `side` metres."""
+    r = np.random.default_rng(0)
+    cols = {"sx": r.uniform(0, side, n), "sy": r.uniform(3e6, 3e6 + side, n), "sid": r.integers(1, 1000, n), "rid": r.integers(1, 1000, n)}
+    cols["rx"], cols["ry"] = cols["sx"] + r.uniform(-300, 300, n), cols["sy"] + r.uniform(-300, 300, n)
+    cols["off"] = np.hypot(cols["rx"] - cols["sx"], cols["ry"] - cols["sy"])
+    sample, some = ({k: v[at] for k, v in cols.items()} for at in (slice(0, linkage.SAMPLE), slice(-5_000, None)))
+    noise = {k: r.normal(0, 1, 5_000) + (20.0 if k in ("sx", "rx") else -25.0 if k in ("sy", "ry") else 0.0) for k in ("sx", "sy", "rx", "ry", "off")}
+    other = {k: v + noise.get(k, 0) for k, v in some.items()}
+    vec = linkage.train_vectors(sample)
+    edges = [linkage.tokens(c) for c in (some, other)]
+    means, met = linkage.centres(linkage.tokens(sample), vec), np.zeros(5_000, bool)
+    for i, (view, tables) in enumerate(linkage.VIEWS[:2]):
+        x, y = (linkage.view_vectors(e, view, vec)[0] - means[i] for e in edges)
+        for t in range(tables):
+            plane = linkage.hyperplanes(i, t, linkage.BITS)
+            met |= ((x @ plane > 0) == (y @ plane > 0)).all(1)
+    return met.mean()
+
+
+def test_blocks_hold_whatever_the_area():
+    """In the large area the sample has one record for 32 cells."""
+    small, large = area_recall(4_000.0, 40_000), area_recall(200_000.0, 400_000)
+    assert large >= small - 0.03, (small, large)
+
+
+def test_partners_meet_across_borders_of_tiles():
+    size = linkage.PLACE * linkage.PERIOD
+    x, y = np.array([size - 1.0, size + 2.0, 10.0, size * 1.5]), np.array([size * 3 - 1.0, size * 3.5, size * 3 + 30.0, size * 3.5])
+    a = {"rx": x, "ry": y, "sx": x, "sy": y}
+    for dx, dy in ((60.0, 60.0), (-60.0, 60.0), (60.0, -60.0), (-60.0, -60.0)):
+        b = {"rx": x + dx, "ry": y + dy}
+        own = next(linkage.tiles(("rec", "len"), a, False))[0]
+        assert sum(h & (t == own) for t, h in linkage.tiles(("rec", "len"), b, True)).tolist() == [1, 1, 1, 1]
