@@ -2,7 +2,8 @@
 
 Every line is re-encoded under candidate encodings, strictly decoded as others, and the result is
 taken if its garbling cost is lower by a margin; this repeats for nested layers. The cost is that of
-a character-pair model counted over all lines of the table: garbled pairs are rare next to clean ones.
+a character-pair model counted over the lines of the table that no round trip improves, plus what is
+strange in any language, so that a large garbled share doesn't become the norm.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.runtime import durable
+
 #: Encodings a text may have been written in or read with.
 ENCODINGS = (
     "latin-1 cp1252 utf-8 cp437 cp850 cp852 mac-roman iso8859-15 cp1250 iso8859-2 cp1251 koi8-r cp866 iso8859-5 cp1253 cp1254 cp1257 "
@@ -29,6 +32,8 @@ EBCDIC = "cp037 cp500 cp273 cp1026 cp1140".split()
 MARGIN = 3.0
 #: Nested layers undone at most.
 LAYERS = 4
+#: Weight of what is strange in any language next to the corpus.
+WEIGHT = 1.0
 #: Slots of each of two rows of pair counts, of which the smaller count holds; the model's size is fixed, however many characters the corpus has.
 PAIR_SLOTS = 1 << 20
 CHAR_SLOTS = 1 << 16
@@ -56,6 +61,40 @@ def _pairs(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (codes[:-1] % CHAR_SLOTS).astype(np.int64), ((mixed >> np.uint64(44)) % PAIR_SLOTS).astype(np.int64), ((mixed >> np.uint64(20)) % PAIR_SLOTS).astype(np.int64)
 
 
+def _script(c: str) -> str:
+    if c < "\x80":
+        return "Latin" if c.isalpha() else ""
+    if not c.isalpha() or c in "ªº":
+        return ""
+    return "Latin" if c < "\u0250" else "Greek" if c < "\u0400" else "Cyrillic" if c < "\u0530" else "other"
+
+
+def strangeness(pair: str) -> float:
+    """Nats by which a pair of characters is unlikely in any language, whatever the corpus holds: what a garbled share can't outvote."""
+    a, b = pair
+    if a < "\x80" and b < "\x80":
+        return 0.0
+    sa, sb = _script(a), _script(b)
+    cost = 0.0
+    if b >= "\x80":
+        if _CONTROL.match(b) or "\u2500" <= b <= "\u25ff" or "\uff61" <= b <= "\uff9f":
+            cost += 4.0  # control characters, box drawing, half-width kana
+        elif not sb:
+            cost += 1.0
+        else:
+            cost += 0.25 if sb == "Cyrillic" else 0.5
+    if sa and sb:
+        if sa != sb:
+            cost += 4.0
+        elif a.islower() and b.isupper():
+            cost += 3.0
+        elif sa == "Latin" and a >= "\x80" and b >= "\x80":
+            cost += 1.5
+    elif (sa and b >= "\x80" or sb and a >= "\x80") and (a if sb else b) not in "°²³–—’“”«»：，。、；（）·ªº…":
+        cost += 2.0  # a sign within or beside a word
+    return WEIGHT * cost
+
+
 class PairModel:
     """Cost of a line in nats under counts of characters and character pairs."""
 
@@ -106,7 +145,7 @@ class PairModel:
         b = ord(pair[1]) % CHAR_SLOTS
         alone = (self.chars.get(b, 0) + 0.01) / (self.total + 0.01 * CHAR_SLOTS)
         found = min(self.pairs.get(int(row[1]), 0), self.pairs2.get(int(row2[1]), 0))
-        return -math.log((found + BACKOFF * alone) / (self.chars.get(int(first[1]), 0) + BACKOFF))
+        return strangeness(pair) - math.log((found + BACKOFF * alone) / (self.chars.get(int(first[1]), 0) + BACKOFF))
 
     def step(self, line: str) -> tuple[float, tuple[str, str] | None, str]:
         """(drop, (read with, written in), text) of the best round trip; drop 0 and no pair if none is cheaper."""
@@ -150,45 +189,92 @@ class PairModel:
                     least, how, best = cost, (read, written), text
         return base - least, how, best
 
-    def chain(self, line: str) -> list[tuple[str, str]]:
-        """The round trips, in order, that each lower the line's cost by the margin."""
+    def _greedy(self, line: str, layers: int) -> tuple[list[tuple[str, str]], str]:
         steps: list[tuple[str, str]] = []
-        while len(steps) < LAYERS:
+        while len(steps) < layers:
             drop, how, text = self.step(line)
             if how is None or drop < MARGIN:
                 break
             steps.append(how)
             line = text
+        return steps, line
+
+    def chain(self, line: str) -> list[tuple[str, str]]:
+        """The round trips, in order, that each lower the line's cost by the margin.
+
+        Of a garbled line the trips that begin by UTF-8 are followed as well, and the cheapest end is taken: bytes
+        hardly ever are UTF-8 by accident, but an inner layer of it may look worse than another encoding's text.
+        """
+        steps, end = self._greedy(line, LAYERS)
+        if steps:
+            cost = self.cost(normal_line(end))
+            for read in ENCODINGS:
+                try:
+                    text = line.encode(read).decode("utf-8")
+                except UnicodeError:
+                    continue
+                if text == line or (read, "utf-8") == steps[0]:
+                    continue
+                rest, end = self._greedy(text, LAYERS - 1)
+                if rest and (other := self.cost(normal_line(end))) < cost:
+                    steps, cost = [(read, "utf-8"), *rest], other
         return steps
 
 
-def train(df: DataFrame, text_col: str = "text") -> PairModel:
-    """The model of all lines of all texts. What reaches the driver is at most CHAR_SLOTS + 2 PAIR_SLOTS counts."""
+def _lines(df: DataFrame, text_col: str) -> DataFrame:
+    """(line, n): the normal lines of all texts and how often each occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(n, np.int64) for n in (CHAR_SLOTS, PAIR_SLOTS, PAIR_SLOTS)]
         alike: Counter[str] = Counter()
 
-        def flush() -> None:
-            for line, n in alike.items():
-                for into, slots in zip(counts, _pairs(line)):
-                    np.add.at(into, slots, n)
+        def flush() -> Iterator[pa.RecordBatch]:
+            if alike:
+                yield pa.RecordBatch.from_arrays([pa.array(list(alike), pa.string()), pa.array(list(alike.values()), pa.int64())], names=["line", "n"])
             alike.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 alike.update(filter(None, map(normal_line, _BREAK.split(text or "")[::2])))
                 if len(alike) > MEMORY:
-                    flush()
-        flush()
+                    yield from flush()
+        yield from flush()
+
+    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "line string, n bigint").groupBy("line").agg(F.sum("n").alias("n"))
+
+
+def _counted(lines: DataFrame, judge=None) -> PairModel:
+    """The model of counted lines; with judge (a broadcast model) only of those that no round trip improves under it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(n, np.int64) for n in (CHAR_SLOTS, PAIR_SLOTS, PAIR_SLOTS)]
+        for batch in batches:
+            for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if judge is not None:
+                    drop, how, _ = judge.value.step(line)
+                    if how is not None and drop >= MARGIN:
+                        continue
+                for into, slots in zip(counts, _pairs(line)):
+                    np.add.at(into, slots, n)
         for kind, of in enumerate(counts):
             at = np.flatnonzero(of)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(of[at])], names=["kind", "slot", "n"])
 
-    rows = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).collect()
+    rows = lines.mapInArrow(count, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).collect()
     return PairModel(*({s: n for k, s, n in rows if k == kind} for kind in range(3)))
 
 
+def train(df: DataFrame, text_col: str = "text") -> PairModel:
+    """The model of the lines of all texts, but for those that a round trip improves under a first model, of all lines.
+
+    So frequent garbling doesn't become the norm. What reaches the driver is at most CHAR_SLOTS + 2 PAIR_SLOTS counts, twice.
+    """
+    spark = df.sparkSession
+    lines = durable(_lines(df, text_col)).repartition(spark.sparkContext.defaultParallelism, "line")
+    first = _counted(lines)
+    model = _counted(lines, spark.sparkContext.broadcast(first))
+    return model if model.chars else first
+
+
 def _restore(line: str, steps: list[tuple[str, str]]) -> str | None:
     for read, written in steps:
         try:

@@ -57,3 +57,11 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, spoil(text, "utf-8", "latin-1"))] + [(i, text[:66]) for i in range(3, 40)], "header_id bigint, text string")
     got = {r["header_id"]: r["restored"] for r in repair(df).collect()}
     assert got.get(2) == text
+
+
+def test_a_third_garbled_alike(spark):
+    clean = ["C 1 MESSGEBIET: SÜDLICHES BECKEN, GRÖSSE 12 KM²", "C 2 REGIÃO SÃO VANDRI, OPERAÇÃO 4", "C 3 DIREÇÃO DA EMBARCAÇÃO 12°, V", "C 4 Площадь съёмки: северный прогиб", "C 5 Atténuation à 9 dB, côté bâbord", "C 6 SHOT POINT INTERVAL 25 M"]
+    rows = [(i, "\n".join(spoil(c, "cp1252", "cp1251") if i < 40 and k in (0, 1) else c for k, c in enumerate(clean))) for i in range(120)]
+    got = {r["header_id"]: r["restored"] for r in repair(spark.createDataFrame(rows, "header_id bigint, text string")).collect()}
+    assert sorted(got) == list(range(40))
+    assert set(got.values()) == {"\n".join(clean)}
