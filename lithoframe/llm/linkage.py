@@ -388,7 +388,7 @@ def link(a: DataFrame, b: DataFrame, labels: DataFrame | None = None, a_line: st
 
     Both frames have the columns of the record schema; extra ones are ignored. Copies count once. An
     A record may have several B records. Records of empty tables or without any usable attribute have
-    no pairs. labels (a_record_id, b_record_id, same_trace) calibrate the confidence; of more than
+    no pairs. All views need the length, so a record with neither an offset nor both ends has none either. labels (a_record_id, b_record_id, same_trace) calibrate the confidence; of more than
     MAX_LABELS those with the smallest hashes are used, and with fewer than MIN_EACH right or wrong
     ones PRIOR holds.
     """
