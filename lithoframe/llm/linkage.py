@@ -25,6 +25,8 @@ SLOTS, DIM = 1 << 16, 48
 #: Records the graph is sampled from for training; every record is encoded, hashed and compared.
 SAMPLE = 20_000
 WALKS, STEPS, WINDOW, NEGATIVES, EPOCHS, RATE = 2, 6, 2, 4, 1, 0.02
+#: Numbers are compared modulo this (at most 1022), as deliveries drop or exchange leading digits.
+MODULUS = 1000
 #: Metres per cell of a token, by attribute.
 PLACE, SPREAD, LENGTH = 250.0, 40.0, 15.0
 #: Cells along a tile. Tokens of places repeat from tile to tile and blocks lie within one, so neither the vocabulary that the sample has to cover nor the hyperplanes grow with the area.
@@ -45,8 +47,6 @@ MAX_MISS = 9.0
 CLOCK_BIN, SHIFT_BIN = 8.0, 16.0
 #: Labelled pairs used for the calibration at most.
 MAX_LABELS = 20_000
-#: Right and wrong pairs among them that a calibration needs at least: one wrong pair would decide alone what is doubted.
-MIN_EACH = 5
 
 _ATTR = {"mid": 1, "vec": 2, "rec": 3, "src": 4, "len": 5, "sid": 6, "rid": 7}
 
@@ -95,8 +95,8 @@ def tokens(cols: dict[str, np.ndarray], only: set[str] | None = None) -> dict[st
         "rec": (has["rx"], lambda t: _hat2(t, lo(rx, ry), hi(rx, ry), PLACE, PERIOD)),
         "src": (has["sx"], lambda t: _hat2(t, lo(sx, sy), hi(sx, sy), PLACE, PERIOD)),
         "len": (has["off"] | both, lambda t: _hat1(t, length, LENGTH)),
-        "sid": (cols["sid"] > 0, lambda t: [(_slot(t, cols["sid"] % 1000), np.ones(len(sx)))]),
-        "rid": (cols["rid"] > 0, lambda t: [(_slot(t, cols["rid"] % 1000), np.ones(len(sx)))]),
+        "sid": (cols["sid"] > 0, lambda t: [(_slot(t, cols["sid"] % MODULUS), np.ones(len(sx)))]),
+        "rid": (cols["rid"] > 0, lambda t: [(_slot(t, cols["rid"] % MODULUS), np.ones(len(sx)))]),
     }
     return {k: [(s, w * ok) for s, w in edges(_ATTR[k])] for k, (ok, edges) in made.items() if only is None or k in only}
 
@@ -181,53 +181,82 @@ def hyperplanes(view: int, table: int, bits: int) -> np.ndarray:
     return np.random.default_rng(1000 * view + table).standard_normal((DIM, bits)).astype(np.float32)
 
 
-# A record travels as words: S and R (two coordinates in quarter metres, or all bits set; the number modulo 1000, or 1023) and
-# Q (line modulo 1024, offset in half metres, second modulo 2^24, 16 signs of the record's vector).
-_HALF, _NO_OFFSET, _DAYS = 1 << 26, (1 << 14) - 1, 1 << 24
+def digests(df: DataFrame, line: str | None) -> DataFrame:
+    """(id, sx, sy, rx, ry, off, sec, sid, rid, line): each record once, its columns as they are; what is missing or not finite is null.
 
+    Records without an id are left out. If copies of a record disagree, the one that sorts first stands.
+    """
 
-def _place_word(has: Column, x: Column, y: Column, number: Column) -> Column:
-    near = lambda c: F.round(c * 4).cast("bigint") + F.lit(_HALF)
-    fits = has & finite(x) & finite(y) & (F.abs(x) < _HALF / 4 - 1) & (F.abs(y) < _HALF / 4 - 1)
-    place = F.when(fits, F.shiftleft(near(x), 37).bitwiseOR(F.shiftleft(near(y), 10))).otherwise(F.lit(-1024).cast("bigint"))
-    return place.bitwiseOR(F.when(number > 0, F.pmod(number.cast("bigint"), F.lit(1000))).otherwise(F.lit(1023)))
+    def place(end: str, axis: str) -> Column:
+        x, y = F.col(f"{end}_x").cast("double"), F.col(f"{end}_y").cast("double")
+        there = F.coalesce(F.col(f"has_{end}"), F.lit(False)) & finite(x) & finite(y)
+        return F.when(there, x if axis == "x" else y)
 
+    off, known = F.col("trace_offset").cast("double"), F.coalesce("has_offset", F.lit(False))
+    number = lambda c: F.greatest(F.coalesce(F.col(c).cast("bigint"), F.lit(0)), F.lit(0))
+    columns = {
+        "sx": place("source", "x"), "sy": place("source", "y"), "rx": place("receiver", "x"), "ry": place("receiver", "y"), "off": F.when(known & finite(off), F.abs(off)),
+        "sec": (F.unix_micros(F.col("recorded_at").cast("timestamp")) / F.lit(1_000_000)).cast("bigint"), "sid": number("source_id"), "rid": number("receiver_id"),
+        "line": F.xxhash64(line) if line else F.lit(0).cast("bigint"),
+    }
+    rows = df.where(F.col("record_id").isNotNull()).select(F.col("record_id").cast("bigint").alias("id"), F.struct(*(c.alias(k) for k, c in columns.items())).alias("d"))
+    return rows.groupBy("id").agg(F.min("d").alias("d")).select("id", "d.*")
 
-def digests(df: DataFrame, line: str | None) -> DataFrame:
-    """(id, s, r, n, q, sid, rid): each record once, packed. Records without an id are left out; a missing, infinite or absurd coordinate is missing."""
-    off = F.when(F.col("has_offset") & finite(F.col("trace_offset")) & (F.abs("trace_offset") < 8_000), F.round(F.abs("trace_offset") * 2).cast("bigint")).otherwise(F.lit(_NO_OFFSET))
-    second = F.coalesce(F.unix_micros(F.col("recorded_at").cast("timestamp")) / F.lit(1_000_000), F.lit(0.0)).cast("bigint")
-    of_line = F.pmod(F.xxhash64(line), F.lit(1 << 10)) if line else F.lit(0).cast("bigint")
-    return (
-        df.where(F.col("record_id").isNotNull())
-        .select(
-            F.col("record_id").cast("bigint").alias("id"),
-            _place_word(F.coalesce("has_source", F.lit(False)), F.col("source_x"), F.col("source_y"), F.col("source_id")).alias("s"),
-            _place_word(F.coalesce("has_receiver", F.lit(False)), F.col("receiver_x"), F.col("receiver_y"), F.col("receiver_id")).alias("r"),
-            F.shiftleft(F.pmod(F.coalesce("source_id", F.lit(0)).cast("bigint"), F.lit(1 << 20)), 20).bitwiseOR(F.pmod(F.coalesce("receiver_id", F.lit(0)).cast("bigint"), F.lit(1 << 20))).alias("n"),
-            F.shiftleft(of_line, 54).bitwiseOR(F.shiftleft(off, 40)).bitwiseOR(F.shiftleft(F.pmod(second, F.lit(_DAYS)), 16)).alias("q"),
-        )
-        .distinct()
-    )
-
-
-def _places(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = word.astype(np.int64).view(np.uint64)
-    missing = word.astype(np.int64) >> 10 == -1
-    x = ((u >> np.uint64(37)).astype(np.int64) - _HALF) / 4.0
-    y = (((u >> np.uint64(10)) & np.uint64((1 << 27) - 1)).astype(np.int64) - _HALF) / 4.0
-    return np.where(missing, np.nan, x), np.where(missing, np.nan, y)
-
-
-def _offsets(q: np.ndarray) -> np.ndarray:
-    off = (q >> 40) & ((1 << 14) - 1)
-    return np.where(off == _NO_OFFSET, np.nan, off / 2.0)
-
-
-def unpack(s: np.ndarray, r: np.ndarray, n: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
-    """The columns that tokens() reads, of packed records."""
-    (sx, sy), (rx, ry) = _places(s), _places(r)
-    return {"sx": sx, "sy": sy, "rx": rx, "ry": ry, "off": _offsets(q), "sid": n >> 20, "rid": n & ((1 << 20) - 1)}
+
+_EXACT = ("sx", "sy", "rx", "ry", "off", "sec", "sid", "rid")
+
+
+def columns_of(batch: pa.RecordBatch, names: dict[str, str]) -> dict[str, np.ndarray]:
+    """Columns of a batch as doubles with NaN for null, but the numbers as whole numbers."""
+    out = {}
+    for name, column in names.items():
+        c = batch.column(batch.schema.get_field_index(column))
+        out[name] = c.to_numpy(zero_copy_only=False).astype(np.int64) if name in ("sid", "rid", "line", "id") else c.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False)
+    return out
+
+
+# In its blocks a record is known by two words, from which the join and a first comparison tell what can't be a pair:
+# ground (four coordinates in steps of GRAIN modulo 2^12, the offset modulo 2^13 and which of them there are) and
+# rest (second modulo 2^24, or NO_TIME; the numbers' last digits). What they can't tell goes on to the exact comparison.
+GRAIN, _NO_TIME, _DAYS = 2.0, 1 << 24, 1 << 24
+
+
+def words(cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two words of each record."""
+    with np.errstate(invalid="ignore"):
+        step = lambda c, bits: np.mod(np.nan_to_num(np.rint(cols[c] / GRAIN)), float(1 << bits)).astype(np.int64)
+        ground = step("off", 13) << 3
+        for k, c in enumerate(("sx", "sy", "rx", "ry")):
+            ground |= step(c, 12) << (16 + 12 * k)
+        for k, c in enumerate(("sx", "rx", "off")):
+            ground |= np.isfinite(cols[c]).astype(np.int64) << k
+        second = np.where(np.isfinite(cols["sec"]), np.mod(np.nan_to_num(cols["sec"]), float(_DAYS)), float(_NO_TIME)).astype(np.int64)
+    last = lambda c: np.where(cols[c] > 0, cols[c] % MODULUS, 1023)
+    return ground, second << 20 | last("sid") << 10 | last("rid")
+
+
+def may_be_one(ag: np.ndarray, ar: np.ndarray, bg: np.ndarray, br: np.ndarray) -> np.ndarray:
+    """Whether records with these words can be a pair under the limits, all roundings in their favour."""
+    u = lambda g, k: ((g >> (16 + 12 * k)) & 4095).astype(np.float64) * GRAIN
+    span = GRAIN * 4096
+    near = lambda d: (d + span / 2) % span - span / 2
+    both = lambda k: ((ag & bg) >> k & 1).astype(bool)
+    hs, hr = both(0), both(1)
+    off = np.abs((((ag >> 3) & 8191) - ((bg >> 3) & 8191) + 4096) % 8192 - 4096) * GRAIN
+    doff = np.where(both(2), np.maximum(off - GRAIN, 0.0), 0.0)
+    same = [(ar >> k & 1023 == br >> k & 1023) & (ar >> k & 1023 != 1023) for k in (10, 0)]
+    cost = sum(np.where(k, 0.0, 1.5) for k in same) + np.where(both(2), doff * doff / 2, 1.5)
+    slack = GRAIN * math.sqrt(2)
+    ok = np.zeros(len(ag), bool)
+    for swapped in (False, True):
+        b = (1, 0, 3, 2) if swapped else (0, 1, 2, 3)
+        sx, sy, rx, ry = (near(u(bg, b[k]) - u(ag, k)) for k in range(4))
+        shape = np.where(hs & hr, np.maximum(np.hypot(sx - rx, sy - ry) - 2 * slack, 0.0), 0.0)
+        middle = np.hypot(np.where(hs, np.where(hr, (sx + rx) / 2, sx), np.where(hr, rx, 0.0)), np.where(hs, np.where(hr, (sy + ry) / 2, sy), np.where(hr, ry, 0.0)))
+        for far, bent in ((middle, np.where(hs & hr, shape * shape / 18, 1.5)), (np.hypot(rx, ry), np.where(hs & hr & same[0], 1.5, np.inf)), (np.hypot(sx, sy), np.where(hs & hr & same[1], 1.5, np.inf))):
+            far = np.maximum(far - slack, 0.0)
+            ok |= (far <= MAX_SHIFT) & ((bent == 1.5) | (shape <= MAX_SHAPE)) & (cost + bent + far / 40 <= MAX_MISS)
+    return ok
 
 
 def tiles(view: tuple[str, ...], cols: dict[str, np.ndarray], wide: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -235,7 +264,8 @@ def tiles(view: tuple[str, ...], cols: dict[str, np.ndarray], wide: bool) -> Ite
 
     wide adds the tiles beyond borders nearer than REACH, so a partner across the border is met in its own.
     """
-    mixed = lambda i, j: (i.astype(np.int64) * 0x9E3779B1 ^ j.astype(np.int64) * 0x85EBCA77) * 0x27D4EB2F >> 8
+    whole = lambda i: np.mod(i, float(1 << 40)).astype(np.int64)
+    mixed = lambda i, j: (whole(i) * 0x9E3779B1 ^ whole(j) * 0x85EBCA77) * 0x27D4EB2F >> 8
     for attr, x, y in (("rec", "rx", "ry"), ("src", "sx", "sy")):
         if attr in view:
             size = PLACE * PERIOD
@@ -246,7 +276,7 @@ def tiles(view: tuple[str, ...], cols: dict[str, np.ndarray], wide: bool) -> Ite
                     here = (np.floor((u + a * REACH) / size) == i + a) & (np.floor((v + b * REACH) / size) == j + b)
                     yield mixed(i + a, j + b), here
             return
-    yield mixed(cols["sid"] % 1000, cols["rid"] % 1000), np.ones(len(cols["sid"]), bool)
+    yield mixed(cols["sid"] % MODULUS, cols["rid"] % MODULUS), np.ones(len(cols["sid"]), bool)
 
 
 def tables(n: int, bits: int) -> int:
@@ -255,7 +285,7 @@ def tables(n: int, bits: int) -> int:
 
 
 def blocked(df: DataFrame, vec, bits: int, wide: bool = True) -> DataFrame:
-    """(key, id, s, r, q): each record in its block of every table of its views; q holds signs of its vector for the cosine.
+    """(key, id, ground, rest): each record in its block of every table of its views, with its words.
 
     A record is put under all views it has the attributes of. One side at least has to be wide (see tiles()).
     """
@@ -263,12 +293,12 @@ def blocked(df: DataFrame, vec, bits: int, wide: bool = True) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, means = vec.value
         planes = [[hyperplanes(i, t, bits) for t in range(tables(n, bits))] for i, (_, n) in enumerate(VIEWS)]
-        sign_planes = [hyperplanes(i, 99, 16) for i in range(len(VIEWS))]
         weights = 1 << np.arange(bits, dtype=np.int64)
         needed = {attr for view, _ in VIEWS for attr in view}
         for batch in batches:
-            ids, s, r, n, q = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            cols = unpack(s, r, n, q)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            cols = columns_of(batch, {c: c for c in _EXACT})
+            ground, rest = words(cols)
             edges = tokens(cols, needed)
             for i, (view, _) in enumerate(VIEWS):
                 x, ok = view_vectors(edges, view, v)
@@ -276,46 +306,83 @@ def blocked(df: DataFrame, vec, bits: int, wide: bool = True) -> DataFrame:
                 if not len(at):
                     continue
                 x = x - means[i]
-                signed = q[at] | ((x[at] @ sign_planes[i] > 0) * (1 << np.arange(16, dtype=np.int64))).sum(1)
                 within = [(tile[at], np.flatnonzero(here[at])) for tile, here in tiles(view, cols, wide)]
                 for t, plane in enumerate(planes[i]):
                     block = ((x[at] @ plane > 0) * weights).sum(1)
                     for tile, k in within:
                         if len(k):
                             key = block[k] | ((tile[k] & ((1 << (56 - bits)) - 1)) << np.int64(bits)) | ((np.int64(i) * 8 + t) << np.int64(56))
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids[at][k], s[at][k], r[at][k], signed[k])], names=["key", "id", "s", "r", "q"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, ids[at][k], ground[at][k], rest[at][k])], names=["key", "id", "ground", "rest"])
+
+    return df.select("id", *_EXACT).mapInArrow(work, "key bigint, id bigint, ground bigint, rest bigint")
+
+
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id), each once and partitioned by b_id: the pairs that share a block and whose words don't rule them out."""
+    left, right = (df.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "ground", "rest"))) for k, df in (("a", a), ("b", b)))
+    second = lambda w: F.shiftright(w, 20)
+    dt = F.abs(second("b_rest") - second("a_rest"))
+    no_time = (second("a_rest") == _NO_TIME) | (second("b_rest") == _NO_TIME)
+    offset = lambda w: F.shiftright(w, 3).bitwiseAND(8191)
+    doff = F.abs(offset("a_ground") - offset("b_ground"))
+    steps = int(MAX_OFFSET / GRAIN) + 1
+    one_lacks = F.col("a_ground").bitwiseAND(F.col("b_ground")).bitwiseAND(4) == 0
+    met = left.join(right, "key").where(((dt <= MAX_CLOCK) | (dt >= _DAYS - MAX_CLOCK) | no_time) & ((doff <= steps) | (doff >= 8192 - steps) | one_lacks))
 
-    return df.select("id", "s", "r", "n", "q").mapInArrow(work, "key bigint, id bigint, s bigint, r bigint, q bigint")
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ai, ag, ar, bi, bg, br = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            ok = may_be_one(ag, ar, bg, br)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ai[ok]), pa.array(bi[ok])], names=["a_id", "b_id"])
+
+    pairs = met.select("a_id", "a_ground", "a_rest", "b_id", "b_ground", "b_rest").mapInArrow(sift, "a_id bigint, b_id bigint")
+    return pairs.repartition("b_id").dropDuplicates(["a_id", "b_id"])
+
+
+def cosines(a: dict[str, np.ndarray], b: dict[str, np.ndarray], vec: np.ndarray) -> np.ndarray:
+    """The cosine of the vectors of each pair of records over the attributes that both have; 0 if none."""
+    of_a, of_b = tokens(a), tokens(b)
+    total_a = total_b = np.zeros((len(a["sx"]), DIM), np.float32)
+    for attr in _ATTR:
+        pa_, pb_ = (sum(vec[s] * w[:, None].astype(np.float32) for s, w in edges[attr]) for edges in (of_a, of_b))
+        na, nb = (np.linalg.norm(p, axis=1, keepdims=True) for p in (pa_, pb_))
+        both = (na > 1e-9) & (nb > 1e-9)
+        total_a, total_b = (t + np.where(both, p / np.maximum(n, 1e-9), 0) for t, p, n in ((total_a, pa_, na), (total_b, pb_, nb)))
+    norm = np.linalg.norm(total_a, axis=1) * np.linalg.norm(total_b, axis=1)
+    return np.einsum("nd,nd->n", total_a, total_b) / np.maximum(norm, 1e-9)
+
+
+def _hash(*parts: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        h = (h ^ p.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
-_PAIR = "a_id bigint, b_id bigint, line int, tb int, xb int, yb int, miss float, cos float"
+_PAIR = "a_id bigint, b_id bigint, bin bigint, miss float, cos float"
 
 
-def compared(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of a block that may be one trace, with what the comparison found; a pair comes once for every block it shares.
+def compared(pairs: DataFrame, da: DataFrame, db: DataFrame, vec) -> DataFrame:
+    """(a_id, b_id, bin, miss, cos) of the pairs that keep the limits, from the records' columns as they are.
 
-    Columns: a_id, b_id, line (its hash, with the axes' order), tb, xb, yb (bins of the clock's and the
-    place's shift), miss (cost of the differences), cos (estimate of the vectors' cosine). The plain
-    limits on clock and offset are checked in the join, the geometry on Arrow batches behind it.
+    bin stands for A's line, the axes' order and the cell of the clock's and the place's shift; miss is
+    the cost of the differences, cos the cosine of the vectors. A pair that fits with either order of axes comes twice.
     """
-    left, right = (df.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("id", "s", "r", "q"))) for k, df in (("a", a), ("b", b)))
-    field = lambda w, at, width: F.shiftright(F.col(w), at).bitwiseAND((1 << width) - 1)
-    dt = F.abs(field("b_q", 16, 24) - field("a_q", 16, 24))
-    off = field("a_q", 40, 14), field("b_q", 40, 14)
-    close = (F.abs(off[0] - off[1]) <= int(MAX_OFFSET * 2)) | (off[0] == _NO_OFFSET) | (off[1] == _NO_OFFSET)
-    met = left.join(right, "key").where(((dt <= MAX_CLOCK) | (dt >= _DAYS - MAX_CLOCK)) & close)
+    side = lambda df, k, names: df.select(F.col("id").alias(f"{k}_id"), *(F.col(c).alias(f"{k}_{c}") for c in names))
+    met = pairs.join(side(db, "b", _EXACT), "b_id").join(side(da, "a", (*_EXACT, "line")), "a_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ai, as_, ar, aq, bi, bs, br, bq = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
-            (asx, asy), (arx, ary), (bsx, bsy), (brx, bry) = (_places(w) for w in (as_, ar, bs, br))
-            clock = (((bq >> 16) & (_DAYS - 1)) - ((aq >> 16) & (_DAYS - 1)) + _DAYS // 2) % _DAYS - _DAYS // 2
-            doff = np.abs(_offsets(aq) - _offsets(bq))
-            same = [((x & 1023) == (y & 1023)) & ((x & 1023) != 1023) for x, y in ((as_, bs), (ar, br))]
-            numbers = sum(np.where(k, 0.0, 1.5) for k in same)
-            cos = np.cos(np.bitwise_count((aq ^ bq) & 0xFFFF) * (math.pi / 16))
-            for swapped, (px, py, qx, qy) in enumerate(((bsx, bsy, brx, bry), (bsy, bsx, bry, brx))):
-                sx, sy, rx, ry = px - asx, py - asy, qx - arx, qy - ary
+            a, b = (columns_of(batch, {c: f"{k}_{c}" for c in (*_EXACT, "id")}) for k in "ab")
+            line = batch.column(batch.schema.get_field_index("a_line")).to_numpy(zero_copy_only=False)
+            clock, doff = b["sec"] - a["sec"], np.abs(a["off"] - b["off"])
+            same = [(a[c] % MODULUS == b[c] % MODULUS) & (a[c] > 0) & (b[c] > 0) for c in ("sid", "rid")]
+            plain = sum(np.where(k, 0.0, 1.5) for k in same) + np.where(np.isnan(doff), 1.5, doff * doff / 2) + np.where(np.isnan(clock), 1.5, 0.0)
+            kept, fits = ~(np.abs(clock) > MAX_CLOCK) & ~(doff > MAX_OFFSET), []
+            for swapped, order in enumerate((("sx", "sy", "rx", "ry"), ("sy", "sx", "ry", "rx"))):
+                sx, sy, rx, ry = (b[c] - a[k] for c, k in zip(order, ("sx", "sy", "rx", "ry")))
                 with np.errstate(invalid="ignore"):
                     shape = np.hypot(sx - rx, sy - ry)
                     # one end far off though its number is right: a slip of the pen, so the other end alone counts
@@ -325,18 +392,24 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
                     shape = np.hypot(sx - rx, sy - ry)
                     mx, my = (np.where(np.isnan(s), np.where(np.isnan(r), 0.0, r), np.where(np.isnan(r), s, (s + r) / 2)) for s, r in ((sx, rx), (sy, ry)))
                     far = np.hypot(mx, my)
-                    ok = (far <= MAX_SHIFT) & ~(shape > MAX_SHAPE)
-                    miss = np.where(np.isnan(shape), 1.5, shape * shape / 18) + np.where(np.isnan(doff), 1.5, doff * doff / 2) + numbers + far / 40
-                    ok &= miss <= MAX_MISS
+                    miss = plain + np.where(np.isnan(shape), 1.5, shape * shape / 18) + far / 40
+                    ok = kept & (far <= MAX_SHIFT) & ~(shape > MAX_SHAPE) & (miss <= MAX_MISS)
                 if swapped:  # a record without any place fits both ways; once is enough
                     ok &= ~(np.isnan(sx) & np.isnan(rx))
                 k = np.flatnonzero(ok)
+                where = [np.floor(np.nan_to_num(c[k], nan=-1e9) / size) for c, size in ((clock, CLOCK_BIN), (mx, SHIFT_BIN), (my, SHIFT_BIN))]
+                fits.append((k, _hash(line[k], np.full(len(k), swapped), *where), miss[k]))
+            used = np.unique(np.concatenate([f[0] for f in fits]))
+            if not len(used):
+                continue
+            cos = np.zeros(len(line), np.float32)
+            cos[used] = cosines({c: v[used] for c, v in a.items()}, {c: v[used] for c, v in b.items()}, vec.value[0])
+            for k, bins, miss in fits:
                 if len(k):
-                    line = ((aq[k] >> 54) & 1023) * 2 + swapped
-                    cols = (ai[k], bi[k], line.astype(np.int32), np.floor(clock[k] / CLOCK_BIN).astype(np.int32), np.floor(mx[k] / SHIFT_BIN).astype(np.int32), np.floor(my[k] / SHIFT_BIN).astype(np.int32), miss[k].astype(np.float32), cos[k].astype(np.float32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a_id", "b_id", "line", "tb", "xb", "yb", "miss", "cos"])
+                    cols = (a["id"][k], b["id"][k], bins, miss.astype(np.float32), cos[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a_id", "b_id", "bin", "miss", "cos"])
 
-    return met.select("a_id", "a_s", "a_r", "a_q", "b_id", "b_s", "b_r", "b_q").mapInArrow(compare, _PAIR)
+    return met.mapInArrow(compare, _PAIR)
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
@@ -347,9 +420,8 @@ def best_pairs(pairs: DataFrame) -> DataFrame:
     lead is the distance to the best other A record.
     """
     pairs = durable(pairs)
-    bins = ["line", "tb", "xb", "yb"]
-    votes = pairs.groupBy(*bins).agg(F.log(F.sum(F.exp(-F.col("miss")))).alias("support"))
-    scored = pairs.join(votes, bins).withColumn("score", F.col("support") - F.col("miss"))
+    votes = pairs.groupBy("bin").agg(F.log(F.sum(F.exp(-F.col("miss")))).alias("support"))
+    scored = pairs.join(votes, "bin").withColumn("score", F.col("support") - F.col("miss")).drop("bin")
     of_b = Window.partitionBy("b_id")
     best = scored.withColumn("best", F.max(F.struct("score", (-F.col("a_id")).alias("a"))).over(of_b)).withColumn("other", F.max(F.when(F.col("a_id") != -F.col("best.a"), F.col("score"))).over(of_b))
     chosen = best.where(F.col("a_id") == -F.col("best.a")).groupBy("b_id", "a_id")
@@ -357,21 +429,23 @@ def best_pairs(pairs: DataFrame) -> DataFrame:
     return chosen.agg(F.min("miss").alias("miss"), F.max("cos").alias("cos"), F.max("support").alias("support"), lead.alias("lead"))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (bias last) of a ridge logistic regression by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+#: What is known before any label: weights of (cos, -miss, support, lead) and the bias. Labels move them, by as much as they weigh.
+PRIOR = (4.0, 0.4, 0.2, 0.3, -2.5)
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, weight: float = 0.1) -> np.ndarray:
+    """Weights (bias last) of a logistic regression whose penalty draws them to PRIOR, by Newton steps. Without labels it is PRIOR itself."""
+    prior = np.array(PRIOR)
+    x = np.hstack([x.reshape(-1, len(prior) - 1), np.ones((len(x), 1))])
+    w = prior.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + weight * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (y - p) - weight * (w - prior))
+        w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
     return w
 
 
-#: Used where there are no labels to calibrate with: weights of (cos, -miss, support, lead) and the bias.
-PRIOR = (4.0, 0.4, 0.2, 0.3, -2.5)
-
-
 def crowd(frames: list[DataFrame]) -> int:
     """Records of the fullest tile by either end, of both frames together; copies count."""
     ends = []
@@ -388,28 +462,27 @@ def link(a: DataFrame, b: DataFrame, labels: DataFrame | None = None, a_line: st
 
     Both frames have the columns of the record schema; extra ones are ignored. Copies count once. An
     A record may have several B records. Records of empty tables or without any usable attribute have
-    no pairs. All views need the length, so a record with neither an offset nor both ends has none either. labels (a_record_id, b_record_id, same_trace) calibrate the confidence; of more than
-    MAX_LABELS those with the smallest hashes are used, and with fewer than MIN_EACH right or wrong
-    ones PRIOR holds.
+    no pairs. All views need the length, so a record with neither an offset nor both ends has none either.
+    labels (a_record_id, b_record_id, same_trace) calibrate the confidence; of more than MAX_LABELS those
+    with the smallest hashes are used.
     """
     spark = a.sparkSession
     da, db = digests(a, a_line), digests(b, None)
     rows = a.count() + b.count()
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(rows, 1)) * (1 << 30))
-    sample = da.unionByName(db).where(share).limit(2 * SAMPLE).toPandas().sort_values("id")
-    sampled = unpack(*(sample[c].to_numpy(np.int64) for c in ("s", "r", "n", "q")))
+    share = F.pmod(F.xxhash64(F.col("record_id").cast("bigint")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(rows, 1)) * (1 << 30))
+    sample = digests(a.where(share), None).unionByName(digests(b.where(share), None)).limit(2 * SAMPLE).toPandas().sort_values("id")
+    sampled = {c: sample[c].to_numpy(float if c not in ("sid", "rid") else np.int64) for c in _EXACT}
     trained = train_vectors(sampled)
     vec = spark.sparkContext.broadcast((trained, centres(tokens(sampled), trained)))  # SLOTS x DIM floats and a few vectors
     bits = max(BITS, math.ceil(math.log2(max(crowd([a, b]), 2))))
-    best = durable(best_pairs(compared(blocked(da, vec, bits, wide=False), blocked(db, vec, bits))))
-    weights = np.array(PRIOR)
-    features = ["cos", "miss", "support", "lead"]
+    met = candidates(blocked(da, vec, bits, wide=False), blocked(db, vec, bits))
+    best = durable(best_pairs(compared(met, da, db, vec)))
+    features, x, y = ["cos", "miss", "support", "lead"], np.zeros((0, 4)), np.zeros(0)
     if labels is not None:
         known = labels.where("a_record_id is not null and b_record_id is not null and same_trace is not null").select(F.col("a_record_id").alias("la"), F.col("b_record_id").alias("b_id"), "same_trace").distinct()
         known = known.orderBy(F.xxhash64("la", "b_id")).limit(MAX_LABELS)
         seen = best.join(known, "b_id").where("same_trace or a_id = la").select(*features, ((F.col("a_id") == F.col("la")) & F.col("same_trace")).cast("int").alias("y")).toPandas()
-        if len(seen) >= 50 and min(seen["y"].sum(), (1 - seen["y"]).sum()) >= MIN_EACH:
-            x = seen[features].to_numpy(float) * np.array([1, -1, 1, 1])
-            weights = _logistic(x, seen["y"].to_numpy(float))
-    z = F.lit(float(weights[4])) + F.col("cos") * float(weights[0]) - F.col("miss") * float(weights[1]) + F.col("support") * float(weights[2]) + F.col("lead") * float(weights[3])
+        x, y = seen[features].to_numpy(float) * np.array([1, -1, 1, 1]), seen["y"].to_numpy(float)
+    w = [float(v) for v in calibrated(x, y)]
+    z = F.lit(w[4]) + F.col("cos") * w[0] - F.col("miss") * w[1] + F.col("support") * w[2] + F.col("lead") * w[3]
     return best.select(F.col("a_id").alias("a_record_id"), F.col("b_id").alias("b_record_id"), (1 / (1 + F.exp(-z))).alias("confidence"))

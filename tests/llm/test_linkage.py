@@ -92,21 +92,21 @@ def test_vectors_and_blocks():
     assert linkage.train_vectors(empty).shape == (linkage.SLOTS, linkage.DIM)
 
 
-def block_recall(da, db, queries):
-    """Share of the queries' best partners under all comparisons that their blocks hold too."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    spark = da.sparkSession
-    sample = da.unionByName(db).where("id % 3 = 0").toPandas()
-    cols = linkage.unpack(*(sample[c].to_numpy(np.int64) for c in ("s", "r", "n", "q")))
+def block_recall(a, b, queries):
+    """Share of the queries' nearest partners, found among all A records without the limits of the comparison, that are candidates of their blocks too."""
+    da, db = a.toPandas(), b.where(queries).toPandas()
+    sample = a.unionByName(b).where("id % 3 = 0").toPandas()
+    cols = {c: sample[c].to_numpy(float if c not in ("sid", "rid") else np.int64) for c in linkage._EXACT}
     trained = linkage.train_vectors(cols)
-    vec = spark.sparkContext.broadcast((trained, linkage.centres(linkage.tokens(cols), trained)))
-    blocks = linkage.compared(linkage.blocked(da, vec, linkage.BITS), linkage.blocked(db.where(queries), vec, linkage.BITS)).select("a_id", "b_id").distinct()
-    key = F.lit(0).cast("bigint").alias("key")
-    plain = linkage.compared(da.select(key, "id", "s", "r", "q"), db.where(queries).select(key, "id", "s", "r", "q"))
-    best = plain.withColumn("k", F.row_number().over(Window.partitionBy("b_id").orderBy("miss", "a_id"))).where("k = 1 AND miss <= 4").select("a_id", "b_id")
-    return best.join(blocks, ["a_id", "b_id"]).count(), best.count()
+    vec = a.sparkSession.sparkContext.broadcast((trained, linkage.centres(linkage.tokens(cols), trained)))
+    met = {(r["a_id"], r["b_id"]) for r in linkage.candidates(linkage.blocked(a, vec, linkage.BITS, wide=False), linkage.blocked(b.where(queries), vec, linkage.BITS)).collect()}
+    ends, best = ["sx", "sy", "rx", "ry"], []
+    for r in db.to_dict("records"):
+        p, o = da[ends].to_numpy(float), da["off"].to_numpy(float)
+        either = [np.abs(p - np.array([r[c] for c in order], float)) for order in (ends, ["sy", "sx", "ry", "rx"])]
+        far = np.fmin(*(np.nansum(e, 1) for e in either)) + 5 * np.abs(o - r["off"]) + np.minimum(np.abs(da["sec"].to_numpy(float) - r["sec"]) / 1e4, 100.0)
+        best.append((int(da["id"].iloc[int(np.nanargmin(far))]), r["id"]))
+    return sum(p in met for p in best), len(best)
 
 
 def test_blocks_hold_the_best_partners(spark):
@@ -117,6 +117,62 @@ def test_blocks_hold_the_best_partners(spark):
     assert all_ > 150 and found >= 0.9 * all_, (found, all_)
 
 
+def test_words_rule_out_no_pair():
+    """Whatever the exact comparison keeps, the words let through: large places, far ends that slipped, missing parts."""
+    r = np.random.default_rng(3)
+    n = 20_000
+    base = {c: r.uniform(-5e8, 5e8, n) for c in ("sx", "sy", "rx", "ry")} | {"off": r.uniform(0, 40_000, n), "sec": r.uniform(1.7e9, 1.8e9, n), "sid": r.integers(0, 4000, n), "rid": r.integers(0, 4000, n)}
+    shift = {c: r.uniform(-60, 60, n) for c in "xy"}
+    near = {c: base[c] + shift[c[1]] + r.normal(0, 3, n) for c in ("sx", "sy", "rx", "ry")} | {"off": base["off"] + r.uniform(-4, 4, n), "sec": base["sec"] + r.uniform(-43_000, 43_000, n), "sid": base["sid"] % 1000, "rid": base["rid"]}
+    for c in ("sx", "rx"):
+        gone = r.random(n) < 0.1
+        near[c][gone] = near[c[0] + "y"][gone] = np.nan
+    slip = r.random(n) < 0.1
+    near["sx"][slip] += r.uniform(100, 1e6, slip.sum())
+    near["off"][r.random(n) < 0.1] = np.nan
+    near["sec"][r.random(n) < 0.1] = np.nan
+    ok = linkage.may_be_one(*linkage.words(base), *linkage.words(near))
+    sx, sy, rx, ry = (near[c] - base[c] for c in ("sx", "sy", "rx", "ry"))
+    shape, doff = np.hypot(sx - rx, sy - ry), np.abs(near["off"] - base["off"])
+    same = [(base[c] % 1000 == near[c] % 1000) & (base[c] > 0) & (near[c] > 0) for c in ("sid", "rid")]
+    slipped = (shape > linkage.SLIP) & same[0] & (np.hypot(rx, ry) <= linkage.MAX_SHIFT) & (np.hypot(sx, sy) > linkage.SLIP)
+    sx[slipped] = sy[slipped] = shape[slipped] = np.nan
+    middle = [np.nanmean([s, t], 0) for s, t in ((sx, rx), (sy, ry))]
+    far = np.hypot(*(np.nan_to_num(m) for m in middle))
+    miss = sum(np.where(k, 0, 1.5) for k in same) + np.where(np.isnan(doff), 1.5, doff**2 / 2) + np.where(np.isnan(shape), 1.5, shape**2 / 18) + far / 40
+    kept = (far <= linkage.MAX_SHIFT) & ~(shape > linkage.MAX_SHAPE) & ~(doff > linkage.MAX_OFFSET) & (miss <= linkage.MAX_MISS)
+    assert kept.sum() > 5_000 and (ok | ~kept).all()
+    stranger = {c: np.roll(v, 1) for c, v in near.items()}
+    assert linkage.may_be_one(*linkage.words(base), *linkage.words(stranger)).mean() < 0.2
+
+
+def test_long_offsets_and_many_lines(spark):
+    """Offsets of 12 km, 3,000 lines and coordinates of 40 million metres are matched like any others."""
+    r = random.Random(5)
+    t0 = datetime(2024, 2, 1)
+    a, b = [], []
+    for line in range(3000):
+        sx, sy = 4.0e7 + line % 60 * 500.0, 4.1e7 + line // 60 * 500.0
+        for k in range(2):
+            rx, ry = sx + 12_000 + k * 700.0 + r.uniform(-50, 50), sy + r.uniform(-300, 300)
+            off = ((rx - sx) ** 2 + (ry - sy) ** 2) ** 0.5
+            row = [line * 2 + k, f"L{line}", 1000 + line, 2000 + k, sx, sy, rx, ry, True, True, off, True, t0 + timedelta(seconds=line * 20), 1, "x"]
+            a.append(tuple(row))
+            g = lambda: r.gauss(0, 1)
+            b.append((10**6 + row[0], "other", row[2], row[3], sx + 5 + g(), sy - 9 + g(), rx + 5 + g(), ry - 9 + g(), True, True, off + 0.3 * g(), True, row[12] + timedelta(seconds=60), 1, "x"))
+    got = linkage.link(spark.createDataFrame(a, COLS), spark.createDataFrame(b, COLS)).where("confidence >= 0.5").collect()
+    right = sum(x["b_record_id"] - 10**6 == x["a_record_id"] for x in got)
+    assert right >= 0.93 * len(b) and right >= 0.98 * len(got), (right, len(got))
+
+
+def test_labels_move_the_calibration_by_their_weight():
+    assert np.allclose(linkage.calibrated(np.zeros((0, 4)), np.zeros(0)), linkage.PRIOR)
+    x = np.array([[0.9, -1.0, 3.0, 5.0]])
+    one, many = (linkage.calibrated(np.repeat(x, n, 0), np.zeros(n)) for n in (1, 400))
+    score = lambda w: float(x[0] @ w[:4] + w[4])
+    assert score(np.array(linkage.PRIOR)) > score(one) > score(many) and score(many) < 0
+
+
 def area_recall(side, n):
     """Share of 5,000 shifted and noisy records that share a block of the views by place with their originals, on a square of `side` metres."""
     r = np.random.default_rng(0)
