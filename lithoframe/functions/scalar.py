@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 # Labels of SEG-Y codes.
-SAMPLE_FORMATS = {1: "IBM float32", 2: "int32", 3: "int16", 5: "IEEE float32", 6: "IEEE float64", 7: "int24", 8: "int8", 9: "int64", 10: "uint32", 11: "uint16", 12: "uint64", 15: "uint24", 16: "uint8"}
+SAMPLE_FORMATS = {1: "IBM float32", 2: "int32", 3: "int16", 4: "fixed point with gain", 5: "IEEE float32", 6: "IEEE float64", 7: "int24", 8: "int8", 9: "int64", 10: "uint32", 11: "uint16", 12: "uint64", 15: "uint24", 16: "uint8"}
 MEASUREMENT_SYSTEMS = {1: "metres", 2: "feet"}
 COORDINATE_UNITS = {1: "length", 2: "seconds of arc", 3: "decimal degrees", 4: "degrees, minutes, seconds"}
+TRACE_KINDS = {
+    1: "seismic data", 2: "dead", 3: "dummy", 4: "time break", 5: "uphole", 6: "sweep", 7: "timing", 8: "waterbreak", 9: "near-field gun signature", 10: "far-field gun signature", 11: "seismic pressure sensor",
+    12: "multicomponent vertical", 13: "multicomponent crossline", 14: "multicomponent inline", 15: "rotated vertical", 16: "rotated transverse", 17: "rotated radial", 18: "vibrator reaction mass",
+    19: "vibrator baseplate", 20: "vibrator estimated ground force", 21: "vibrator reference", 22: "time-velocity pairs",
+}
 TIME_BASES = {1: "local", 2: "GMT", 3: "other", 4: "UTC", 5: "GPS"}
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.functions.scalar import is_finite
+from lithoframe.functions.scalar import COORDINATE_UNITS, MEASUREMENT_SYSTEMS, SAMPLE_FORMATS, TIME_BASES, TRACE_KINDS, code_label, is_finite, scaled
 from lithoframe.operators import acquisition, lines
+from lithoframe.sources.words import SCALED_BY
 
 WIGGLE_FACTORS = (1, 2, 4, 5, 8)
 
@@ -57,15 +58,25 @@ def choose_navigation(files: DataFrame, nav: DataFrame) -> DataFrame:
 
 
 def interpreted(words: DataFrame) -> DataFrame:
-    """Header words (path, trace_number, name, value) with `scaled`: elevations, coordinates and shotpoint numbers under their scalars, the others as they are."""
-    by = {"elevation_scalar": ("receiver_elevation", "surface_elevation", "source_depth", "receiver_datum", "source_datum", "source_water_depth", "receiver_water_depth"), "coordinate_scalar": ("source_x", "source_y", "receiver_x", "receiver_y", "cdp_x", "cdp_y"), "shotpoint_scalar": ("shotpoint_number",)}
-    scalars = words.where(F.col("name").isin(*by)).groupBy("path", "trace_number").agg(*(F.max(F.when(F.col("name") == s, F.col("value"))).alias(s) for s in by))
+    """Header words (path, trace_number, name, value, unit) with `scaled`, `meaning` and `shown_unit`.
+
+    scaled has elevations, coordinates and shotpoint numbers under their scalars, the others as they
+    are; meaning is the label of a code, null of other words; shown_unit names the coordinates' unit
+    where the word has that. Rows of a binary header have no trace_number; their scalars are none.
+    """
+    words = words if "trace_number" in words.columns else words.withColumn("trace_number", F.lit(None).cast("bigint"))
+    needed = (*dict.fromkeys(SCALED_BY.values()), "coordinate_units")
+    per_trace = words.where(F.col("name").isin(*needed)).groupBy("path", "trace_number").agg(*(F.max(F.when(F.col("name") == s, F.col("value"))).alias(f"_{s}") for s in needed))
     factor = F.lit(None).cast("bigint")
-    for s, names in by.items():
-        factor = F.when(F.col("name").isin(*names), F.col(s)).otherwise(factor)
-    v = F.col("value").cast("double")
-    joined = words.join(scalars, ["path", "trace_number"], "left").withColumn("_f", factor)
-    return joined.withColumn("scaled", F.when(F.col("_f") > 0, v * F.col("_f")).when(F.col("_f") < 0, v / -F.col("_f")).otherwise(v)).select(*words.columns, "scaled")
+    for name, s in SCALED_BY.items():
+        factor = F.when(F.col("name") == name, F.col(f"_{s}")).otherwise(factor)
+    meaning = F.lit(None).cast("string")
+    for name, labels in (("format_code", SAMPLE_FORMATS), ("measurement_system", MEASUREMENT_SYSTEMS), ("coordinate_units", COORDINATE_UNITS), ("time_basis", TIME_BASES), ("trace_id_code", TRACE_KINDS)):
+        meaning = F.when(F.col("name") == name, code_label(F.col("value").cast("int"), labels)).otherwise(meaning)
+    meaning = F.when(F.col("name") == "revision", F.format_string("%d.%d", F.floor(F.col("value") / 256).cast("int"), (F.col("value") % 256).cast("int"))).otherwise(meaning)
+    unit = F.when(F.col("unit") == "xy", code_label(F.col("_coordinate_units").cast("int"), COORDINATE_UNITS)).otherwise(F.col("unit"))
+    met = words.join(per_trace.withColumnsRenamed({"path": "_path", "trace_number": "_trace"}), F.col("path").eqNullSafe(F.col("_path")) & F.col("trace_number").eqNullSafe(F.col("_trace")), "left")
+    return met.select(*words.columns, scaled("value", factor).alias("scaled"), meaning.alias("meaning"), unit.alias("shown_unit"))
 
 
 def header_filter(words: DataFrame, keep: str, key_fields: tuple[str, ...] = ()) -> DataFrame:

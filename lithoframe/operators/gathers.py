@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.scalar import centred_bin, is_finite
+from lithoframe.operators.ordering import numbered
 
 OFFSET_WIDTH, AZIMUTH_WIDTH = 20.0, 1.0
 
@@ -85,18 +86,9 @@ def ordered_gather(df: DataFrame, group: list[str], mode: str = "physical") -> D
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*secondary_order(mode))) - 1)
 
 
-def two_level(df: DataFrame, primary: str, mode: str, buckets: int = 64) -> DataFrame:
-    """Adds output_order (from 0) of all rows by primary key, then secondary order, without one global sort.
-
-    Rows are counted per primary key; the key's offset plus the place within the key is the order.
-    Rows without the key come last.
-    """
-    key = F.coalesce(F.col(primary).cast("double"), F.lit(float("inf")))
-    keyed = df.withColumn("_k", key)
-    sizes = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_k", (F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_k").orderBy(*secondary_order(mode))) - 1
-    return keyed.withColumn("_r", within).join(before, "_k").withColumn("output_order", F.col("_before") + F.col("_r")).drop("_k", "_r", "_before")
+def two_level(df: DataFrame, primary: str, mode: str) -> DataFrame:
+    """Adds output_order (from 0) of all rows by primary key, then secondary order, then trace number. Rows without the key come last; a key may hold any share of the rows."""
+    return numbered(df, [F.col(primary).cast("double").asc_nulls_last(), *secondary_order(mode)], "output_order")
 
 
 def select_keys(df: DataFrame, key: str, keys: list[int]) -> DataFrame:
@@ -116,9 +108,10 @@ def raw_range(df: DataFrame, first: int, end: int, n_traces: int) -> DataFrame:
 
 def adjacent_keys(df: DataFrame, key: str) -> DataFrame:
     """(key, previous, next) of the sorted keys; the ends are their own neighbours."""
-    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
-    w = Window.orderBy("key")
-    return keys.select("key", F.coalesce(F.lag("key").over(w), F.col("key")).alias("previous"), F.coalesce(F.lead("key").over(w), F.col("key")).alias("next"))
+    keys = numbered(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct(), ["key"])
+    beside = lambda name, by: keys.select(F.col("key").alias(name), (F.col("n") + by).alias("n"))
+    met = keys.join(beside("p", 1), "n", "left").join(beside("x", -1), "n", "left")
+    return met.select("key", F.coalesce("p", "key").alias("previous"), F.coalesce("x", "key").alias("next"))
 
 
 def parse_keys(text: str, available: list[float]) -> list[float]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.operators.gathers import with_flags
+from lithoframe.operators.ordering import surrounded
 
 
 def _ranks(df: DataFrame, axis: str, name: str) -> DataFrame:
@@ -51,17 +52,15 @@ def trace_at(index: DataFrame, il: int, xl: int) -> DataFrame:
 def nearest_rank(ranks: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, rank): rank of the axis value nearest to each query's target, -1 outside the axis, the lower one at a tie.
 
-    ranks (value, rank) is sorted by merging it with the queries: each query looks at the last value
-    before and the first one after it.
+    ranks (value, rank) is merged with the queries: each query looks at the last value before and the
+    first one after it.
     """
     both = ranks.select(F.col("value").cast("double").alias("v"), F.col("rank").cast("int").alias("rank"), F.lit(None).cast("bigint").alias("qid")).unionByName(
         queries.select(F.col("target").cast("double").alias("v"), F.lit(None).cast("int").alias("rank"), "qid")
     )
-    at = F.when(F.col("rank").isNotNull(), F.struct("v", "rank"))
-    below = F.last(at, ignorenulls=True).over(Window.orderBy("v", F.col("rank").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    above = F.last(at, ignorenulls=True).over(Window.orderBy(F.desc("v"), F.col("rank").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    merged = both.select("qid", "v", below.alias("lo"), above.alias("hi")).where("qid IS NOT NULL")
-    nearest = F.when(F.col("lo").isNull() | F.col("hi").isNull(), F.lit(-1)).when(F.col("v") - F.col("lo.v") <= F.col("hi.v") - F.col("v"), F.col("lo.rank")).otherwise(F.col("hi.rank"))
+    merged = surrounded(both, ["v"], F.when(F.col("rank").isNotNull(), F.struct("v", "rank")), "lo", "hi").where("qid IS NOT NULL")
+    # equal values tie, so a query may stand on either side of its own: looking both ways meets it
+    nearest = F.when(F.col("lo").isNull() | F.col("hi").isNull(), F.when(F.coalesce("lo.v", "hi.v") == F.col("v"), F.coalesce("lo.rank", "hi.rank")).otherwise(F.lit(-1))).when(F.col("v") - F.col("lo.v") <= F.col("hi.v") - F.col("v"), F.col("lo.rank")).otherwise(F.col("hi.rank"))
     return merged.select("qid", nearest.alias("rank"))
 
 

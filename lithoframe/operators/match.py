@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.scalar import is_finite
+from lithoframe.operators.ordering import numbered
 from lithoframe.runtime import durable
 
 STRATEGIES = ("source_receiver_id", "source_receiver_xy", "cdp_signed_offset")
@@ -98,7 +99,7 @@ def match(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = both.agg((F.count_if(F.col("side") == "a") == F.count_if(F.col("side") == "b")).alias("equal"), F.coalesce(F.bool_and(is_valid()), F.lit(False)).alias("valid"))
     plain = facts.collect()[0]
     if plain["equal"] and plain["valid"] and not known.take(1):
-        nth = lambda df, name: df.select(F.col("ord").alias(name), F.row_number().over(Window.orderBy("ord")).alias("n"))
+        nth = lambda df, name: numbered(df.select(F.col("ord").alias(name)), [name])
         found = nth(a, "a_ord").join(nth(b, "b_ord"), "n").select("a_ord", "b_ord", F.lit("physical_trace_order").alias("strategy"))
         return found, found.select(F.lit("a").alias("side"), F.col("a_ord").alias("ord"), F.lit("matched").alias("class")).unionByName(found.select(F.lit("b"), F.col("b_ord"), F.lit("matched")).toDF("side", "ord", "class"))
 
@@ -120,13 +121,7 @@ def logical_rows(pairs: DataFrame, classes: DataFrame, allowed: tuple[str, ...]
     a = classes.where("side = 'a'").select(F.col("ord").alias("a_ord"), "class").join(pairs.select("a_ord", "b_ord"), "a_ord", "left").withColumn("part", F.lit(0))
     b = classes.where("side = 'b' AND class <> 'matched'").select(F.lit(None).cast("bigint").alias("a_ord"), "class", F.col("ord").alias("b_ord"), F.lit(1).alias("part"))
     rows = a.select("a_ord", "class", "b_ord", "part").unionByName(b).where(F.col("class").isin(*allowed))
-    # numbered without one global sort: an offset for each part and range of 4096 order values
-    at = F.coalesce("a_ord", "b_ord")
-    keyed = rows.withColumn("o", at).withColumn("chunk", F.floor(F.col("o") / 4096))
-    sizes = keyed.groupBy("part", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", "chunk", (F.sum("n").over(Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part", "chunk").orderBy("o", "class")) - 1
-    return keyed.withColumn("r", within).join(before, ["part", "chunk"]).select((F.col("before") + F.col("r")).alias("row"), "class", "a_ord", "b_ord")
+    return numbered(rows.withColumn("_o", F.coalesce("a_ord", "b_ord")), ["part", "_o", "class"], "row").select("row", "class", "a_ord", "b_ord")
 
 
 def class_counts(classes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions.scalar import is_finite
 from lithoframe.operators.gathers import with_flags
+from lithoframe.operators.ordering import accumulated, numbered
 
 
 def nearest_index(i: Column, width: int, n: Column) -> Column:
@@ -29,21 +30,17 @@ def nearest_raster(df: DataFrame, width: int, height: int, order: str = "trace",
     Only traces that a column shows are kept before their samples are touched; they are numbered by
     counting, not by one sort of all.
     """
-    ranked = _ranked(df, order, samples)
+    ranked = _ranked(df, order)
     n = ranked.agg((F.max("r") + 1).alias("n"))
     columns = n.where("n > 0").select("n", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("px")).select("px", nearest_index(F.col("px"), width, F.col("n")).cast("bigint").alias("r"))
-    shown = columns.join(ranked, "r")
+    shown = columns.join(ranked, "r").join(df.select(order, samples), order)
     rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.struct(y.alias("py"), F.try_element_at(F.col(samples), nearest_index(y, height, F.size(samples)) + 1).alias("v")))
     return shown.select("px", F.explode(rows).alias("c")).select("px", "c.py", clean(F.col("c.v")).alias("value"))
 
 
-def _ranked(df: DataFrame, order: str, samples: str, chunk: int = 4096) -> DataFrame:
-    """(r, order, samples): rank of each trace, from counts of ranges of 4096 order values."""
-    keyed = df.select(order, samples).withColumn("_c", F.floor(F.col(order) / chunk))
-    sizes = keyed.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_c", (F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_b"))
-    within = F.row_number().over(Window.partitionBy("_c").orderBy(order)) - 1
-    return keyed.withColumn("_r", within).join(before, "_c").select((F.col("_b") + F.col("_r")).cast("bigint").alias("r"), order, samples)
+def _ranked(df: DataFrame, order: str) -> DataFrame:
+    """(r, order): rank of each trace. Samples aren't touched; what is shown is joined to them afterwards."""
+    return numbered(df.select(order), [order], "r")
 
 
 def bilinear(grid: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -56,26 +53,37 @@ def bilinear(grid: np.ndarray, height: int, width: int) -> np.ndarray:
     return g[np.ix_(y0, x0)] * (1 - fy) * (1 - fx) + g[np.ix_(y0, x1)] * (1 - fy) * fx + g[np.ix_(y1, x0)] * fy * (1 - fx) + g[np.ix_(y1, x1)] * fy * fx
 
 
+def _down(lists: pa.Array, height: int) -> np.ndarray:
+    """Traces (rows) resampled to a height, those of one length at a time; values that aren't finite are 0, a trace without samples is 0."""
+    n = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    flat, starts, out = np.where(np.isfinite(flat), flat, 0.0), np.r_[0, np.cumsum(n)[:-1]], np.zeros((len(n), height))
+    for k in np.unique(n[n > 0]):
+        at = np.flatnonzero(n == k)
+        y = np.linspace(0, k - 1, height) if height > 1 else np.zeros(1)
+        y0 = np.floor(y).astype(int)
+        block, fy = flat[starts[at][:, None] + np.arange(k)], y - y0
+        out[at] = block[:, y0] * (1 - fy) + block[:, np.minimum(y0 + 1, k - 1)] * fy
+    return out
+
+
 def bilinear_raster(df: DataFrame, width: int, height: int, order: str = "trace", samples: str = "samples") -> DataFrame:
     """(px, py, value): a smooth raster. Each output column mixes the two traces around it, so columns are made apart, each from two traces."""
-    ranked = _ranked(df, order, samples)
+    ranked = _ranked(df, order)
     n = ranked.agg((F.max("r") + 1).alias("n")).where("n > 0")
     at = F.col("px") * (F.col("n") - 1) / F.lit(float(max(width - 1, 1)))
     columns = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("px")).select("px", F.floor(at).cast("bigint").alias("l"), F.least(F.floor(at) + 1, F.col("n") - 1).cast("bigint").alias("h"), (at - F.floor(at)).alias("f"))
-    left, right = (ranked.select(F.col("r").alias(k), F.col(samples).alias(f"s{k}")) for k in "lh")
-    met = columns.join(left, "l").join(right, "h").select("px", "f", "sl", "sh")
+    at_rank = lambda k: ranked.select(F.col("r").alias(k), F.col(order).alias(f"t{k}"))
+    with_samples = lambda k: df.select(F.col(order).alias(f"t{k}"), F.col(samples).alias(f"s{k}"))
+    met = columns.join(at_rank("l"), "l").join(at_rank("h"), "h").join(with_samples("l"), "tl").join(with_samples("h"), "th").select("px", "f", "sl", "sh")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            px, py, value = [], [], []
-            for p, f, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                two = np.array([a, b], dtype=float).T
-                col = bilinear(two, height, 2)
-                px.append(np.full(height, p, np.int32))
-                py.append(np.arange(height, dtype=np.int32))
-                value.append(col[:, 0] * (1 - f) + col[:, 1] * f)
-            if px:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (px, py, value)], names=["px", "py", "value"])
+            px, f = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            left, right = (_down(batch.column(k), height) for k in (2, 3))
+            value = left * (1 - f[:, None]) + right * f[:, None]
+            cols = (np.repeat(px, height).astype(np.int32), np.tile(np.arange(height, dtype=np.int32), len(px)), value.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["px", "py", "value"])
 
     return met.mapInArrow(work, "px int, py int, value double")
 
@@ -83,20 +91,16 @@ def bilinear_raster(df: DataFrame, width: int, height: int, order: str = "trace"
 def order_range(df: DataFrame, value: str, gain: float) -> DataFrame:
     """One row (lo, hi): order statistics that cut gain percent off either end, without interpolation; gain is held in 0..49.
 
-    The two ranks are found by counting values, not by collecting them.
+    Distinct values are counted, then placed by ranges of the values themselves, so heavy tails don't
+    crowd one range; a range's values are summed within it, the ranges' sums among each other.
     """
     g = min(max(gain, 0.0), 49.0)
     v = df.where(is_finite(value)).select(F.col(value).cast("double").alias("v"))
     if g == 0:
         return v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     counted = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    coarse = counted.agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.sum("n").alias("t"))
-    slot = F.when(F.col("v1") > F.col("v0"), F.floor((F.col("v") - F.col("v0")) / (F.col("v1") - F.col("v0")) * 1023)).otherwise(F.lit(0))
-    placed = with_flags(counted, coarse).withColumn("slot", slot)
-    sizes = placed.groupBy("slot").agg(F.sum("n").alias("m"))
-    before = sizes.select("slot", (F.sum("m").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("b"))
-    upto = F.col("b") + F.sum("n").over(Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.join(before, "slot").withColumn("upto", upto)
+    ranked = accumulated(counted, ["v"], "n", "upto")
+    ranked = with_flags(ranked, ranked.agg(F.max("upto").alias("t")))
     # the k-th order statistic is the smallest value that more than k values don't exceed
     k = lambda p: F.least(F.floor(F.col("t") * F.lit(p) / 100), F.col("t") - 1)
     return ranked.agg(F.min(F.when(F.col("upto") > k(g), F.col("v"))).alias("lo"), F.min(F.when(F.col("upto") > k(100 - g), F.col("v"))).alias("hi"))
@@ -139,16 +143,17 @@ def raster_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("px", "py", F.col("value").cast("float").alias("va")).join(b.select("px", "py", F.col("value").cast("float").alias("vb")), ["px", "py"]).select("px", "py", (F.col("va") - F.col("vb")).alias("value"))
 
 
-def shared_range(a: DataFrame, b: DataFrame, gain: float = 0.0, budget: int = 200_000) -> DataFrame:
+def shared_range(a: DataFrame, b: DataFrame, gain: float = 0.0, budget: int | None = None) -> DataFrame:
     """One row (lo, hi) for both slices: order statistics of their finite values; (-1, 1) without any, one wide if constant.
 
-    From `budget` values on every k-th of them is taken by the hash of its place, as the display needs
-    no more; k is 1 below it.
+    All values count. With a budget, as a display may ask for, of more values than that every k-th is
+    taken by the hash of its place.
     """
     values = a.select("il", "xl", "value").unionByName(b.select("il", "xl", "value")).where(is_finite("value"))
-    n = values.agg(F.count(F.lit(1)).alias("_n"))
-    thinned = with_flags(values, n).where(F.pmod(F.xxhash64("il", "xl"), F.greatest(F.lit(1), F.floor(F.col("_n") / budget)).cast("bigint")) == 0)
-    r = order_range(thinned, "value", gain)
+    if budget:
+        n = values.agg(F.count(F.lit(1)).alias("_n"))
+        values = with_flags(values, n).where(F.pmod(F.xxhash64("il", "xl"), F.greatest(F.lit(1), F.floor(F.col("_n") / budget)).cast("bigint")) == 0)
+    r = order_range(values, "value", gain)
     lo = F.coalesce("lo", F.lit(-1.0))
     return r.select(lo.alias("lo"), F.when(F.coalesce("hi", F.lit(1.0)) > lo, F.coalesce("hi", F.lit(1.0))).otherwise(lo + 1).alias("hi"))
 

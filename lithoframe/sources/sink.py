@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithoframe.operators.ordering import numbered
 from lithoframe.sources.segy import Layout, open_layout, register
 from lithoframe.sources.words import encode_samples
 
@@ -129,8 +130,8 @@ def _finish(ordered: DataFrame, path: str, header: bytes, trace_bytes: int) -> i
 
 
 def number_traces(df: DataFrame, *order: str) -> DataFrame:
-    """(trace_number, output_order): a gather's traces in the order of its columns. A gather is what one export holds."""
-    return df.select("trace_number", (F.row_number().over(Window.orderBy(*order)) - 1).alias("output_order"))
+    """(trace_number, output_order): a selection's traces in the order of its columns, from 0; any number of them."""
+    return numbered(df.select("trace_number", *(c for c in order if c != "trace_number")), list(order), "output_order").select("trace_number", "output_order")
 
 
 #: Columns of a gather list; numbers of traces and samples are given from 1.

@@ -2,36 +2,166 @@
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 import numpy as np
 
-# Fixed values: (name, first byte from 1 of the file, bytes) of the binary header.
-BINARY_WORDS = [
-    ("job_id", 3201, 4), ("line_number", 3205, 4), ("reel_number", 3209, 4), ("traces_per_ensemble", 3213, 2), ("auxiliary_traces", 3215, 2),
-    ("sample_interval_us", 3217, 2), ("original_interval_us", 3219, 2), ("sample_count", 3221, 2), ("original_count", 3223, 2), ("format_code", 3225, 2),
-    ("ensemble_fold", 3227, 2), ("trace_sorting", 3229, 2), ("vertical_sum", 3231, 2), ("sweep_start_hz", 3233, 2), ("sweep_end_hz", 3235, 2),
-    ("sweep_length_ms", 3237, 2), ("sweep_type", 3239, 2), ("sweep_channel", 3241, 2), ("taper_start_ms", 3243, 2), ("taper_end_ms", 3245, 2),
-    ("taper_type", 3247, 2), ("correlated", 3249, 2), ("gain_recovered", 3251, 2), ("amplitude_recovery", 3253, 2), ("measurement_system", 3255, 2),
-    ("impulse_polarity", 3257, 2), ("vibratory_polarity", 3259, 2), ("revision", 3501, 2), ("fixed_length", 3503, 2), ("extended_headers", 3505, 2), ("time_basis", 3507, 2),
-]
-
-# Fixed values: (name, first byte from 1 of the trace header, bytes).
-TRACE_WORDS = [
-    ("trace_in_line", 1, 4), ("trace_in_file", 5, 4), ("source_id", 9, 4), ("trace_in_field", 13, 4), ("shotpoint", 17, 4), ("cdp", 21, 4), ("trace_in_ensemble", 25, 4),
-    ("trace_id_code", 29, 2), ("vertical_stack", 31, 2), ("horizontal_stack", 33, 2), ("data_use", 35, 2), ("header_offset", 37, 4), ("receiver_elevation", 41, 4),
-    ("surface_elevation", 45, 4), ("source_depth", 49, 4), ("receiver_datum", 53, 4), ("source_datum", 57, 4), ("source_water_depth", 61, 4), ("receiver_water_depth", 65, 4),
-    ("elevation_scalar", 69, 2), ("coordinate_scalar", 71, 2), ("source_x", 73, 4), ("source_y", 77, 4), ("receiver_x", 81, 4), ("receiver_y", 85, 4), ("coordinate_units", 89, 2),
-    ("weathering_velocity", 91, 2), ("subweathering_velocity", 93, 2), ("source_uphole_ms", 95, 2), ("receiver_uphole_ms", 97, 2), ("source_static_ms", 99, 2), ("receiver_static_ms", 101, 2),
-    ("total_static_ms", 103, 2), ("lag_a_ms", 105, 2), ("lag_b_ms", 107, 2), ("delay_ms", 109, 2), ("mute_start_ms", 111, 2), ("mute_end_ms", 113, 2), ("sample_count", 115, 2),
-    ("sample_interval_us", 117, 2), ("gain_type", 119, 2), ("gain_constant_db", 121, 2), ("initial_gain_db", 123, 2), ("correlated", 125, 2), ("sweep_start_hz", 127, 2), ("sweep_end_hz", 129, 2),
-    ("sweep_length_ms", 131, 2), ("sweep_type", 133, 2), ("taper_start_ms", 135, 2), ("taper_end_ms", 137, 2), ("taper_type", 139, 2), ("alias_hz", 141, 2), ("alias_slope", 143, 2),
-    ("notch_hz", 145, 2), ("notch_slope", 147, 2), ("low_cut_hz", 149, 2), ("high_cut_hz", 151, 2), ("low_cut_slope", 153, 2), ("high_cut_slope", 155, 2), ("year", 157, 2), ("day_of_year", 159, 2),
-    ("hour", 161, 2), ("minute", 163, 2), ("second", 165, 2), ("time_basis", 167, 2), ("weighting_factor", 169, 2), ("roll_position", 171, 2), ("first_trace_group", 173, 2), ("last_trace_group", 175, 2),
-    ("gap_size", 177, 2), ("over_travel", 179, 2), ("cdp_x", 181, 4), ("cdp_y", 185, 4), ("inline", 189, 4), ("crossline", 193, 4), ("shotpoint_number", 197, 4), ("shotpoint_scalar", 201, 2),
-    ("value_unit", 203, 2), ("transduction_mantissa", 205, 4), ("transduction_exponent", 209, 2), ("transduction_unit", 211, 2), ("device_id", 213, 2), ("time_scalar", 215, 2), ("source_type", 217, 2),
-    ("source_direction_a", 219, 2), ("source_direction_b", 221, 4), ("source_measure_mantissa", 225, 4), ("source_measure_exponent", 229, 2), ("source_measure_unit", 231, 2), ("unassigned", 233, 4),
-]
-#: Words that are counts and so without a sign.
-UNSIGNED = {"sample_count", "sample_interval_us", "original_count", "original_interval_us"}
+class Word(NamedTuple):
+    """A word of a header: where it is and how it is read."""
+
+    name: str
+    byte: int
+    kind: str
+    unit: str
+
+    @property
+    def width(self) -> int:
+        return int(self.kind[1])
+
+    @property
+    def unsigned(self) -> bool:
+        return self.kind[0] == "u"
+
+
+def _words(table: str) -> list[Word]:
+    cells = (line.split() for line in table.strip().splitlines())
+    return [Word(c[0], int(c[1]), c[2], c[3] if len(c) > 3 else "") for c in cells]
+
+
+# Name, first byte from 1 of the file, kind (u without a sign, i with one, and the bytes) and unit of the binary header's words.
+BINARY_WORDS = _words("""
+job_id 3201 i4
+line_number 3205 i4
+reel_number 3209 i4
+traces_per_ensemble 3213 u2 traces
+auxiliary_traces 3215 u2 traces
+sample_interval_us 3217 u2 us
+original_interval_us 3219 u2 us
+sample_count 3221 u2 samples
+original_count 3223 u2 samples
+format_code 3225 u2
+ensemble_fold 3227 u2
+trace_sorting 3229 i2
+vertical_sum 3231 u2
+sweep_start_hz 3233 u2 Hz
+sweep_end_hz 3235 u2 Hz
+sweep_length_ms 3237 u2 ms
+sweep_type 3239 i2
+sweep_channel 3241 u2
+taper_start_ms 3243 u2 ms
+taper_end_ms 3245 u2 ms
+taper_type 3247 i2
+correlated 3249 i2
+gain_recovered 3251 i2
+amplitude_recovery 3253 i2
+measurement_system 3255 i2
+impulse_polarity 3257 i2
+vibratory_polarity 3259 i2
+revision 3501 u2
+fixed_length 3503 u2
+extended_headers 3505 i2 headers
+max_additional_headers 3507 u4 headers
+""")
+
+# The same of a trace header's words, bytes from 1 of the header. The unit "xy" is that of the coordinates.
+TRACE_WORDS = _words("""
+trace_in_line 1 i4
+trace_in_file 5 i4
+source_id 9 i4
+trace_in_field 13 i4
+shotpoint 17 i4
+cdp 21 i4
+trace_in_ensemble 25 i4
+trace_id_code 29 i2
+vertical_stack 31 u2
+horizontal_stack 33 u2
+data_use 35 i2
+header_offset 37 i4 xy
+receiver_elevation 41 i4 xy
+surface_elevation 45 i4 xy
+source_depth 49 i4 xy
+receiver_datum 53 i4 xy
+source_datum 57 i4 xy
+source_water_depth 61 i4 xy
+receiver_water_depth 65 i4 xy
+elevation_scalar 69 i2
+coordinate_scalar 71 i2
+source_x 73 i4 xy
+source_y 77 i4 xy
+receiver_x 81 i4 xy
+receiver_y 85 i4 xy
+coordinate_units 89 i2
+weathering_velocity 91 u2
+subweathering_velocity 93 u2
+source_uphole_ms 95 u2 ms
+receiver_uphole_ms 97 u2 ms
+source_static_ms 99 i2 ms
+receiver_static_ms 101 i2 ms
+total_static_ms 103 i2 ms
+lag_a_ms 105 i2 ms
+lag_b_ms 107 i2 ms
+delay_ms 109 i2 ms
+mute_start_ms 111 i2 ms
+mute_end_ms 113 i2 ms
+sample_count 115 u2 samples
+sample_interval_us 117 u2 us
+gain_type 119 i2
+gain_constant 121 i2
+initial_gain 123 i2
+correlated 125 i2
+sweep_start_hz 127 u2 Hz
+sweep_end_hz 129 u2 Hz
+sweep_length_ms 131 u2 ms
+sweep_type 133 i2
+taper_start_ms 135 u2 ms
+taper_end_ms 137 u2 ms
+taper_type 139 i2
+alias_hz 141 u2 Hz
+alias_slope 143 u2 dB/oct
+notch_hz 145 u2 Hz
+notch_slope 147 u2 dB/oct
+low_cut_hz 149 u2 Hz
+high_cut_hz 151 u2 Hz
+low_cut_slope 153 u2 dB/oct
+high_cut_slope 155 u2 dB/oct
+year 157 u2
+day_of_year 159 u2
+hour 161 u2
+minute 163 u2
+second 165 u2
+time_basis 167 i2
+weighting_factor 169 i2
+roll_position 171 i2
+first_trace_group 173 i2
+last_trace_group 175 i2
+gap_size 177 i2
+over_travel 179 i2
+cdp_x 181 i4 xy
+cdp_y 185 i4 xy
+inline 189 i4
+crossline 193 i4
+shotpoint_number 197 i4
+shotpoint_scalar 201 i2
+value_unit 203 i2
+transduction_mantissa 205 i4
+transduction_exponent 209 i2
+transduction_unit 211 i2
+device_id 213 i2
+time_scalar 215 i2
+source_type 217 i2
+source_energy_mantissa 219 i4
+source_energy_exponent 223 i2
+source_measure_mantissa 225 i4
+source_measure_exponent 229 i2
+source_measure_unit 231 i2
+""")
+#: Scalar word of the words that have one.
+SCALED_BY = {
+    **dict.fromkeys("receiver_elevation surface_elevation source_depth receiver_datum source_datum source_water_depth receiver_water_depth".split(), "elevation_scalar"),
+    **dict.fromkeys("source_x source_y receiver_x receiver_y cdp_x cdp_y".split(), "coordinate_scalar"),
+    "shotpoint_number": "shotpoint_scalar",
+}
 
 # Bytes per sample by format code; code 4 has a size but no meaning here.
 SAMPLE_BYTES = {1: 4, 2: 4, 3: 2, 4: 4, 5: 4, 6: 8, 7: 3, 8: 1, 9: 8, 10: 4, 11: 2, 12: 8, 15: 3, 16: 1}
@@ -92,22 +222,42 @@ def read_word(raw: bytes, at: int, width: int, little: bool, unsigned: bool = Fa
     return int.from_bytes(raw[at : at + width], "little" if little else "big", signed=not unsigned)
 
 
-def text_score(text: str) -> float:
-    """How much a decoding looks like a header: share of printable signs, and 40 for lines that start with 'C' and a number."""
-    import re
+TEXT_ENCODINGS = {"ascii": "latin-1", "ebcdic-cp037": "cp037"}
+#: What a sign of a decoded text header counts, and a line that starts as a card ("C 1", "C12").
+BLANK_POINTS, PLAIN_POINTS, PRINTED_POINTS, LOST_POINTS, CARD_POINTS = 3, 4, 2, -8, 40
+_CARD = re.compile("C ?[0-9]")
 
-    good = sum(c.isascii() and c.isprintable() for c in text)
-    cards = sum(bool(re.match(r"C ?\d", text[i : i + 80])) for i in range(0, len(text), 80))
-    return 100.0 * good / max(len(text), 1) + 40.0 * cards
 
+def _sign(c: str) -> str:
+    return " " if c in "\0\r\n\t" else c if c.isprintable() else "\ufffd"
 
-def text_encoding(raw: bytes) -> str:
-    """'ascii' or 'ebcdic-cp037'; ASCII at a tie."""
-    return "ascii" if text_score(raw.decode("latin-1")) >= text_score(raw.decode("cp037")) else "ebcdic-cp037"
+
+_DECODED = {name: [_sign(bytes([k]).decode(codec)) for k in range(256)] for name, codec in TEXT_ENCODINGS.items()}
+_POINTS = {name: np.array([BLANK_POINTS if c == " " else LOST_POINTS if c == "\ufffd" else PLAIN_POINTS if c.isascii() and c.isalnum() else PRINTED_POINTS for c in signs]) for name, signs in _DECODED.items()}
+
+
+def decode_text(raw: bytes, encoding: str | None = None) -> list[str]:
+    """The 40 lines of 80 characters of a text header, in the encoding given or the likelier one.
+
+    NUL, tab and line ends are blanks, other signs that can't be printed U+FFFD. Raises ValueError for
+    other than 3200 bytes or an unknown encoding.
+    """
+    if len(raw) != 3200:
+        raise ValueError(f"a text header has 3200 bytes, not {len(raw)}")
+    encoding = encoding or text_encoding(raw)
+    if encoding not in _DECODED:
+        raise ValueError(f"a text header's encoding is one of {', '.join(_DECODED)}, not {encoding!r}")
+    signs = _DECODED[encoding]
+    text = "".join([signs[k] for k in raw])
+    return [text[i : i + 80] for i in range(0, 3200, 80)]
 
 
-def text_lines(raw: bytes, encoding: str) -> list[str]:
-    """40 lines of 80 characters; NUL, tab and line ends are blanks, other signs that can't be printed U+FFFD."""
-    text = raw.decode("cp037" if encoding.startswith("ebcdic") else "latin-1").ljust(3200)
-    clean = "".join(" " if c in "\0\r\n\t" else c if c.isprintable() else "\ufffd" for c in text)
-    return [clean[i : i + 80] for i in range(0, 3200, 80)]
+def text_score(raw: bytes, encoding: str) -> int:
+    """How much a decoding looks like a text header."""
+    points = int(_POINTS[encoding][np.frombuffer(raw, np.uint8)].sum())
+    return points + CARD_POINTS * sum(bool(_CARD.match(line)) for line in decode_text(raw, encoding))
+
+
+def text_encoding(raw: bytes) -> str:
+    """'ascii' or 'ebcdic-cp037'; ASCII at a tie."""
+    return max(TEXT_ENCODINGS, key=lambda e: text_score(raw, e))
