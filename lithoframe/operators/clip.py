@@ -121,9 +121,20 @@ def decimate(line: DataFrame, k: int, truncate: bool = False) -> DataFrame:
     return ranked.join(wanted, ["line", "r"]).select("line", "trace")
 
 
-def safe_names(df: DataFrame, name: str) -> DataFrame:
-    """(name, output): file names free of unsafe signs and, ignoring case, each once: repeated ones get _2, _3 ..."""
+def safe_names(df: DataFrame, name: str, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """(name, output): file names free of unsafe signs and, ignoring case, each once and none of the reserved ones.
+
+    A name stands as it is if it is the only one of its kind. Others carry eight hex digits of their
+    SHA-256 before the extension, and all of them where even that isn't unique, so a name's output
+    doesn't depend on the order of the table. Equal names are one; null ones are left out.
+    """
     clean = F.regexp_replace(F.trim(F.col(name)), r"[^\p{L}\p{N}._-]+", "_")
-    clean = F.when(clean == "", "line").otherwise(clean)
-    k = F.row_number().over(Window.partitionBy(F.lower("c")).orderBy(name))
-    return df.select(name, clean.alias("c")).withColumn("k", k).select(F.col(name).alias("name"), F.when(F.col("k") == 1, F.col("c")).otherwise(F.concat_ws("_", "c", "k")).alias("output"))
+    clean = F.regexp_replace(clean, r"\.+$", "")
+    clean = F.when((clean == "") | F.upper(F.regexp_replace(clean, r"\..*$", "")).rlike("^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"), F.concat(F.lit("line_"), clean)).otherwise(clean)
+    sha, ext = F.sha2(F.col("name"), 256), F.regexp_extract("c", r"(\.[^.]*)$", 1)
+    marked = lambda mark: F.concat(F.expr("substr(c, 1, length(c) - length(e))"), F.lit("_"), mark, F.col("e"))
+    of = lambda c: Window.partitionBy(F.lower(c))
+    names = df.select(F.col(name).alias("name"), clean.alias("c")).where("name IS NOT NULL").distinct().withColumn("e", ext)
+    taken = F.lower("c").isin([r.lower() for r in reserved]) if reserved else F.lit(False)
+    once = names.withColumn("o", F.when((F.count(F.lit(1)).over(of("c")) == 1) & ~taken, F.col("c")).otherwise(marked(F.substring(sha, 1, 8))))
+    return once.select("name", F.when(F.count(F.lit(1)).over(of("o")) == 1, F.col("o")).otherwise(marked(sha)).alias("output"))
