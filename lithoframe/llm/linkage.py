@@ -34,7 +34,7 @@ PERIOD = 16
 #: Views (attributes whose vectors are added) with their number of tables: either end with the length between both, and the numbers with it.
 VIEWS = ((("rec", "len"), 2), (("src", "len"), 2), (("sid", "rid", "len"), 1))
 #: Hyperplanes of a table at least; where a tile has more than 2^BITS records their number grows with the logarithm of its records, and with every MORE of them each view gets another table.
-BITS, MORE = 20, 4
+BITS, MORE = 18, 4
 #: Positions of a delivery may be shifted so far, shapes and offsets may differ so far (metres), clocks so far (seconds).
 MAX_SHIFT, MAX_SHAPE, MAX_OFFSET, MAX_CLOCK = 90.0, 10.0, 4.0, 43_200
 #: Metres from a tile's border up to which a record's partner may lie beyond it.
