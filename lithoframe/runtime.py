@@ -38,11 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests, a laptop) one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lithoframe-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def local_folder(spark: SparkSession) -> str:
+    """The shared folder as a path that files can be opened under; it has to be mounted, as SEG-Y files are read and written through it."""
+    named = shared_dir(spark)
+    scheme, colon, rest = named.partition(":")
+    if colon and scheme != "file":
+        raise ValueError(f"SEG-Y files need a mounted folder, not {named}")
+    return "/" + rest.lstrip("/") if colon else named
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to a table in the shared folder and read back, so losing executors loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/lithoframe-{uuid.uuid4().hex}"
