@@ -30,8 +30,6 @@ SINGLE = "latin-1 cp1252 cp437 cp850 cp852 mac-roman iso8859-15 cp1250 iso8859-2
 EBCDIC = "cp037 cp500 cp273 cp1026 cp1140".split()
 #: Nats by which a round trip must lower the cost of a line.
 MARGIN = 3.0
-#: Nested layers undone at most.
-LAYERS = 4
 #: Weight of what is strange in any language next to the corpus.
 WEIGHT = 1.0
 #: Slots of each of two rows of pair counts, of which the smaller count holds; the model's size is fixed, however many characters the corpus has.
@@ -39,10 +37,13 @@ PAIR_SLOTS = 1 << 20
 CHAR_SLOTS = 1 << 16
 #: Weight of the single-character model where a pair is rare.
 BACKOFF = 2.0
-#: Lines remembered with their verdict by each worker; the store starts afresh when full.
+#: Entries of each store of a worker (lines, pairs of characters), which starts afresh when full. What is stored can be worked out again, so results don't depend on it.
 MEMORY = 100_000
+#: Garbled lines that a worker may hold: so many, of so many characters together. Beyond, texts get theirs by a join.
+HELD_LINES, HELD_CHARS = 200_000, 16 << 20
 
-_DIGITS, _BLANKS, _RULERS = re.compile(r"[0-9]+"), re.compile(r"[ \t\r\n]+"), re.compile(r"([^\w\s])\1+")
+# Digits with bytes above ASCII on both sides may belong to a multi-byte character, so they stay.
+_DIGITS, _BLANKS, _RULERS = re.compile(r"(?<![0-9])(?:[0-9]++(?![^\x00-\x7f])|(?<![^\x00-\x7f])[0-9]++)"), re.compile(r"[ \t\r\n]+"), re.compile(r"([^\w\s])\1+")
 _BREAK = re.compile(r"(\r\n|\n|\r)")
 _CONTROL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\ufffd\\ue000-\\uf8ff]")
 
@@ -98,30 +99,33 @@ def strangeness(pair: str) -> float:
 class PairModel:
     """Cost of a line in nats under counts of characters and character pairs."""
 
-    def __init__(self, chars: dict[int, int], pairs: dict[int, int], pairs2: dict[int, int]) -> None:
-        self.chars, self.pairs, self.pairs2, self.total = chars, pairs, pairs2, sum(chars.values()) + 1.0
+    def __init__(self, chars: np.ndarray, pairs: np.ndarray, pairs2: np.ndarray) -> None:
+        self.chars, self.pairs, self.pairs2, self.total = chars, pairs, pairs2, float(chars.sum()) + 1.0
         self.memory: dict[str, float] = {}
         self.strange: dict[str, frozenset[int]] = {}
-        #: Verdicts on lines met before. A worker keeps the broadcast model from task to task, and these with it.
-        self.chains: dict[str, list[tuple[str, str]]] = {}
-        self.known = {chr(slot) for slot in chars} | set("0123456789 \t\r\n")
+        self.known = {chr(slot) for slot in np.flatnonzero(chars)} | set("0123456789 \t\r\n")
         #: What a character that the corpus doesn't have costs at least.
         self.unknown = math.log((self.total + 0.01 * CHAR_SLOTS) / 0.01)
 
     def costs(self, line: str) -> list[float]:
         """Of each pair of the line, its ends included."""
-        memory, text = self.memory, f"\x02{line}\x03"
+        memory, text = self._store(), f"\x02{line}\x03"
         pairs = list(map("".join, zip(text, text[1:])))
         for pair in set(pairs):
             if pair not in memory:
                 memory[pair] = self._pair_cost(pair)
         return [memory[pair] for pair in pairs]
 
+    def _store(self) -> dict[str, float]:
+        if len(self.memory) >= MEMORY:
+            self.memory.clear()
+        return self.memory
+
     def cost(self, line: str, limit: float = math.inf) -> float:
         """Cost of a line; infinite as soon as it is known to reach the limit."""
         if limit == math.inf:
             return sum(self.costs(line))
-        memory, cost, last = self.memory, 0.0, "\x02"
+        memory, cost, last = self._store(), 0.0, "\x02"
         for c in (*line, "\x03"):
             one = memory.get(last + c)
             if one is None:
@@ -143,9 +147,9 @@ class PairModel:
     def _pair_cost(self, pair: str) -> float:
         first, row, row2 = _pairs(pair)  # the pair stands in the middle of its line of two
         b = ord(pair[1]) % CHAR_SLOTS
-        alone = (self.chars.get(b, 0) + 0.01) / (self.total + 0.01 * CHAR_SLOTS)
-        found = min(self.pairs.get(int(row[1]), 0), self.pairs2.get(int(row2[1]), 0))
-        return strangeness(pair) - math.log((found + BACKOFF * alone) / (self.chars.get(int(first[1]), 0) + BACKOFF))
+        alone = (self.chars[b] + 0.01) / (self.total + 0.01 * CHAR_SLOTS)
+        found = min(self.pairs[row[1]], self.pairs2[row2[1]])
+        return strangeness(pair) - math.log((found + BACKOFF * alone) / (self.chars[first[1]] + BACKOFF))
 
     def step(self, line: str) -> tuple[float, tuple[str, str] | None, str]:
         """(drop, (read with, written in), text) of the best round trip; drop 0 and no pair if none is cheaper."""
@@ -189,90 +193,146 @@ class PairModel:
                     least, how, best = cost, (read, written), text
         return base - least, how, best
 
-    def _greedy(self, line: str, layers: int) -> tuple[list[tuple[str, str]], str]:
+    def _greedy(self, line: str) -> tuple[list[tuple[str, str]], str]:
+        """Round trips until none lowers the cost by the margin. As costs aren't negative, there is an end, however many layers there are."""
         steps: list[tuple[str, str]] = []
-        while len(steps) < layers:
+        while True:
             drop, how, text = self.step(line)
             if how is None or drop < MARGIN:
-                break
+                return steps, line
             steps.append(how)
             line = text
-        return steps, line
 
     def chain(self, line: str) -> list[tuple[str, str]]:
-        """The round trips, in order, that each lower the line's cost by the margin.
+        """The round trips, in order, that together lower the line's cost the most.
 
-        Of a garbled line the trips that begin by UTF-8 are followed as well, and the cheapest end is taken: bytes
-        hardly ever are UTF-8 by accident, but an inner layer of it may look worse than another encoding's text.
+        Bytes hardly ever are UTF-8 by accident, but an inner layer of it may look worse than another
+        encoding's text. So of a garbled line the trips to UTF-8 are followed as far as they go, and from
+        each layer the cheapest trips on; the cheapest end is taken.
         """
-        steps, end = self._greedy(line, LAYERS)
-        if steps:
-            cost = self.cost(normal_line(end))
+        steps, end = self._greedy(line)
+        if not steps:
+            return steps
+        cost, path, text = self.cost(normal_line(end)), [], line
+        while True:
+            inner: dict[str, str] = {}
             for read in ENCODINGS:
                 try:
-                    text = line.encode(read).decode("utf-8")
+                    inner.setdefault(text.encode(read).decode("utf-8"), read)
                 except UnicodeError:
                     continue
-                if text == line or (read, "utf-8") == steps[0]:
-                    continue
-                rest, end = self._greedy(text, LAYERS - 1)
-                if rest and (other := self.cost(normal_line(end))) < cost:
-                    steps, cost = [(read, "utf-8"), *rest], other
-        return steps
+            inner.pop(text, None)
+            if not inner:  # every layer of UTF-8 makes the text shorter, so there is an end
+                return steps
+            text = min(inner, key=lambda t: (self.cost(normal_line(t)), t))
+            path.append((inner[text], "utf-8"))
+            rest, end = self._greedy(text)
+            if (other := self.cost(normal_line(end))) < cost:
+                steps, cost = [*path, *rest], other
+
+
+class _Alike:
+    """normal_line with the lines met lately remembered."""
+
+    def __init__(self) -> None:
+        self.memory: dict[str, str] = {}
+
+    def __call__(self, line: str) -> str:
+        found = self.memory.get(line)
+        if found is None:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            found = self.memory[line] = normal_line(line)
+        return found
 
 
 def _lines(df: DataFrame, text_col: str) -> DataFrame:
-    """(line, n): the normal lines of all texts and how often each occurs."""
+    """(line, raw, n): the normal lines of all texts, of each the smallest line that is alike, and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alike: Counter[str] = Counter()
+        exact: Counter[str] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if alike:
-                yield pa.RecordBatch.from_arrays([pa.array(list(alike), pa.string()), pa.array(list(alike.values()), pa.int64())], names=["line", "n"])
-            alike.clear()
+            if exact:
+                raw = list(exact)
+                yield pa.RecordBatch.from_arrays([pa.array([normal_line(x) for x in raw], pa.string()), pa.array(raw, pa.string()), pa.array(list(exact.values()), pa.int64())], names=["line", "raw", "n"])
+            exact.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                alike.update(filter(None, map(normal_line, _BREAK.split(text or "")[::2])))
-                if len(alike) > MEMORY:
+                exact.update(filter(None, _BREAK.split(text or "")[::2]))
+                if len(exact) > MEMORY:
                     yield from flush()
         yield from flush()
 
-    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "line string, n bigint").groupBy("line").agg(F.sum("n").alias("n"))
+    counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "line string, raw string, n bigint")
+    return counted.where("line <> ''").groupBy("line").agg(F.min("raw").alias("raw"), F.sum("n").alias("n"))
+
+
+_PAGE = 1 << 12
 
 
 def _counted(lines: DataFrame, judge=None) -> PairModel:
-    """The model of counted lines; with judge (a broadcast model) only of those that no round trip improves under it."""
+    """The model of counted lines; with judge (a broadcast model) only of those that no round trip improves under it.
+
+    Counts come as pages of _PAGE slots, summed over the cluster: what reaches the driver is CHAR_SLOTS + 2 PAIR_SLOTS numbers at most.
+    """
+    sizes = (CHAR_SLOTS, PAIR_SLOTS, PAIR_SLOTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(n, np.int64) for n in (CHAR_SLOTS, PAIR_SLOTS, PAIR_SLOTS)]
+        counts = [np.zeros(n, np.int64) for n in sizes]
         for batch in batches:
-            for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for line, raw, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if judge is not None:
-                    drop, how, _ = judge.value.step(line)
+                    drop, how, _ = judge.value.step(raw)
                     if how is not None and drop >= MARGIN:
                         continue
                 for into, slots in zip(counts, _pairs(line)):
                     np.add.at(into, slots, n)
-        for kind, of in enumerate(counts):
-            at = np.flatnonzero(of)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(of[at])], names=["kind", "slot", "n"])
+        rows = [(k, p, page.tobytes()) for k, of in enumerate(counts) for p, page in enumerate(of.reshape(-1, _PAGE)) if page.any()]
+        kinds, pages, data = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(pages, pa.int32()), pa.array(data, pa.binary())], names=["kind", "page", "data"])
 
-    rows = lines.mapInArrow(count, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).collect()
-    return PairModel(*({s: n for k, s, n in rows if k == kind} for kind in range(3)))
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(_PAGE, np.int64)
+        for data in table.column("data").to_pylist():
+            total += np.frombuffer(data, np.int64)
+        return pa.table({"kind": table.column("kind")[:1], "page": table.column("page")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "kind int, page int, data binary"
+    out = [np.zeros(n, np.int64) for n in sizes]
+    for k, p, data in lines.select("line", "raw", "n").mapInArrow(count, schema).groupBy("kind", "page").applyInArrow(add, schema).collect():
+        out[k][p * _PAGE : (p + 1) * _PAGE] = np.frombuffer(data, np.int64)
+    return PairModel(*out)
+
+
+def _distinct_lines(df: DataFrame, text_col: str) -> DataFrame:
+    return durable(_lines(df, text_col)).repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "line")
+
+
+def _trained(lines: DataFrame) -> PairModel:
+    first = _counted(lines)
+    model = _counted(lines, lines.sparkSession.sparkContext.broadcast(first))
+    return model if model.chars.any() else first
 
 
 def train(df: DataFrame, text_col: str = "text") -> PairModel:
     """The model of the lines of all texts, but for those that a round trip improves under a first model, of all lines.
 
-    So frequent garbling doesn't become the norm. What reaches the driver is at most CHAR_SLOTS + 2 PAIR_SLOTS counts, twice.
+    So frequent garbling doesn't become the norm.
     """
-    spark = df.sparkSession
-    lines = durable(_lines(df, text_col)).repartition(spark.sparkContext.defaultParallelism, "line")
-    first = _counted(lines)
-    model = _counted(lines, spark.sparkContext.broadcast(first))
-    return model if model.chars else first
+    return _trained(_distinct_lines(df, text_col))
+
+
+def _verdicts(lines: DataFrame, model) -> DataFrame:
+    """(line, how): the normal lines that round trips improve, each searched once, by the smallest line that is alike; how holds "read with>written in", layer by layer."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(line, [f"{r}>{w}" for r, w in steps]) for line, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (steps := model.value.chain(raw))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([h for _, h in found], pa.list_(pa.string()))], names=["line", "how"])
+
+    return lines.select("line", "raw").mapInArrow(search, "line string, how array<string>")
 
 
 def _restore(line: str, steps: list[tuple[str, str]]) -> str | None:
@@ -284,57 +344,84 @@ def _restore(line: str, steps: list[tuple[str, str]]) -> str | None:
     return line
 
 
-def repair(df: DataFrame, id_col: str = "header_id", text_col: str = "text") -> DataFrame:
+def mend(text: str, how_of, model: PairModel, alike=normal_line) -> tuple[int, int, str, str] | None:
+    """(bad lines, restored lines, text with these mended, how) of a text, None if no line is bad; how_of gives the verdict on a normal line, None if it is clean."""
+    parts = _BREAK.split(text)
+    bad = mended = 0
+    how: dict[str, None] = {}
+    for i in range(0, len(parts), 2):
+        line = parts[i]
+        if not line or line.isspace():
+            continue
+        steps = how_of(alike(line))
+        if not steps:
+            bad += "\ufffd" in line
+            continue
+        bad += 1
+        pairs = [tuple(h.split(">")) for h in steps]
+        fixed = _restore(line, pairs)
+        if fixed is None:  # alike, but with other bytes
+            pairs = model.chain(line)
+            fixed = _restore(line, pairs)
+        if fixed is not None and fixed != line:
+            parts[i] = fixed
+            mended += "\ufffd" not in fixed
+            how[" ".join(f"{r}>{w}" for r, w in pairs)] = None
+    return (bad, mended, "".join(parts), "; ".join(how)) if bad else None
+
+
+def repair(df: DataFrame, id_col: str = "header_id", text_col: str = "text", held: tuple[int, int] = (HELD_LINES, HELD_CHARS)) -> DataFrame:
     """(id_col, bad_lines, restored_lines, restored, how): the garbled texts, one row per row of df that has one.
 
     bad_lines counts the lines that a round trip improves or that hold a replacement character;
     restored_lines those that were restored wholly. restored is the whole text with these lines
     mended and the others as they were; how lists the round trips ("read with>written in"), layer
-    by layer. Null and empty texts are never garbled. Model and search see every line of every text.
+    by layer. Null and empty texts are never garbled. Model and search see every line of every text;
+    each line that differs in more than digits, blanks and rulers is searched once, so the order of
+    rows doesn't matter.
     """
-    model = df.sparkSession.sparkContext.broadcast(train(df, text_col))
+    lines = _distinct_lines(df, text_col)
+    model = df.sparkSession.sparkContext.broadcast(_trained(lines))
+    bad = durable(_verdicts(lines, model))
+    size = bad.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("line")), F.lit(0)).alias("c")).first()
     kind = dict(df.dtypes)[id_col]
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if size["n"] <= held[0] and size["c"] <= held[1]:
+        known = df.sparkSession.sparkContext.broadcast({r["line"]: r["how"] for r in bad.collect()})
+        work = _mender(model, id_col, lambda _: known.value.get)
+        return texts.mapInArrow(work, f"`{id_col}` {kind}, bad_lines int, restored_lines int, restored string, how string")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alike = _Alike()
+        for batch in batches:
+            of, line = [], []
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = {alike(x) for x in _BREAK.split(text)[::2]}
+                of += [t] * len(found)
+                line += found
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(line, pa.string())], names=["t", "line"])
+
+    texts = texts.where("text <> ''").withColumn("t", F.sha2("text", 256))
+    each = texts.select("t", "text").dropDuplicates(["t"]).mapInArrow(keys, "t string, line string")
+    of_text = each.join(bad, "line").groupBy("t").agg(F.collect_list(F.struct("line", "how")).alias("found"))  # as long as a text at most
+    work = _mender(model, id_col, lambda found: {f["line"]: f["how"] for f in found or ()}.get)
+    return texts.join(of_text, "t", "left").select("id", "text", "found").mapInArrow(work, f"`{id_col}` {kind}, bad_lines int, restored_lines int, restored string, how string")
+
+
+def _mender(model, id_col: str, verdicts):
+    """Mends batches of (id, text[, found]); verdicts(found) gives the lookup of a row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair_model: PairModel = model.value
-        memory = pair_model.chains
+        alike = _Alike()
         for batch in batches:
-            at, bad, mended, texts, hows = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                parts = _BREAK.split(text)
-                n_bad = n_mended = 0
-                how: dict[str, None] = {}
-                for i in range(0, len(parts), 2):
-                    line = parts[i]
-                    if not line or line.isspace():
-                        continue
-                    lost = "\ufffd" in line
-                    key = normal_line(line)
-                    steps = memory.get(key)
-                    if steps is None:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        steps = memory[key] = pair_model.chain(line)
-                    if not steps:
-                        n_bad += lost
-                        continue
-                    n_bad += 1
-                    fixed = _restore(line, steps)
-                    if fixed is None:  # a line like this one had other characters
-                        fixed = _restore(line, pair_model.chain(line))
-                    if fixed is not None and fixed != line:
-                        parts[i] = fixed
-                        n_mended += "\ufffd" not in fixed
-                        how[" ".join(f"{r}>{w}" for r, w in steps)] = None
-                if n_bad:
+            at, found = [], []
+            extra = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for row, (text, f) in enumerate(zip(batch.column(1).to_pylist(), extra)):
+                if text and (got := mend(text, verdicts(f), model.value, alike)):
                     at.append(row)
-                    bad.append(n_bad)
-                    mended.append(n_mended)
-                    texts.append("".join(parts))
-                    hows.append("; ".join(how))
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(bad, pa.int32()), pa.array(mended, pa.int32()), pa.array(texts, pa.string()), pa.array(hows, pa.string())]
+                    found.append(got)
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "bad_lines", "restored_lines", "restored", "how"])
 
-    return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"`{id_col}` {kind}, bad_lines int, restored_lines int, restored string, how string")
+    return work

@@ -65,3 +65,37 @@ def test_a_third_garbled_alike(spark):
     got = {r["header_id"]: r["restored"] for r in repair(spark.createDataFrame(rows, "header_id bigint, text string")).collect()}
     assert sorted(got) == list(range(40))
     assert set(got.values()) == {"\n".join(clean)}
+
+
+def test_many_layers(spark):
+    clean = "Grüße aus München, Größe geprüft"
+    rows = [(i, clean) for i in range(30)]
+    for layers in range(1, 8):
+        text = clean
+        for _ in range(layers):
+            text = spoil(text, "utf-8", "latin-1")
+        rows.append((100 + layers, text))
+    got = {r["header_id"]: (r["restored"], r["restored_lines"]) for r in repair(spark.createDataFrame(rows, "header_id bigint, text string")).collect()}
+    assert got == {100 + k: (clean, 1) for k in range(1, 8)}
+
+
+def test_order_and_the_way_of_lookup_do_not_matter(spark, table):
+    from pyspark.sql import functions as F
+
+    plain = sorted(tuple(r) for r in repair(table).collect())
+    shuffled = table.repartition(7, F.rand(3)).sortWithinPartitions(F.rand(5))
+    assert sorted(tuple(r) for r in repair(shuffled).collect()) == plain
+    assert sorted(tuple(r) for r in repair(table, held=(0, 0)).collect()) == plain
+
+
+def test_digits_within_characters_stay():
+    assert normal_line("A 12 ±3.4 é5") == "A 9 ±9.9 é9" and normal_line("\x819\x810 x") == "\x819\x819 x" and normal_line("é12ü 12ü 1") == "é12ü 9ü 9"
+
+
+def test_stores_have_a_bound(table, monkeypatch):
+    from lithoframe.llm import mojibake
+
+    model = train(table)
+    monkeypatch.setattr(mojibake, "MEMORY", 50)
+    before = [model.chain(spoil(CLEAN[k], w, r)) for k, w, r in BAD]
+    assert len(model.memory) < 5_000 and [model.chain(spoil(CLEAN[k], w, r)) for k, w, r in BAD] == before
