@@ -77,7 +77,7 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P2 = """
-WITH t AS (SELECT line, trace, min(x) AS x, min(y) AS y, min(fix_time) AS ft FROM trajectory WHERE valid AND isfinite(x) AND isfinite(y) AND line IS NOT NULL AND trace IS NOT NULL GROUP BY 1, 2),
+WITH p AS (SELECT line, trace, min({{'x': x, 'y': y}}) AS p, min(fix_time) AS ft FROM trajectory WHERE valid AND isfinite(x) AND isfinite(y) AND line IS NOT NULL AND trace IS NOT NULL GROUP BY 1, 2), t AS (SELECT line, trace, p.x AS x, p.y AS y, ft FROM p),
 s AS (SELECT *, CASE WHEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) <= 1 THEN 0 ELSE 1 END AS st FROM t WINDOW w AS (PARTITION BY line ORDER BY trace)),
 g AS (SELECT *, sum(st) OVER (PARTITION BY line ORDER BY trace) AS isl FROM s)
 SELECT line, min(trace) AS first_trace, max(trace) AS last_trace{more} FROM g GROUP BY line, isl HAVING count(*) >= 2
