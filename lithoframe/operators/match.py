@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.functions.scalar import is_finite
@@ -46,25 +50,51 @@ def candidate_keys(df: DataFrame, source_conflicts: DataFrame, receiver_conflict
     return df.where(is_valid()).select("side", "ord", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("side", "ord", "k.rank", "k.key")
 
 
+#: A's that one task settles in order; the set of taken B's is what it holds. More are settled in as many steps.
+SERIAL_ROWS = 1_000_000
+
+
+def _in_order(candidates: DataFrame) -> DataFrame:
+    """(a, b, rank): the serial rule over candidates of at most SERIAL_ROWS A's, by one task that reads them in order."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set[int] = set()
+        settled = None
+        for batch in batches:
+            won = []
+            for a, b, rank in zip(*(c.to_pylist() for c in batch.columns)):
+                if a != settled and b not in taken:
+                    settled = a
+                    taken.add(b)
+                    won.append((a, b, rank))
+            cols = list(zip(*won)) if won else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "rank"])
+
+    rows = candidates.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("rank").cast("int").alias("rank"))
+    return rows.repartition(1).sortWithinPartitions("a", "rank", "b").mapInArrow(work, "a bigint, b bigint, rank int")
+
+
 def _serial(candidates: DataFrame) -> DataFrame:
     """(a, b, rank): the pairs that result when each A, in order, takes the first of its candidates (a, rank, b) that is still free.
 
-    Records whose candidates nobody else wants are settled at once. Of the rest, an A that comes
-    before all other unsettled ones which want its first free choice takes it; this repeats until
-    nothing changes, which is a round or two unless records form long chains of rivals.
+    Records whose candidates nobody else wants are settled at once. The rest, few as a rule, are walked
+    in order SERIAL_ROWS A's at a time, so chains of rivals may be of any length.
     """
     rivals = candidates.groupBy("b").agg(F.count_distinct("a").alias("n")).where("n > 1").select("b")
     contested = candidates.join(rivals, "b").select("a").distinct()
-    free = candidates.join(contested, "a", "left_anti").groupBy("a").agg(F.min_by("b", "rank").alias("b"), F.min("rank").alias("rank"))
     # A's without rivals never meet those with: they share no B
-    rest = durable(candidates.join(contested, "a", "left_semi"))
-    done = free
-    while rest.take(1):
-        first = rest.groupBy("a").agg(F.min_by("b", "rank").alias("b"), F.min("rank").alias("rank"))
-        earliest = rest.groupBy("b").agg(F.min("a").alias("a"))
-        won = durable(first.join(earliest, ["a", "b"]).select("a", "b", "rank"))
+    free = candidates.join(contested, "a", "left_anti").groupBy("a").agg(F.min_by("b", "rank").alias("b"), F.min("rank").alias("rank"))
+    steps = -(-contested.count() // SERIAL_ROWS)
+    if steps == 0:
+        return free
+    if steps == 1:
+        return free.unionByName(_in_order(candidates.join(contested, "a", "left_semi")))
+    step = numbered(contested, ["a"]).select("a", F.floor(F.col("n") / SERIAL_ROWS).alias("step"))
+    rest, done = durable(candidates.join(step, "a")), free
+    for k in range(steps):
+        of_step = rest.where(F.col("step") == k)
+        won = durable(_in_order(of_step if k == 0 else of_step.join(done.select("b"), "b", "left_anti")))
         done = done.unionByName(won)
-        rest = durable(rest.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti").select(*rest.columns))
     return done
 
 
@@ -128,10 +158,62 @@ def class_counts(classes: DataFrame) -> DataFrame:
     return classes.groupBy("class", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-def report(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every pair with both sides' numbers and offsets, and the strategy that made it."""
-    side = lambda df, s: df.select(F.col("ord").alias(f"{s}_ord"), *(F.col(c).alias(f"{s}_{c}") for c in ("trace_number", "source_id", "receiver_id", "cdp", "trace_offset")))
-    return pairs.join(side(a, "a"), "a_ord").join(side(b, "b"), "b_ord")
+# The columns of a comparison's report, in order. Numbers of traces are physical ones from 0.
+SCHEMA_VERSION = "1.1"
+_SUMMARY = "schema_version a_path b_path selection primary secondary sample_window_start sample_window_end strategy matched a_only b_only ambiguous_a ambiguous_b invalid_a invalid_b sample_axis_compatible axis_reason reason".split()
+_ROW = "classification category a_trace b_trace pair_strategy key_strategy source_id receiver_id cdp offset key_source_x key_source_y key_receiver_x key_receiver_y".split()
+_META = "trace_number source_id receiver_id cdp inline crossline source_x source_y receiver_x receiver_y midpoint_x midpoint_y header_offset computed_offset offset azimuth".split()
+REPORT_COLUMNS = [*_SUMMARY, *_ROW, *(f"{s}_{c}" for s in "ab" for c in _META)]
+
+
+def report(pairs: DataFrame, classes: DataFrame, a: DataFrame, b: DataFrame, axis: tuple[bool, str] = (True, ""), window: tuple[int, int] = (0, 0), **provenance: str) -> DataFrame:
+    """REPORT_COLUMNS: a row for every pair and for every record that is in another class, each with the summary; a row "summary" alone if there is none.
+
+    provenance: a_path, b_path, selection, primary, secondary. Only header words, never samples. Of a
+    pair's key the parts it doesn't use are 0; rows without a pair have no key and the strategy "invalid".
+    """
+    if unknown := set(provenance) - {"a_path", "b_path", "selection", "primary", "secondary"}:
+        raise ValueError(f"a report has no {', '.join(sorted(unknown))}")
+    six = lambda c: micro(c) / F.lit(1e6)
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        there = set(df.columns)
+        name = lambda c: "trace_offset" if c == "offset" else c
+        return df.select(F.col("ord").alias(f"{s}_ord"), *((F.col(name(c)) if name(c) in there else F.lit(None).cast("double")).alias(f"{s}_{c}") for c in _META))
+
+    matched = pairs.select("a_ord", "b_ord", F.lit("matched").alias("classification"), "strategy")
+    alone = classes.where("class <> 'matched'").select(
+        F.when(F.col("side") == "a", F.col("ord")).alias("a_ord"), F.when(F.col("side") == "b", F.col("ord")).alias("b_ord"),
+        F.when(F.col("class").isin("ambiguous", "invalid"), F.concat_ws("_", "class", "side")).otherwise(F.col("class")).alias("classification"), F.lit("invalid").alias("strategy"),
+    )
+    rows = matched.unionByName(alone).join(side(a, "a"), "a_ord", "left").join(side(b, "b"), "b_ord", "left")
+    names = ("matched", "a_only", "b_only", "ambiguous_a", "ambiguous_b", "invalid_a", "invalid_b")
+    of_pair = F.col("classification") == "matched"
+    counts = matched.unionByName(alone).agg(*(F.count_if(F.col("classification") == c).alias(c) for c in names), F.min(F.when(of_pair, F.col("strategy"))).alias("_s0"), F.max(F.when(of_pair, F.col("strategy"))).alias("_s1"))
+    reason = F.when(F.col("matched") > 0, F.when(F.col("_s0") == "physical_trace_order", F.lit("paired in order, as headers have no usable keys")).otherwise(F.lit(""))).when(F.col("a_only") + F.col("b_only") + F.col("ambiguous_a") + F.col("ambiguous_b") == 0, F.lit("no valid headers to match by")).otherwise(F.lit("no pair"))
+    said = {"schema_version": F.lit(SCHEMA_VERSION), **{c: F.lit(provenance.get(c, "")) for c in ("a_path", "b_path", "selection", "primary", "secondary")}, "sample_window_start": F.lit(window[0]), "sample_window_end": F.lit(window[1]), "sample_axis_compatible": F.lit(axis[0]), "axis_reason": F.lit(axis[1])}
+    strategy = F.when(F.col("_s0").isNull(), F.lit("invalid")).when(F.col("_s0") == F.col("_s1"), F.col("_s0")).otherwise(F.lit("mixed"))
+    summary = counts.select(*(said[c].alias(c) if c in said else strategy.alias(c) if c == "strategy" else reason.alias(c) if c == "reason" else F.col(c) for c in _SUMMARY))
+    by, zero = F.col("_strategy"), F.lit(0)
+    part = lambda c, s: F.when(of_pair, F.when(by == s, c).otherwise(zero))
+    key = {
+        **{c: part(F.col(f"a_{c}"), "source_receiver_id") for c in ("source_id", "receiver_id")}, "cdp": part(F.col("a_cdp"), "cdp_signed_offset"), "offset": part(six("a_offset"), "cdp_signed_offset"),
+        **{f"key_{c}": part(six(f"a_{c}"), "source_receiver_xy") for c in ("source_x", "source_y", "receiver_x", "receiver_y")},
+    }
+    row = {
+        "category": F.regexp_replace("classification", "^(ambiguous|invalid)_[ab]$", "$1"), "a_trace": F.col("a_trace_number"), "b_trace": F.col("b_trace_number"), "pair_strategy": by,
+        "key_strategy": F.when(of_pair, by), **key,
+    }
+    typed = rows.withColumnRenamed("strategy", "_strategy")
+    met = summary.join(typed, F.lit(True), "left").withColumn("classification", F.coalesce("classification", F.lit("summary")))
+    return met.select(*(row[c].alias(c) if c in row else F.col(c) for c in REPORT_COLUMNS))
+
+
+def write_report_json(rows: DataFrame, path: str) -> None:
+    """The report as a folder: summary.json, one object, and rows as JSON lines. What isn't there is left out, trace 0 is kept."""
+    first = rows.select(*_SUMMARY).limit(1).collect()[0].asDict()
+    rows.where("classification <> 'summary'").drop(*_SUMMARY).write.mode("overwrite").json(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(json.dumps(first),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary.json")
 
 
 def axis_reasons(pairs: DataFrame) -> DataFrame:

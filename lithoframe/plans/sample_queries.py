@@ -248,16 +248,25 @@ def texture_sizes(spark, sf):
 
 # --- A/B matching -------------------------------------------------------------------------------------
 # B is the same survey, sent again with other trace numbers: some numbers and places changed, some traces doubled, some left out.
-_AB = REC + """, a AS (SELECT record_id AS ord, * FROM rec), b AS (SELECT record_id + 100000000 AS ord, record_id, line, trace_number, CASE WHEN record_id % 19 = 0 THEN source_id + 50000 ELSE source_id END AS source_id, receiver_id, cdp, source_x, source_y, CASE WHEN record_id % 23 = 0 THEN receiver_x + 1 ELSE receiver_x END AS receiver_x, receiver_y,
-has_source, has_receiver, trace_offset, has_cdp, has_offset, header_valid, header_error FROM rec WHERE record_id % 7 <> 0 UNION ALL SELECT record_id + 200000000, record_id, line, trace_number, source_id, receiver_id, cdp, source_x, source_y, receiver_x, receiver_y, has_source, has_receiver, trace_offset, has_cdp, has_offset, header_valid, header_error FROM rec WHERE record_id % 41 = 0 AND record_id % 7 <> 0),
+# Of a few the places are those of one trace and midpoint and offset those of a neighbour: two A's want them.
+_BCOLS = "record_id, line, trace_number, source_id, receiver_id, cdp, source_x, source_y, receiver_x, receiver_y, has_source, has_receiver, trace_offset, has_cdp, has_offset, header_valid, header_error"
+_META_SQL = ", inline, crossline, midpoint_x, midpoint_y, header_offset, computed_offset, azimuth"
+_AB = REC + f""", a AS (SELECT record_id AS ord, * FROM rec), b AS (SELECT record_id + 100000000 AS ord, record_id, line, trace_number, CASE WHEN record_id % 19 = 0 THEN source_id + 50000 ELSE source_id END AS source_id, receiver_id, cdp, source_x, source_y, CASE WHEN record_id % 23 = 0 THEN receiver_x + 1 ELSE receiver_x END AS receiver_x, receiver_y,
+has_source, has_receiver, trace_offset, has_cdp, has_offset, header_valid, header_error{_META_SQL} FROM rec WHERE record_id % 7 <> 0 AND record_id % 31 NOT IN (5, 6, 15, 16) UNION ALL SELECT record_id + 200000000, {_BCOLS}{_META_SQL} FROM rec WHERE record_id % 41 = 0 AND record_id % 7 <> 0 AND record_id % 31 NOT IN (5, 6, 15, 16)
+UNION ALL SELECT r.record_id + 300000000, r.record_id, r.line, r.trace_number, 0, 0, q.cdp, r.source_x, r.source_y, r.receiver_x, r.receiver_y, r.has_source, r.has_receiver, q.trace_offset, q.has_cdp, q.has_offset, r.header_valid, r.header_error, r.inline, r.crossline, r.midpoint_x, r.midpoint_y, r.header_offset, r.computed_offset, r.azimuth FROM rec r JOIN rec q ON q.record_id = r.record_id + CASE WHEN r.record_id % 31 = 5 THEN 1 ELSE -1 END WHERE r.record_id % 31 IN (5, 16)),
 al AS (SELECT 'a' AS side, ord, source_id, receiver_id, source_x, source_y, receiver_x, receiver_y, has_source, has_receiver, cdp, has_cdp, trace_offset, has_offset, header_valid, header_error FROM a UNION ALL SELECT 'b', ord, source_id, receiver_id, source_x, source_y, receiver_x, receiver_y, has_source, has_receiver, cdp, has_cdp, trace_offset, has_offset, header_valid, header_error FROM b)"""
 
 
 def _ab(spark, sf):
     rec = records(spark, sf)
     a = rec.withColumn("ord", F.col("record_id"))
-    b = rec.where("record_id % 7 <> 0").withColumns({"ord": F.col("record_id") + 100_000_000, "source_id": F.when(F.col("record_id") % 19 == 0, F.col("source_id") + 50_000).otherwise(F.col("source_id")), "receiver_x": F.when(F.col("record_id") % 23 == 0, F.col("receiver_x") + 1).otherwise(F.col("receiver_x"))})
-    return a, b.unionByName(rec.where("record_id % 41 = 0 AND record_id % 7 <> 0").withColumn("ord", F.col("record_id") + 200_000_000))
+    plain = rec.where("record_id % 31 NOT IN (5, 6, 15, 16)")
+    b = plain.where("record_id % 7 <> 0").withColumns({"ord": F.col("record_id") + 100_000_000, "source_id": F.when(F.col("record_id") % 19 == 0, F.col("source_id") + 50_000).otherwise(F.col("source_id")), "receiver_x": F.when(F.col("record_id") % 23 == 0, F.col("receiver_x") + 1).otherwise(F.col("receiver_x"))})
+    doubled = plain.where("record_id % 41 = 0 AND record_id % 7 <> 0").withColumn("ord", F.col("record_id") + 200_000_000)
+    beside = rec.select(F.col("record_id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("cdp", "trace_offset", "has_cdp", "has_offset")))
+    wanted = rec.where("record_id % 31 IN (5, 16)").withColumn("q", F.col("record_id") + F.when(F.col("record_id") % 31 == 5, 1).otherwise(-1)).join(beside, "q")
+    wanted = wanted.withColumns({"ord": F.col("record_id") + 300_000_000, "source_id": F.lit(0), "receiver_id": F.lit(0), **{c: F.col(f"q_{c}") for c in ("cdp", "trace_offset", "has_cdp", "has_offset")}})
+    return a, b.unionByName(doubled).unionByName(wanted.select(*b.columns))
 
 
 _CON = """, c{k} AS (SELECT {k}_id AS id FROM al WHERE {k}_id <> 0 GROUP BY 1 HAVING count(DISTINCT (round({k}_x * 1e6), round({k}_y * 1e6))) FILTER (WHERE has_{k} AND isfinite({k}_x) AND isfinite({k}_y)) > 1
@@ -287,10 +296,10 @@ def match_keys(spark, sf):
     return keys.join(counts, "key").select("side", "ord", "rank", "key", "na", "nb")
 
 
-# No two A's want the same B here, so each takes its strongest unique key.
-_PAIRS = _KEYS + """, u AS (SELECT x.ord AS a, y.ord AS b, x.rank FROM ks x JOIN ct USING (key) JOIN ks y ON y.key = x.key AND y.side = 'b' WHERE x.side = 'a' AND na = 1 AND nb = 1), te AS (SELECT a, min_by(b, rank) AS b, min(rank) AS rank FROM u GROUP BY 1),
-lo AS (SELECT ks.ord, ks.key, na, nb FROM ks JOIN ct USING (key) WHERE side = 'a' AND ord NOT IN (SELECT a FROM te)), gr AS (SELECT DISTINCT key FROM lo WHERE nb >= 1 AND (na > 1 OR nb > 1)), aa AS (SELECT DISTINCT ord FROM ks WHERE side = 'a' AND key IN (SELECT key FROM gr)),
-pr AS (SELECT * FROM te WHERE a NOT IN (SELECT ord FROM aa)), ab AS (SELECT ord FROM ks WHERE side = 'b' AND key IN (SELECT key FROM gr) UNION SELECT b FROM te WHERE a IN (SELECT ord FROM aa))"""
+# Each A takes its strongest unique key; of two that want the same B the earlier one gets it, and the other has no second choice here.
+_PAIRS = _KEYS + """, u AS (SELECT x.ord AS a, y.ord AS b, x.rank FROM ks x JOIN ct USING (key) JOIN ks y ON y.key = x.key AND y.side = 'b' WHERE x.side = 'a' AND na = 1 AND nb = 1), fi AS (SELECT a, min_by(b, rank) AS b, min(rank) AS rank FROM u GROUP BY 1), te AS (SELECT * FROM fi QUALIFY a = min(a) OVER (PARTITION BY b)),
+lo AS (SELECT ks.ord, ks.key, na, nb FROM ks JOIN ct USING (key) WHERE side = 'a' AND ord NOT IN (SELECT a FROM te)), gr AS (SELECT DISTINCT key FROM lo WHERE nb >= 1 AND (na > 1 OR nb > 1)), be AS (SELECT lo.ord AS a, y.ord AS b FROM lo JOIN ks y ON y.key = lo.key AND y.side = 'b' WHERE na = 1 AND nb = 1), aa AS (SELECT ord FROM ks WHERE side = 'a' AND key IN (SELECT key FROM gr) UNION SELECT a FROM be),
+pr AS (SELECT * FROM te WHERE a NOT IN (SELECT ord FROM aa)), ab AS (SELECT ord FROM ks WHERE side = 'b' AND key IN (SELECT key FROM gr) UNION SELECT b FROM be UNION SELECT b FROM te WHERE a IN (SELECT ord FROM aa))"""
 
 
 @query(_PAIRS + " SELECT a AS a_ord, b AS b_ord, CASE rank WHEN 0 THEN 'source_receiver_id' WHEN 1 THEN 'source_receiver_xy' ELSE 'cdp_signed_offset' END AS strategy FROM pr")
@@ -322,12 +331,30 @@ def match_logical_rows(spark, sf):
     return rows.select("row", "class", F.coalesce("a_ord", F.lit(-1)).alias("a_ord"), F.coalesce("b_ord", F.lit(-1)).alias("b_ord"))
 
 
-@query(_PAIRS + " SELECT a AS a_ord, b AS b_ord, CASE rank WHEN 0 THEN 'source_receiver_id' WHEN 1 THEN 'source_receiver_xy' ELSE 'cdp_signed_offset' END AS strategy, x.trace_number AS a_trace_number, y.trace_number AS b_trace_number, x.source_id AS a_source_id, y.source_id AS b_source_id, x.trace_offset AS a_trace_offset, y.trace_offset AS b_trace_offset FROM pr JOIN a x ON x.ord = pr.a JOIN b y ON y.ord = pr.b")
+def _report_sql() -> str:
+    word = "CASE rank WHEN 0 THEN 'source_receiver_id' WHEN 1 THEN 'source_receiver_xy' ELSE 'cdp_signed_offset' END"
+    count = lambda c: f"(SELECT count(*) FROM rw WHERE classification = '{c}') AS {c}"
+    six = lambda c: f"CAST(round({c} * 1e6) AS BIGINT) / 1e6"
+    part = lambda c, k, name: f"CASE WHEN classification = 'matched' THEN CASE WHEN strategy = '{k}' THEN {c} ELSE 0 END END AS {name}"
+    meta = [f"{x}.{'trace_offset' if c == 'offset' else c} AS {s}_{c}" for s, x in (("a", "x"), ("b", "y")) for c in match._META]
+    cells = [
+        "'1.1' AS schema_version", "'a.sgy' AS a_path", "'b.sgy' AS b_path", "'all' AS selection", "'' AS \"primary\"", "'' AS secondary", "0 AS sample_window_start", "63 AS sample_window_end",
+        "(SELECT CASE count(DISTINCT strategy) WHEN 0 THEN 'invalid' WHEN 1 THEN min(strategy) ELSE 'mixed' END FROM rw WHERE classification = 'matched') AS strategy",
+        *(count(c) for c in ("matched", "a_only", "b_only", "ambiguous_a", "ambiguous_b", "invalid_a", "invalid_b")), "true AS sample_axis_compatible", "'' AS axis_reason", "'' AS reason",
+        "classification", "CASE WHEN classification LIKE 'ambiguous%' THEN 'ambiguous' WHEN classification LIKE 'invalid%' THEN 'invalid' ELSE classification END AS category", "x.trace_number AS a_trace", "y.trace_number AS b_trace",
+        "rw.strategy AS pair_strategy", "CASE WHEN classification = 'matched' THEN rw.strategy END AS key_strategy", part("x.source_id", "source_receiver_id", "source_id"), part("x.receiver_id", "source_receiver_id", "receiver_id"),
+        part("x.cdp", "cdp_signed_offset", "cdp"), part(six("x.trace_offset"), "cdp_signed_offset", '"offset"'), *(part(six(f"x.{c}"), "source_receiver_xy", f"key_{c}") for c in ("source_x", "source_y", "receiver_x", "receiver_y")), *meta,
+    ]
+    rows = f"rw AS (SELECT a AS a_ord, b AS b_ord, 'matched' AS classification, {word} AS strategy FROM pr UNION ALL SELECT CASE WHEN side = 'a' THEN ord END, CASE WHEN side = 'b' THEN ord END, CASE WHEN class IN ('ambiguous', 'invalid') THEN class || '_' || side ELSE class END, 'invalid' FROM cl WHERE class <> 'matched')"
+    return f"{_CLASSES}, {rows} SELECT {', '.join(cells)} FROM rw LEFT JOIN a x ON x.ord = rw.a_ord LEFT JOIN b y ON y.ord = rw.b_ord"
+
+
+@query(_report_sql())
 def match_report(spark, sf):
-    """Every pair with both sides' numbers."""
+    """The report of a comparison, all its columns, a row for every pair and every record without one."""
     a, b = _ab(spark, sf)
-    rep = match.report(match.match(a, b)[0], a, b)
-    return rep.select("a_ord", "b_ord", "strategy", "a_trace_number", "b_trace_number", "a_source_id", "b_source_id", "a_trace_offset", "b_trace_offset")
+    pairs, classes = match.match(a, b)
+    return match.report(pairs, classes, a, b, window=(0, 63), a_path="a.sgy", b_path="b.sgy", selection="all")
 
 
 _AXES = REC + ", j AS (SELECT a.record_id AS a_record_id, b.record_id AS b_record_id, a.sample_count AS ac, a.sample_count - CASE WHEN b.record_id % 5 = 0 THEN 1 ELSE 0 END AS bc, a.sample_interval_us AS ai, b.sample_interval_us AS bi, a.delay_ms AS ad, b.delay_ms AS bd FROM rec a JOIN recb b ON a.trace_number = b.trace_number)"

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from lithoframe.operators import match
 
@@ -134,3 +135,33 @@ def test_acceptance_counts(spark):
     for side, _, c in both(spark, a, b)[1]:
         n[c, side] = n.get((c, side), 0) + 1
     assert n == {("matched", "a"): 56, ("matched", "b"): 56, ("a_only", "a"): 1, ("b_only", "b"): 1, ("ambiguous", "a"): 2, ("ambiguous", "b"): 2, ("invalid", "a"): 1, ("invalid", "b"): 1}
+
+
+def test_a_long_chain_of_rivals(spark, monkeypatch):
+    n = 10_000
+    rows = [(i, 0, i - 1 if i % 3 else i) for i in range(1, n)] + [(i, 1, i + 1) for i in range(1, n)] + [(i, 2, i) for i in range(1, n, 2)]
+    taken, want = set(), []
+    for a, rank, b in sorted(rows):
+        if (not want or want[-1][0] != a) and b not in taken:
+            taken.add(b)
+            want.append((a, b, rank))
+    df = spark.createDataFrame(rows, "a bigint, rank int, b bigint")
+    assert sorted(tuple(r) for r in match._serial(df).select("a", "b", "rank").collect()) == want
+    monkeypatch.setattr(match, "SERIAL_ROWS", 3_000)
+    assert sorted(tuple(r) for r in match._serial(df).select("a", "b", "rank").collect()) == want
+
+
+def test_report_of_nothing_and_of_all_classes(spark, tmp_path):
+    df = lambda x: spark.createDataFrame(x, SCHEMA).withColumn("trace_number", F.col("ord"))
+    empty = match.report(*match.match(df([]), df([])), df([]), df([])).collect()
+    assert [(r["classification"], r["strategy"], r["matched"], r["schema_version"]) for r in empty] == [("summary", "invalid", 0, "1.1")]
+    a = [rec(0, 1, 1), rec(1, 2, 2), rec(2, 3, 3), rec(3, 3, 3), rec(4, valid=False)]
+    b = [rec(0, 1, 1), rec(10, 8, 8), rec(11, 3, 3), rec(12, valid=False)]
+    r = match.report(*match.match(df(a), df(b)), df(a), df(b), a_path="a.sgy")
+    assert r.columns == match.REPORT_COLUMNS and len(r.columns) == 65
+    assert sorted(x["classification"] for x in r.collect()) == ["a_only", "ambiguous_a", "ambiguous_a", "ambiguous_b", "b_only", "invalid_a", "invalid_b", "matched"]
+    match.write_report_json(r, str(tmp_path / "r"))
+    said = spark.read.json(str(tmp_path / "r" / "rows")).where("classification = 'matched'").collect()[0]
+    assert (said["a_trace"], said["b_trace"]) == (0, 0) and spark.read.json(str(tmp_path / "r" / "summary.json")).collect()[0]["a_path"] == "a.sgy"
+    with pytest.raises(ValueError):
+        match.report(*match.match(df(a), df(b)), df(a), df(b), colour="x")
