@@ -38,13 +38,14 @@ CHAR_SLOTS = 1 << 16
 #: Weight of the single-character model where a pair is rare.
 BACKOFF = 2.0
 #: Entries of each store of a worker (lines, pairs of characters), which starts afresh when full. What is stored can be worked out again, so results don't depend on it.
-MEMORY = 100_000
+MEMORY = 200_000
 #: Garbled lines that a worker may hold: so many, of so many characters together. Beyond, texts get theirs by a join.
 HELD_LINES, HELD_CHARS = 200_000, 16 << 20
 
 # Digits with bytes above ASCII on both sides may belong to a multi-byte character, so they stay.
 _DIGITS, _BLANKS, _RULERS = re.compile(r"(?<![0-9])(?:[0-9]++(?![^\x00-\x7f])|(?<![^\x00-\x7f])[0-9]++)"), re.compile(r"[ \t\r\n]+"), re.compile(r"([^\w\s])\1+")
 _BREAK = re.compile(r"(\r\n|\n|\r)")
+_WORD = (1 << 64) - 1
 _CONTROL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f\\ufffd\\ue000-\\uf8ff]")
 
 
@@ -62,6 +63,13 @@ def _pairs(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (codes[:-1] % CHAR_SLOTS).astype(np.int64), ((mixed >> np.uint64(44)) % PAIR_SLOTS).astype(np.int64), ((mixed >> np.uint64(20)) % PAIR_SLOTS).astype(np.int64)
 
 
+def _pair_slots(a: int, b: int) -> tuple[int, int]:
+    """The two slots of one pair, as _pairs has them."""
+    mixed = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F) & _WORD
+    mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _WORD
+    return (mixed >> 44) % PAIR_SLOTS, (mixed >> 20) % PAIR_SLOTS
+
+
 def _script(c: str) -> str:
     if c < "\x80":
         return "Latin" if c.isalpha() else ""
@@ -103,28 +111,25 @@ class PairModel:
         self.chars, self.pairs, self.pairs2, self.total = chars, pairs, pairs2, float(chars.sum()) + 1.0
         self.memory: dict[str, float] = {}
         self.strange: dict[str, frozenset[int]] = {}
+        #: Normal lines that no round trip makes cheaper.
+        self.clean: set[str] = set()
         self.known = {chr(slot) for slot in np.flatnonzero(chars)} | set("0123456789 \t\r\n")
         #: What a character that the corpus doesn't have costs at least.
         self.unknown = math.log((self.total + 0.01 * CHAR_SLOTS) / 0.01)
 
-    def costs(self, line: str) -> list[float]:
-        """Of each pair of the line, its ends included."""
-        memory, text = self._store(), f"\x02{line}\x03"
-        pairs = list(map("".join, zip(text, text[1:])))
-        for pair in set(pairs):
-            if pair not in memory:
-                memory[pair] = self._pair_cost(pair)
-        return [memory[pair] for pair in pairs]
-
     def _store(self) -> dict[str, float]:
         if len(self.memory) >= MEMORY:
             self.memory.clear()
         return self.memory
 
+    def _known_cost(self, pair: str) -> float:
+        one = self.memory.get(pair)
+        if one is None:
+            one = self.memory[pair] = self._pair_cost(pair)
+        return one
+
     def cost(self, line: str, limit: float = math.inf) -> float:
         """Cost of a line; infinite as soon as it is known to reach the limit."""
-        if limit == math.inf:
-            return sum(self.costs(line))
         memory, cost, last = self._store(), 0.0, "\x02"
         for c in (*line, "\x03"):
             one = memory.get(last + c)
@@ -145,63 +150,110 @@ class PairModel:
         return found
 
     def _pair_cost(self, pair: str) -> float:
-        first, row, row2 = _pairs(pair)  # the pair stands in the middle of its line of two
-        b = ord(pair[1]) % CHAR_SLOTS
-        alone = (self.chars[b] + 0.01) / (self.total + 0.01 * CHAR_SLOTS)
-        found = min(self.pairs[row[1]], self.pairs2[row2[1]])
-        return strangeness(pair) - math.log((found + BACKOFF * alone) / (self.chars[first[1]] + BACKOFF))
-
-    def step(self, line: str) -> tuple[float, tuple[str, str] | None, str]:
-        """(drop, (read with, written in), text) of the best round trip; drop 0 and no pair if none is cheaper."""
+        a, b = map(ord, pair)
+        row, row2 = _pair_slots(a, b)
+        alone = (int(self.chars[b % CHAR_SLOTS]) + 0.01) / (self.total + 0.01 * CHAR_SLOTS)
+        found = min(int(self.pairs[row]), int(self.pairs2[row2]))
+        return strangeness(pair) - math.log((found + BACKOFF * alone) / (int(self.chars[a % CHAR_SLOTS]) + BACKOFF))
+
+    def garbled(self, line: str) -> bool:
+        """Whether some round trip lowers the line's cost by the margin."""
+        return self.step(line, MARGIN)[0] >= MARGIN
+
+    def step(self, line: str, enough: float = math.inf) -> tuple[float, tuple[str, str] | None, str]:
+        """(drop, (read with, written in), text) of the best round trip, or of the first that drops the cost enough; drop 0 and no pair if none is cheaper.
+
+        Where both encodings share ASCII the trip is tried on the normal line, as digits and blanks stay
+        what they are; between those of one byte a character it exchanges single characters, so only the
+        pairs around these are weighed.
+        """
         alike = normal_line(line)
-        costs = self.costs(alike)
-        base = sum(costs)
-        # Encodings that share ASCII change nothing but the pairs around other characters: that is all they can save.
         text = f"\x02{alike}\x03"
-        at_stake = sum(c for c, x, y in zip(costs, text, text[1:]) if x > "\x7f" or y > "\x7f")
+        around = Counter((x, y) for x, y in zip(text, text[1:]) if x > "\x7f" or y > "\x7f")
+        base = self.cost(alike)
+        at_stake = sum(n * self._known_cost(x + y) for (x, y), n in around.items())
+        still = base - at_stake  # what stays as it is
+        high = "".join(sorted({c for c in alike if c > "\x7f"}))
+        controls, blanks = len(_CONTROL.findall(line)), alike.count(" ")  # an inner layer may hold control characters, but not more than the outer one
         least, how, best = base, None, line
-        controls = len(_CONTROL.findall(line))  # an inner layer may hold some, but not more than the outer one
-        seen, coded = {line}, set()
+
+        def take(cost: float, read: str, written: str) -> None:
+            nonlocal least, how, best
+            if cost < least:
+                try:
+                    whole = line.encode(read).decode(written)
+                except UnicodeError:
+                    return
+                if whole != line and len(_CONTROL.findall(whole)) <= controls:
+                    least, how, best = cost, (read, written), whole
+
+        def whole_trip(data: bytes, read: str, written: str) -> None:
+            if written in EBCDIC and read not in EBCDIC and blanks > controls:
+                return  # its blanks would become control characters
+            try:
+                text = data.decode(written)
+            except UnicodeError:
+                return
+            if text in seen:
+                return
+            seen.add(text)
+            if len(set(text) - self.known) * self.unknown <= least and len(_CONTROL.findall(text)) <= controls:
+                moved = read in EBCDIC or written in EBCDIC  # else digits, blanks and rulers stay what they were
+                take(self.cost(normal_line(text) if moved else text, least), read, written)
+
+        seen, exchanged, coded = {alike}, {high}, set()
         for read in ENCODINGS:
             try:
-                data = line.encode(read)
+                data = (high if read in SINGLE else line if read in EBCDIC else alike).encode(read)
             except UnicodeError:
                 continue
-            if data in coded:
+            if (read in SINGLE, data) in coded:
                 continue
-            coded.add(data)
-            shared = read not in EBCDIC
-            if shared and data.isascii():
-                tried = EBCDIC
-            else:
-                tried = ENCODINGS
-                high = {k for k in data if k > 127}
-            for written in tried:
-                if tried is ENCODINGS and shared and written in SINGLE and len(high & self.unknown_bytes(written)) * self.unknown >= at_stake:
+            coded.add((read in SINGLE, data))
+            if base - least >= enough:
+                break
+            exact, bytes_ = line.encode(read), set(data)
+            whole = exact if read in EBCDIC else alike.encode(read)
+            for written in ENCODINGS if high or read in EBCDIC else EBCDIC:
+                if read not in SINGLE or written not in SINGLE:
+                    whole_trip(exact if written in EBCDIC else whole, read, written)
+                    continue
+                if len(bytes_ & self.unknown_bytes(written)) * self.unknown >= at_stake:
                     continue  # what it saves, its strange characters cost again
                 try:
-                    text = data.decode(written)
+                    to = data.decode(written)
                 except UnicodeError:
                     continue
-                if text in seen:
+                if to in exchanged:
                     continue
-                seen.add(text)
-                if len(set(text) - self.known) * self.unknown > least or len(_CONTROL.findall(text)) > controls:
-                    continue  # can't be cheaper, or isn't text
-                cost = self.cost(normal_line(text), least)
-                if cost < least:
-                    least, how, best = cost, (read, written), text
+                exchanged.add(to)
+                limit = least - still
+                if len(set(to) - self.known) * self.unknown > limit:
+                    continue
+                table, cost = dict(zip(high, to)), 0.0
+                for (x, y), n in around.items():
+                    pair = table.get(x, x) + table.get(y, y)
+                    cost += n * self._known_cost(pair)
+                    if cost >= limit:
+                        break
+                else:
+                    take(still + cost, read, written)
         return base - least, how, best
 
     def _greedy(self, line: str) -> tuple[list[tuple[str, str]], str]:
         """Round trips until none lowers the cost by the margin. As costs aren't negative, there is an end, however many layers there are."""
         steps: list[tuple[str, str]] = []
-        while True:
+        while (alike := normal_line(line)) not in self.clean:
             drop, how, text = self.step(line)
             if how is None or drop < MARGIN:
-                return steps, line
+                if how is None:
+                    if len(self.clean) >= MEMORY:
+                        self.clean.clear()
+                    self.clean.add(alike)
+                break
             steps.append(how)
             line = text
+        return steps, line
 
     def chain(self, line: str) -> list[tuple[str, str]]:
         """The round trips, in order, that together lower the line's cost the most.
@@ -283,10 +335,8 @@ def _counted(lines: DataFrame, judge=None) -> PairModel:
         counts = [np.zeros(n, np.int64) for n in sizes]
         for batch in batches:
             for line, raw, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if judge is not None:
-                    drop, how, _ = judge.value.step(raw)
-                    if how is not None and drop >= MARGIN:
-                        continue
+                if judge is not None and judge.value.garbled(raw):
+                    continue
                 for into, slots in zip(counts, _pairs(line)):
                     np.add.at(into, slots, n)
         rows = [(k, p, page.tobytes()) for k, of in enumerate(counts) for p, page in enumerate(of.reshape(-1, _PAGE)) if page.any()]
