@@ -1,8 +1,9 @@
 """Sentence boundaries in texts of any language, script and layout.
 
 A pushdown automaton runs over the marks of a text (terminators, quotation marks, brackets, line
-breaks, blanks between Thai letters). Its stack holds open quotations and brackets; a tries of
-abbreviations and a few rules by script decide what a full stop means. Ends are code points.
+breaks, blanks between Thai letters). Its stacks hold open quotations and brackets, and the levels of
+a list by the indents of its marks; tries of abbreviations and a few rules by script decide what a
+full stop means. Ends are code points.
 """
 
 from __future__ import annotations
@@ -14,29 +15,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Abbreviations by what follows them, written without blanks.
+# Abbreviations of many languages by what follows them, written in small letters and without blanks.
 #: A word or name always follows: their full stop never ends a sentence.
 ABBREVIATIONS_OPEN = """
-e.g i.e cf vs approx ca st dr mr mrs prof viz resp
-z.b d.h u.a s.o s.u bzw vgl evtl ggf inkl zzgl bspw sog
-env p.ex c.-à-d n.b p.ej aprox
-т.е т.н ок напр см гл им ул
-π.χ δηλ βλ कि.मी डॉ श्री
+e.g i.e cf vs approx ca st dr mr mrs messrs mx prof profs viz resp incl excl esp ibid seq
+z.b d.h u.a s.o s.u bzw vgl evtl ggf ggfs inkl exkl einschl zzgl abzgl bspw sog ehem insb insbes allg vorl versch i.d.r i.a m.e v.a z.t z.zt s.a u.u o.g
+env p.ex c.-à-d n.b p.ej aprox p.es ad.es cioè.a.d m.in tzn tzw np bijv d.w.z m.b.t o.a bkz örn
+т.е т.н т.к т.о ок напр см ср гл им ул акад проф доц инж тов
+π.χ δηλ βλ कि.मी डॉ श्री प्रो
 """.split()
+#: Titles and parts of names: a capitalised one before a capital letter never ends a sentence.
+ABBREVIATIONS_TITLE = """
+ms gov gen rev hon sen rep capt cpt cmdr cdr col lt sgt cpl pvt maj adm brig supt insp det pres amb atty fr br sr jr mt mts ft pt ste sta sto ave blvd
+hr hrn frl fam dipl ing mag dkfm stud
+m mm mme mmes mlle mlles mgr me pr cie boul
+d dña sres sra sras srta srtas dra drs dras lic arq abog gral excmo excma ilmo ilma fdo av avda
+exmo exma profa eng
+sig sigg sig.ra sig.na dott dott.ssa prof.ssa avv geom rag on mons
+dhr mevr mw ir drs
+p pani ks inż dn sn
+г гр
+κ κα κκ
+""".split()
+#: Words of a firm's or an institution's name: the name goes on before a capital letter, unless the word there usually opens a sentence.
+ABBREVIATIONS_NAME = "corp bros assoc dept univ inst mfg intl natl govt cos llc plc gmbh dept.of".split()
+#: Words that open a sentence behind such a name.
+OPENERS = "the a an it its he she we they i you this that these those there in on at by for from with as if when while after before since once during all both each no not and but or so then however".split()
 #: A number always follows; before anything else they are ordinary words.
 ABBREVIATIONS_NUMBER = """
-fig figs sec vol no nos nr p pp eq eqs ref refs ch abb tab tabl art chap núm pág págs n
-рис табл стр с σελ αρ
+fig figs sec secs vol vols no nos nr nrs p pp eq eqs ref refs ch chs abb tab tabl art arts chap par para n ed pl pt pts ex
+jan feb mar apr jun jul aug sep sept oct okt nov dec dez mär janv févr avr juil déc ene abr ago set dic genn febbr
+núm pág págs cap caps tít mapa z.hd bd bde kap ziff anm taf seite
+рис табл стр с
+σελ αρ κεφ τομ पृ
 """.split()
 #: May stand at the end of a sentence as well: what follows decides.
 ABBREVIATIONS_CLOSE = """
-etc usw et.al inc ltd co jr sr sra a.m p.m u.s u.k u.s.a ee.uu ud uds min max hrs
-т.п т.д и.др г гг руб κ.λπ κτλ u.dgl u.ä
+etc usw usf et.al inc ltd co jr sr sra a.m p.m u.s u.k u.s.a u.n e.u ee.uu ud uds min max hrs ecc enz m.a.w atd itd itp
+т.п т.д и.др г гг руб тыс млн κ.λπ κτλ u.dgl u.ä o.ä e.v a.d b.c a.c d.c n.chr v.chr
 """.split()
 #: Words before a number with a full stop that make it an ordinal (German dates and ranks).
 ORDINAL_LEADS = "am der die das den dem des vom zum zur im ab bis beim seit ein eine einer einem einen".split()
-#: Small letters that open a sentence as symbols of quantities.
-SYMBOLS = ("dt",)
+#: Units: short words of consonants only that aren't the symbol of a quantity.
+UNITS = "km cm mm nm kg mg ms ns hz khz mhz db kn kw kv".split()
 
 CLOSE_OF = {"«": "»", "“": "”", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", '"': '"'}
 CLOSERS = "»”“」』)）]】》\""
@@ -66,8 +87,11 @@ def _tools():
     _trie(ABBREVIATIONS_OPEN, 1, root)
     _trie(ABBREVIATIONS_CLOSE, 2, root)
     _trie(ABBREVIATIONS_NUMBER, 3, root)
+    names: dict = {}
+    _trie(ABBREVIATIONS_TITLE, 4, names)
+    _trie(ABBREVIATIONS_NAME, 5, names)
     begun = {".".join(parts[:k]) + "." + parts[k] for parts in (w.split(".") for w in (*ABBREVIATIONS_OPEN, *ABBREVIATIONS_CLOSE)) for k in range(1, len(parts))}
-    return regex.compile(_MARK), regex.compile(_ITEM), root, regex.compile(r"\p{Lo}"), begun
+    return regex.compile(_MARK), regex.compile(_ITEM), (root, names), regex.compile(r"\p{Lo}"), begun
 
 
 def _abbreviation(text: str, dot: int, start: int, root: dict) -> tuple[int, int]:
@@ -95,16 +119,18 @@ def _word_before(text: str, i: int, start: int) -> tuple[int, int]:
     return j, i
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of every sentence, in code points; end is behind its last non-blank character.
+def sentence_spans(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, end, list level) of every sentence, in code points; end is behind its last non-blank character.
 
-    None for null, empty and blank texts.
+    The level is 0 outside of lists, 1 for an item at the outermost indent, and one more for each indent
+    within. None for null, empty and blank texts.
     """
     if not text or text.isspace():
         return []
-    mark, item, root, caseless, begun = _tools()
+    mark, item, tries, caseless, begun = _tools()
     n = len(text)
-    spans: list[tuple[int, int]] = []
+    spans: list[tuple[int, int, int]] = []
+    levels: list[int] = []  # indents of the list marks around the present sentence
     start = 0  # of the present sentence
     stack: list[tuple[str, bool, int]] = []  # closing characters, opened at a sentence's start, where
 
@@ -116,10 +142,18 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         while b > a and text[b - 1].isspace():
             b -= 1
         if b > a:
-            spans.append((a, b))
+            spans.append((a, b, len(levels)))
         start = end
         stack.clear()
 
+    def list_item(m) -> None:
+        """A list mark stands at the start of a line: lists further in are over, and one may begin."""
+        indent = len(m.group()) - len(m.group().lstrip())
+        while levels and levels[-1] > indent:
+            levels.pop()
+        if not levels or levels[-1] < indent:
+            levels.append(indent)
+
     def block_end(i: int) -> int:
         """Where an open quotation or bracket must have closed: the next empty line or list mark."""
         for m in mark.finditer(text, i):
@@ -134,6 +168,8 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     limit = -1  # block_end, found when first needed
     pos = 0
     first = item.match(text, 0)
+    if first:
+        list_item(first)
     skip = first.end() if first else 0  # a full stop of the mark itself ends nothing
     while m := mark.search(text, pos):
         kind, i, j = m.lastgroup, m.start(), m.end()
@@ -145,6 +181,9 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                 limit = -1
                 if nxt:
                     skip = nxt.end()
+                    list_item(nxt)
+                elif breaks(m) > 1:
+                    levels.clear()
             elif not stack and i > start and "฀" <= text[i - 1] <= "๿" and j < n and "฀" <= text[j] <= "๿":
                 emit(i)  # a wrapped blank between two Thai sentences
             continue
@@ -214,7 +253,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         elif run == ".":
             if not spaced and not _run_on(text, i, nxt, n):
                 continue
-            if spaced and _holds(text, i, start, nxt, n, root, begun):
+            if spaced and _holds(text, i, start, nxt, n, tries, begun):
                 continue
         elif run == "．" and i and text[i - 1].isdigit() and j < n and text[j].isdigit():
             continue
@@ -237,8 +276,16 @@ def _opens(text: str, k: int, n: int) -> bool:
     c = text[k]
     if c.isupper() or c.istitle():
         return True
-    word = text[k : k + 8].split(None, 1)[0] if not c.isspace() else ""
-    return word in SYMBOLS or (not c.isascii() and c.isalpha() and not c.islower())
+    return _symbol(text, k) or (not c.isascii() and c.isalpha() and not c.islower())
+
+
+def _symbol(text: str, k: int) -> bool:
+    """Whether a word of two or three small consonants stands at k, which opens a sentence as the symbol of a quantity ("dt", "dx")."""
+    e = k
+    while e < len(text) and text[e].isalpha() and e - k < 4:
+        e += 1
+    word = text[k:e]
+    return 2 <= len(word) <= 3 and word.isascii() and word.islower() and not set(word) & set("aeiouy") and word not in UNITS
 
 
 def _run_on(text: str, dot: int, nxt: int, n: int) -> bool:
@@ -250,13 +297,34 @@ def _run_on(text: str, dot: int, nxt: int, n: int) -> bool:
     return follows.isupper() and nxt + 1 < n and (text[nxt + 1].islower() or text[nxt + 1].isspace() or text[nxt + 1] in "'’") and len(word) == 2 and (word.islower() and word.isalpha() or word[-1].isdigit() or word[-1] in CLOSERS)
 
 
-def _holds(text: str, dot: int, start: int, nxt: int, n: int, root: dict, begun: set) -> bool:
+def _a_name(text: str, begin: int, start: int, nxt: int, end: int) -> bool:
+    """Whether a title goes on as a name: the word behind is capitalised and doesn't open a sentence, and none of several letters in capitals stands before (headings)."""
+    word = text[nxt:end]
+    if word.lower() in OPENERS or (len(word) > 1 and word.isupper()):
+        return False
+    k = begin
+    while k > start and text[k - 1].isspace():
+        k -= 1
+    return not (k > start and text[k - 1].isdigit())  # behind a number it is a unit
+
+
+def _holds(text: str, dot: int, start: int, nxt: int, n: int, tries: tuple[dict, dict], begun: set) -> bool:
     """Whether the full stop at `dot`, with a blank behind it, leaves the sentence open."""
+    root, names = tries
     kind, _ = _abbreviation(text, dot, start, root)
     if kind == 1:
         return True
     if kind == 3 and text[nxt].isdigit():
         return True
+    named, begin = _abbreviation(text, dot, start, names)
+    if named and text[begin].isupper() and text[nxt].isupper():
+        e = nxt
+        while e < n and text[e].isalpha():
+            e += 1
+        if named == 4 and not (kind and dot - begin <= 2) and _a_name(text, begin, start, nxt, e):
+            return True
+        if named == 5 and text[nxt:e].lower() not in OPENERS:
+            return True
     a, _ = _word_before(text, dot, start)
     word = text[a:dot]
     e = nxt
@@ -295,37 +363,35 @@ def _closed_ends(text: str, j: int, n: int, at_start: bool, caseless) -> bool:
             return False  # a particle
         return at_start and not (nxt == j and c in "とっ")
     if c.islower():
-        return text[nxt : nxt + 8].split(None, 1)[0] in SYMBOLS
+        return _symbol(text, nxt)
     return at_start or _opens(text, nxt, n)
 
 
-_SPANS = "end_char bigint"
-
-
 def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(id_col, sentence_no, start_char, end_char[, sentence]), one row per sentence, in order from 0.
+    """(id_col, sentence_no, start_char, end_char, list_level[, sentence]), one row per sentence, in order from 0.
 
     Texts are processed whole. Null, empty and blank texts have no rows; rows of the same id are
     split each on its own.
     """
     kind = dict(df.dtypes)[id_col]
-    names = [id_col, "sentence_no", "start_char", "end_char", *(["sentence"] if with_text else [])]
+    names = [id_col, "sentence_no", "start_char", "end_char", "list_level", *(["sentence"] if with_text else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, number, begin, end, said = [], [], [], [], []
+            at, number, begin, end, level, said = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                for k, (a, b) in enumerate(sentence_spans(text)):
+                for k, (a, b, depth) in enumerate(sentence_spans(text)):
                     at.append(row)
                     number.append(k)
                     begin.append(a)
                     end.append(b)
+                    level.append(depth)
                     if with_text:
                         said.append(text[a:b])
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())]
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(level, pa.int32())]
             if with_text:
                 columns.append(pa.array(said, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = ", sentence string" if with_text else ""
-    return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"`{id_col}` {kind}, sentence_no int, start_char bigint, end_char bigint{more}")
+    return df.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"`{id_col}` {kind}, sentence_no int, start_char bigint, end_char bigint, list_level int{more}")

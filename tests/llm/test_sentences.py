@@ -4,7 +4,7 @@ from lithoframe.llm.sentences import sentence_spans, split_sentences
 
 
 def cut(text):
-    return [text[a:b] for a, b in sentence_spans(text)]
+    return [text[a:b] for a, b, _ in sentence_spans(text)]
 
 
 @pytest.mark.parametrize(
@@ -65,3 +65,24 @@ def test_frame(spark):
     assert got == [(-1, 0, 2), (1, 0, 4), (1, 0, 4), (1, 1, 9), (1, 1, 9), (5, 0, 5), (5, 1, 13)]
     assert split_sentences(df.where("false")).count() == 0
     assert {r["sentence"] for r in split_sentences(df, with_text=True).where("doc_id = 5").collect()} == {"👍 ok.", "Then é."}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["He met Gov. Smith.", "We saw Gen. Lee there.", "Then Rev. Jones spoke.", "Guten Tag, Hr. Müller kam.", "Hier wohnt Mme. Durand.", "Il Sig. Rossi parla.", "It ran from Jan. 5 to Feb. 9.", "El Lic. Gómez firmó.", "The Corp. Building is tall.", "We climbed Mt. Everest."],
+)
+def test_titles_months_and_names(text):
+    assert cut(text) == [text]
+    assert cut(f"{text} {text}") == [text, text]
+
+
+def test_words_like_titles_end_sentences():
+    assert cut("He works for Acme Corp. The firm pays.") == ["He works for Acme Corp.", "The firm pays."]
+    assert cut("The depth is 5 m. Then the line ends.") == ["The depth is 5 m.", "Then the line ends."]
+    assert cut("It took 9 ms. Then it ran at 3 rev. Nothing else.") == ["It took 9 ms.", "Then it ran at 3 rev.", "Nothing else."]
+    assert cut("Offsets etc. dx was 9. The values etc. km count.") == ["Offsets etc.", "dx was 9.", "The values etc. km count."]
+
+
+def test_levels_of_lists():
+    text = "Head\n- a. B.\n  1) c\n  wrapped\n  2) d\n    - e\n- f\n\nEnd"
+    assert [(text[a:b], level) for a, b, level in sentence_spans(text)] == [("Head", 0), ("- a.", 1), ("B.", 1), ("1) c\n  wrapped", 2), ("2) d", 2), ("- e", 3), ("- f", 1), ("End", 0)]
