@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions.scalar import is_finite
 from lithoframe.operators.gathers import with_flags
+from lithoframe.operators.ordering import numbered
 
 
 def _kind(kind: str) -> tuple[str, str, str, str]:
@@ -55,11 +56,13 @@ def links(df: DataFrame) -> DataFrame:
     return df.where("source_id <> 0 AND receiver_id <> 0").groupBy("source_id", "receiver_id").agg(F.count(F.lit(1)).alias("traces"))
 
 
-def counterparts(df: DataFrame, kind: str) -> DataFrame:
-    """(id, others, n_others): the sorted numbers at the other end of each source's or receiver's traces."""
+def counterparts(df: DataFrame, kind: str, together: int = 4096) -> DataFrame:
+    """(id, part, others, n_others): the sorted numbers at the other end of each source's or receiver's traces, at most `together` a row; parts from 0, in order."""
     i, other = ("source_id", "receiver_id") if kind == "source" else ("receiver_id", "source_id")
-    # duplicates go before the lists are built: a list is as long as the point has counterparts, not traces
-    return links(df).groupBy(F.col(i).alias("id")).agg(F.sort_array(F.collect_list(other)).alias("others"), F.count(F.lit(1)).alias("n_others"))
+    each = numbered(links(df).select(F.col(i).alias("id"), F.col(other).alias("other")), ["id", "other"])
+    first = each.groupBy("id").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("n_others"))
+    placed = each.join(first, "id").withColumn("part", F.floor((F.col("n") - F.col("first")) / together))
+    return placed.groupBy("id", "part", "n_others").agg(F.sort_array(F.collect_list("other")).alias("others")).select("id", "part", "others", "n_others")
 
 
 def nearest_points(queries: DataFrame, pts: DataFrame, max_distance: float) -> DataFrame:

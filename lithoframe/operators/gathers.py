@@ -96,6 +96,11 @@ def select_keys(df: DataFrame, key: str, keys: list[int]) -> DataFrame:
     return df.where(F.col(key).isin([int(k) for k in dict.fromkeys(keys)]))
 
 
+def at_traces(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records of a list (position, trace_number), with position; traces that aren't there have none, and several records of a trace share its position."""
+    return df.join(wanted.select("position", "trace_number"), "trace_number")
+
+
 def raw_range(df: DataFrame, first: int, end: int, n_traces: int) -> DataFrame:
     """Traces first..end-1 in physical order; reversed ends are swapped, both are clamped, and an end of 0 or less means the file's."""
     if end <= 0:

@@ -191,9 +191,19 @@ def parse_navigation(text: DataFrame) -> DataFrame:
     return parsed.withColumn("sp", F.when(bad, F.raise_error(F.concat(F.lit("not a navigation row: "), F.col("value"))).cast("double")).otherwise(F.col("sp"))).drop("value")
 
 
+#: Order values of a line that are hashed together, then hashes of these, and so on.
+_TOGETHER = 4096
+
+
 def fingerprint(line: DataFrame) -> DataFrame:
-    """(line, fingerprint): hash of the line's traces and places to the centimetre, in order."""
+    """(line, fingerprint): hash of the line's traces and places to the centimetre, in order.
+
+    A tree of hashes: of traces by 4,096 trace numbers, of these by 4,096, then of the line's; so no list is long.
+    """
     cm = lambda k: F.round(F.col(k) * 100).cast("bigint").cast("string")
     text = F.concat_ws(":", F.col("trace").cast("string"), cm("x"), cm("y"))
-    per_trace = line.select("line", "trace", F.md5(text.cast("binary")).alias("h"))
-    return per_trace.groupBy("line").agg(F.md5(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("trace", "h"))), lambda s: s["h"])).cast("binary")).alias("fingerprint"))
+    level = line.select("line", F.col("trace").alias("k"), F.md5(text.cast("binary")).alias("h"))
+    together = F.md5(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda s: s["h"])).cast("binary"))
+    for _ in range(2):
+        level = level.groupBy("line", F.floor(F.col("k") / _TOGETHER).alias("up")).agg(together.alias("h")).withColumnRenamed("up", "k")
+    return level.groupBy("line").agg(together.alias("fingerprint"))

@@ -56,11 +56,12 @@ def offset_columns(spark, sf):
     return display.offset_columns(records(spark, sf).where("source_id <> 0"), "source_id", 12)
 
 
-@query(REC + ", a AS (SELECT record_id, trace_offset AS v FROM rec WHERE record_id % 3 <> 0), b AS (SELECT record_id, trace_offset + 1.5 AS v FROM rec WHERE record_id % 4 <> 0) SELECT a.record_id AS a_ord, a.v AS a_value, b.v AS b_value, round(a.v - b.v, 6) AS delta FROM a LEFT JOIN b USING (record_id)")
+@query(REC + ", b AS (SELECT record_id + 1 AS record_id, trace_offset + 1.5 AS v FROM rec) SELECT a.record_id AS a_ord, a.trace_offset AS a_value, b.v AS b_value, round(a.trace_offset - b.v, 6) AS delta FROM rec a LEFT JOIN b USING (record_id)")
 def compare_slots(spark, sf):
-    """Values of A and B side by side; what isn't there is null."""
+    """Values of A and B side by side; what isn't there is null. B is A moved by one record."""
     rec = records(spark, sf)
-    a, b = (rec.where(w).select(F.col("record_id").alias("ord"), v.alias("value")) for w, v in (("record_id % 3 <> 0", F.col("trace_offset")), ("record_id % 4 <> 0", F.col("trace_offset") + 1.5)))
+    a = rec.select(F.col("record_id").alias("ord"), F.col("trace_offset").alias("value"))
+    b = rec.select((F.col("record_id") + 1).alias("ord"), (F.col("trace_offset") + 1.5).alias("value"))
     rows = a.select(F.col("ord").alias("a_ord")).withColumn("b_ord", F.col("a_ord"))
     return display.compare_slots(rows, a, b).select("a_ord", "a_value", "b_value", r("delta"))
 
@@ -121,12 +122,10 @@ def paths_once(spark, sf):
     return display.once_by_path(both)
 
 
-@query(REC + " SELECT a.record_id AS a_record_id, b.record_id AS b_record_id FROM rec a JOIN recb b ON a.trace_number = b.trace_number AND a.source_id = b.source_id AND a.receiver_id = b.receiver_id")
+@query(REC + ", m AS (SELECT max(trace_number) AS m FROM rec), w AS (SELECT DISTINCT trace_number AS position, m - trace_number AS trace_number FROM rec, m) SELECT w.position, rec.record_id FROM w JOIN rec USING (trace_number)")
 def records_of_traces(spark, sf):
-    """Records of both sources that carry the same numbers."""
-    from lithoframe.plans.views import records_b
-
-    a, b = (df.select(F.col("record_id").alias(f"{k}_record_id"), "trace_number", "source_id", "receiver_id") for k, df in (("a", records(spark, sf)), ("b", records_b(spark, sf))))
-    return a.join(b, ["trace_number", "source_id", "receiver_id"]).select("a_record_id", "b_record_id")
-
-
+    """The records of a list of traces, with their place in the list: here the traces in reverse."""
+    rec = records(spark, sf)
+    top = rec.agg(F.max("trace_number").alias("m"))
+    wanted = gathers.with_flags(rec.select(F.col("trace_number").alias("position")).distinct(), top).select("position", (F.col("m") - F.col("position")).alias("trace_number"))
+    return gathers.at_traces(rec, wanted).select("position", "record_id")

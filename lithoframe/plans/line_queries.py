@@ -83,11 +83,12 @@ def nearest_rank(spark, sf):
     return grid.nearest_rank(ranks, rec.select(F.col("record_id").alias("qid"), (F.col("cdp") / 4.0).alias("target")))
 
 
-@query(_GRID + " SELECT min(il) AS il0, max(il) AS il1, min(xl) AS xl0, max(xl) AS xl1 FROM g WHERE trace_number % 3 <> 2")
+@query(_GRID + " SELECT min(il) AS il0, max(il) + 3 AS il1, min(xl) - 2 AS xl0, max(xl) AS xl1 FROM g")
 def grid_bounds_union(spark, sf):
-    """The box around two parts of the grid."""
+    """The box around the grid and the same grid moved by three inlines and two crosslines."""
     i = _index(spark, sf)
-    return grid.union_bounds(*(grid.bounds(i.where(F.col("trace_number") % 3 == k)) for k in (0, 1)))
+    moved = i.withColumns({"il": F.col("il") + 3, "xl": F.col("xl") - 2})
+    return grid.union_bounds(grid.bounds(i), grid.bounds(moved))
 
 
 @query(REC + " SELECT crossline FROM rec WHERE line = 'SL000000' INTERSECT SELECT crossline FROM rec WHERE line = 'SL000001'")
@@ -103,19 +104,19 @@ def traces_in_box(spark, sf):
     return grid.in_box(_index(spark, sf), (3, 1), (60, 20)).select("trace_number", "il", "xl")
 
 
-@query(_GRID + ", c AS (SELECT il, xl, min(trace_number) AS b_trace FROM g WHERE trace_number % 2 = 1 GROUP BY 1, 2) SELECT g.trace_number AS a_trace, c.b_trace, il, xl FROM g JOIN c USING (il, xl) WHERE g.trace_number % 2 = 0")
+@query(_GRID + ", c AS (SELECT il, xl + 1 AS xl, min(trace_number) AS b_trace FROM g GROUP BY 1, 2) SELECT g.trace_number AS a_trace, c.b_trace, il, xl FROM g JOIN c USING (il, xl)")
 def pair_by_cell(spark, sf):
-    """Traces of two volumes in the same cell, the first of B."""
+    """Traces of two volumes in the same cell, the first of B; B is A moved by a crossline."""
     i = _index(spark, sf).select("trace_number", "il", "xl")
-    return grid.cell_pairs(i.where("trace_number % 2 = 0"), i.where("trace_number % 2 = 1"))
+    return grid.cell_pairs(i, i.withColumn("xl", F.col("xl") + 1))
 
 
-@query(REC + ", b AS (SELECT crossline, max(trace_number) AS b_trace FROM rec WHERE trace_number % 2 = 1 GROUP BY 1) SELECT rec.trace_number AS a_trace, b_trace, rec.crossline AS across FROM rec JOIN b USING (crossline) WHERE rec.trace_number % 2 = 0")
+@query(REC + ", b AS (SELECT crossline + 1 AS crossline, max(trace_number) AS b_trace FROM rec GROUP BY 1) SELECT rec.trace_number AS a_trace, b_trace, rec.crossline AS across FROM rec JOIN b USING (crossline)")
 def pair_by_coord(spark, sf):
-    """Traces of two lines at the same coordinate, the last of B."""
+    """Traces of two lines at the same coordinate, the last of B; B is A moved by one."""
     rec = records(spark, sf).select("trace_number", "crossline")
-    b = rec.where("trace_number % 2 = 1").groupBy("crossline").agg(F.max("trace_number").alias("b_trace"))
-    return rec.where("trace_number % 2 = 0").join(b, "crossline").select(F.col("trace_number").alias("a_trace"), "b_trace", F.col("crossline").alias("across"))
+    b = rec.select("trace_number", (F.col("crossline") + 1).alias("crossline")).groupBy("crossline").agg(F.max("trace_number").alias("b_trace"))
+    return rec.join(b, "crossline").select(F.col("trace_number").alias("a_trace"), "b_trace", F.col("crossline").alias("across"))
 
 
 # --- lines -------------------------------------------------------------------------------------------
@@ -279,7 +280,7 @@ def navigation_names(spark, sf):
     return lines.match_line_names(files, table(spark, sf, "navigation").where("line IS NOT NULL").select("line").distinct())
 
 
-@query(TRJ + ", h AS (SELECT line, trace, md5(trace || ':' || CAST(round(x * 100) AS BIGINT) || ':' || CAST(round(y * 100) AS BIGINT)) AS h FROM trj) SELECT line, md5(string_agg(h, '|' ORDER BY trace)) AS fingerprint FROM h GROUP BY 1")
+@query(TRJ + ", h AS (SELECT line, trace, md5(trace || ':' || CAST(round(x * 100) AS BIGINT) || ':' || CAST(round(y * 100) AS BIGINT)) AS h FROM trj), k AS (SELECT line, trace // 4096 AS k, md5(string_agg(h, '|' ORDER BY trace)) AS h FROM h GROUP BY 1, 2), m AS (SELECT line, k // 4096 AS m, md5(string_agg(h, '|' ORDER BY k)) AS h FROM k GROUP BY 1, 2) SELECT line, md5(string_agg(h, '|' ORDER BY m)) AS fingerprint FROM m GROUP BY 1")
 def geometry_fingerprint(spark, sf):
     """A hash of every line's traces and places."""
     return lines.fingerprint(trajectory(spark, sf))
@@ -395,10 +396,18 @@ def raster_columns(spark, sf):
     return clip.decimate(trajectory(spark, sf), 96, truncate=True)
 
 
-@query("WITH n AS (SELECT DISTINCT name FROM xy_ranges WHERE name IS NOT NULL), c AS (SELECT name, regexp_replace(trim(name), '[^a-zA-Z0-9._-]+', '_', 'g') AS c FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY lower(c) ORDER BY name) AS k FROM c) SELECT name, CASE WHEN k = 1 THEN c ELSE c || '_' || k END AS output FROM k")
+_NAMES = """WITH n AS (SELECT name FROM xy_ranges WHERE name IS NOT NULL UNION SELECT upper(name) FROM xy_ranges WHERE name IS NOT NULL UNION SELECT name || '?.sgy' FROM xy_ranges WHERE name IS NOT NULL UNION SELECT name || '*.SGY' FROM xy_ranges WHERE name IS NOT NULL UNION SELECT range_id || '.dat' FROM xy_ranges),
+c AS (SELECT name, CASE WHEN c = '' THEN 'line_' ELSE c END AS c FROM (SELECT name, regexp_replace(regexp_replace(trim(name), '[^\\p{L}\\p{N}._-]+', '_', 'g'), '\\.+$', '') AS c FROM n)), e AS (SELECT *, regexp_extract(c, '(\\.[^.]*)$', 1) AS e, sha256(name) AS h FROM c),
+o AS (SELECT *, left(c, length(c) - length(e)) AS stem, CASE WHEN count(*) OVER (PARTITION BY lower(c)) = 1 THEN c ELSE left(c, length(c) - length(e)) || '_' || left(h, 8) || e END AS o FROM e)"""
+
+
+@query(_NAMES + " SELECT name, CASE WHEN count(*) OVER (PARTITION BY lower(o)) = 1 THEN o ELSE stem || '_' || h || e END AS output, 1 AS of_that_name FROM o")
 def output_names(spark, sf):
-    """Safe and distinct file names."""
-    return clip.safe_names(table(spark, sf, "xy_ranges").where("name IS NOT NULL").select("name").distinct(), "name")
+    """Safe and distinct file names of names that collide, and how many have each of them."""
+    t = table(spark, sf, "xy_ranges")
+    n = t.where("name IS NOT NULL").select(F.explode(F.array(F.col("name"), F.upper("name"), F.concat("name", F.lit("?.sgy")), F.concat("name", F.lit("*.SGY")))).alias("name"))
+    out = clip.safe_names(n.unionByName(t.select(F.concat(F.col("range_id").cast("string"), F.lit(".dat")).alias("name"))), "name")
+    return out.join(out.groupBy(F.lower("output").alias("k")).agg(F.count(F.lit(1)).alias("of_that_name")), F.lower("output") == F.col("k")).select("name", "output", "of_that_name")
 
 
 @query("WITH t AS (SELECT DISTINCT record_id, delay_ms + trace_in_field * 37 AS ms FROM prestack_records) SELECT record_id, CASE WHEN abs(ms) < 1000 THEN CAST(ms AS VARCHAR) || ' ms' ELSE printf('%.3f s', ms / 1000.0) END AS label FROM t")

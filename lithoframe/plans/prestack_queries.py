@@ -63,16 +63,16 @@ def cmp_keys(spark, sf):
     return gathers.cmp_keys(rec, R.uses_grid(rec)).select("record_id", "cmp_kind", "cmp_a", "cmp_b")
 
 
-@query(REC + " SELECT source_id AS id, count(DISTINCT (source_x, source_y)) AS places FROM rec WHERE has_source AND source_id <> 0 GROUP BY 1 HAVING count(DISTINCT (source_x, source_y)) > 1")
+@query(REC + " SELECT source_id // 2 AS id, count(DISTINCT (source_x, source_y)) AS places FROM rec WHERE has_source AND source_id // 2 <> 0 GROUP BY 1 HAVING count(DISTINCT (source_x, source_y)) > 1")
 def shot_keys_conflict(spark, sf):
-    """Source numbers that stand for more than one place."""
-    return acquisition.id_conflicts(records(spark, sf), "source")
+    """Source numbers that stand for more than one place, where two sources share each number."""
+    return acquisition.id_conflicts(records(spark, sf).withColumn("source_id", F.floor(F.col("source_id") / 2)), "source")
 
 
-@query(REC + " SELECT receiver_id AS id, count(DISTINCT (receiver_x, receiver_y)) AS places FROM rec WHERE has_receiver AND receiver_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT (receiver_x, receiver_y)) > 1")
+@query(REC + " SELECT receiver_id // 5000 AS id, count(DISTINCT (receiver_x, receiver_y)) AS places FROM rec WHERE has_receiver AND receiver_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT (receiver_x, receiver_y)) > 1")
 def receiver_keys_conflict(spark, sf):
-    """Receiver numbers, 0 included, that stand for more than one place."""
-    return acquisition.id_conflicts(records(spark, sf), "receiver", with_zero=True)
+    """Receiver numbers, 0 included, that stand for more than one place, where many receivers share each number."""
+    return acquisition.id_conflicts(records(spark, sf).withColumn("receiver_id", F.floor(F.col("receiver_id") / 5000)), "receiver", with_zero=True)
 
 
 @query(
@@ -225,7 +225,8 @@ def source_receiver_links(spark, sf):
 @query(REC + " SELECT source_id AS id, count(DISTINCT receiver_id) AS n_others, min(receiver_id) AS first_other, max(receiver_id) AS last_other FROM rec WHERE source_id <> 0 AND receiver_id <> 0 GROUP BY 1")
 def counterpart_receivers(spark, sf):
     """The receivers of every source."""
-    return acquisition.counterparts(records(spark, sf), "source").select("id", "n_others", F.element_at("others", 1).alias("first_other"), F.element_at("others", -1).alias("last_other"))
+    parts = acquisition.counterparts(records(spark, sf), "source", together=16)
+    return parts.groupBy("id").agg(F.sum(F.size("others")).alias("n_others"), F.min(F.element_at("others", 1)).alias("first_other"), F.max(F.element_at("others", -1)).alias("last_other"))
 
 
 @query(

@@ -22,7 +22,7 @@ REC = f"WITH rec AS (SELECT DISTINCT {', '.join(RECORD_COLUMNS)} FROM prestack_r
 TRC = (
     "WITH trc AS (SELECT vec_id AS trace, CAST(embedding AS DOUBLE[]) AS samples, 1000 + vec_id // 25 AS il, 2000 + vec_id % 25 AS xl FROM embeddings), "
     "trb AS (SELECT vec_id - 1 AS trace, CAST(embedding AS DOUBLE[]) AS samples FROM embeddings WHERE vec_id >= 1), "
-    "smp AS (SELECT trace, il, xl, s AS sample, samples[s + 1] AS v FROM trc, generate_series(0, 63) g(s)), smb AS (SELECT trace, s AS sample, samples[s + 1] AS v FROM trb, generate_series(0, 63) g(s))"
+    "smp AS MATERIALIZED (SELECT trace, il, xl, s AS sample, samples[s + 1] AS v FROM trc, generate_series(0, 63) g(s)), smb AS (SELECT trace, s AS sample, samples[s + 1] AS v FROM trb, generate_series(0, 63) g(s))"
 )
 #: Opens a SQL oracle over the valid positions of lines, each trace once.
 TRJ = "WITH trj AS (SELECT line, trace, min(cdp) AS cdp, bool_or(has_cdp) AS has_cdp, min(x) AS x, min(y) AS y FROM trajectory WHERE valid AND isfinite(x) AND isfinite(y) GROUP BY line, trace)"
