@@ -182,9 +182,15 @@ def section_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.select("trace", F.zip_with(F.slice("sa", 1, n), F.slice("sb", 1, n), lambda x, y: x - y).alias("samples"))
 
 
-def position_columns(line: DataFrame, width: int) -> DataFrame:
-    """(line, px, trace_l, trace_r, f): for evenly spread positions of each line (line, trace, distance) the traces on either side and the weight of the right one."""
+def position_columns(line: DataFrame, width: int, bounds: DataFrame | None = None) -> DataFrame:
+    """(line, px, trace_l, trace_r, f): for evenly spread positions of each line (line, trace, distance) the traces on either side and the weight of the right one.
+
+    bounds (line, start, end) limit the positions; a start before the line's is its start, an end beyond it or not behind the start its end.
+    """
     ends = line.groupBy("line").agg(F.min("distance").alias("a"), F.max("distance").alias("b"))
+    if bounds is not None:
+        low = F.greatest("a", F.coalesce("start", "a"))
+        ends = ends.join(bounds, "line").select("line", low.alias("a"), F.when((F.col("end") > F.col("b")) | (F.col("end") <= low), F.col("b")).otherwise(F.coalesce("end", "b")).alias("b"))
     targets = ends.select("line", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("px"), "a", "b").select("line", "px", (F.col("a") + (F.col("b") - F.col("a")) * F.col("px") / F.lit(float(max(width - 1, 1)))).alias("p"))
     both = line.select("line", F.col("distance").alias("p"), "trace", F.lit(None).cast("int").alias("px")).unionByName(targets.select("line", "p", F.lit(None).cast("bigint").alias("trace"), "px"))
     at = F.when(F.col("trace").isNotNull(), F.struct("p", "trace"))
@@ -195,10 +201,10 @@ def position_columns(line: DataFrame, width: int) -> DataFrame:
 
 
 def texture_size(traces: Column, samples: Column, budget_bytes: int, lines: int, cap: tuple[int, int] = (1024, 1536)) -> Column:
-    """struct<width, height>: the largest texture within the cap, no larger than the source, and within the line's share of the byte budget."""
-    w, h = F.least(traces, F.lit(cap[0])), F.least(samples, F.lit(cap[1]))
+    """struct<width, height>: the largest texture within the cap, no larger than the source but at least 2 x 2, and within the line's share of the byte budget."""
+    w, h = (F.greatest(F.lit(2), F.least(v, F.lit(c))) for v, c in ((traces, cap[0]), (samples, cap[1])))
     shrink = F.least(F.lit(1.0), F.sqrt(F.lit(budget_bytes / max(lines, 1)) / (w * h)))
-    return F.struct(F.greatest(F.lit(1), F.floor(w * shrink)).alias("width"), F.greatest(F.lit(1), F.floor(h * shrink)).alias("height"))
+    return F.struct(F.greatest(F.lit(2), F.floor(w * shrink)).alias("width"), F.greatest(F.lit(2), F.floor(h * shrink)).alias("height"))
 
 
 def time_fraction(ms: Column, lo: float, hi: float) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lithoframe.plans import display_queries, line_queries, prestack_queries, problem_queries, sample_queries, segy_queries
+from lithoframe.plans import display_queries, line_queries, panel_queries, prestack_queries, problem_queries, sample_queries, segy_queries
 
 FLAGSHIP = "fold_bins"
-_MODULES = (prestack_queries, line_queries, sample_queries, display_queries, problem_queries, segy_queries)
+_MODULES = (prestack_queries, line_queries, sample_queries, panel_queries, display_queries, problem_queries, segy_queries)
 
 
 def queries() -> dict:

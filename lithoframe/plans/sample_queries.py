@@ -238,7 +238,7 @@ def position_columns(spark, sf):
     return raster.position_columns(line, 16).select("line", "px", "trace_l", "trace_r", r("f", 5))
 
 
-@query(REC + ", n AS (SELECT line, count(*) AS t, max(sample_count) AS s FROM rec GROUP BY 1), z AS (SELECT line, least(t, 1024) AS w, least(s, 1536) AS h FROM n) SELECT line, CAST(greatest(1, floor(w * least(1.0, sqrt(500000.0 / (w * h))))) AS BIGINT) AS width, CAST(greatest(1, floor(h * least(1.0, sqrt(500000.0 / (w * h))))) AS BIGINT) AS height FROM z")
+@query(REC + ", n AS (SELECT line, count(*) AS t, max(sample_count) AS s FROM rec GROUP BY 1), z AS (SELECT line, greatest(2, least(t, 1024)) AS w, greatest(2, least(s, 1536)) AS h FROM n) SELECT line, CAST(greatest(2, floor(w * least(1.0, sqrt(500000.0 / (w * h))))) AS BIGINT) AS width, CAST(greatest(2, floor(h * least(1.0, sqrt(500000.0 / (w * h))))) AS BIGINT) AS height FROM z")
 def texture_sizes(spark, sf):
     """Texture size of every line under a byte budget."""
     n = records(spark, sf).groupBy("line").agg(F.count(F.lit(1)).alias("t"), F.max("sample_count").alias("s"))
