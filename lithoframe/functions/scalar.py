@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -105,6 +105,17 @@ def line_name(path: Column | str) -> Column:
     return F.regexp_replace(F.regexp_extract(as_col(path), r"([^/\\]+)$", 1), r"\.[^.]*$", "")
 
 
+def folder(path: Column | str) -> Column:
+    """Folder of a path, without its last separator; '' if it has none."""
+    return F.regexp_replace(F.regexp_extract(as_col(path), r"^(.*)[/\\\\][^/\\\\]*$", 1), r"[/\\\\]+$", "")
+
+
+def common_folder(df: DataFrame, path: str = "path") -> DataFrame:
+    """One row (folder): the folder of all paths, as the first one spells it; '' if they lie in several (ignoring case) or there are none."""
+    f = folder(path)
+    return df.agg(F.when(F.count_distinct(F.lower(f)) == 1, F.min(f)).otherwise(F.lit("")).alias("folder"))
+
+
 def hex_dump(data: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.hex(as_col(data)), "(..)", "$1 "))
 

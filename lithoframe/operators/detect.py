@@ -6,12 +6,13 @@ MAX_HEADERS rows of 240 bytes, whatever the file's size.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.operators import lines
@@ -186,6 +187,77 @@ def route(spark: SparkSession, path: str, wanted: int = 3072) -> tuple[str, Dete
     return ("crooked_line" if shape and shape[0]["crooked"] else "line_2d"), found
 
 
+@dataclass
+class RegularGrid:
+    """A grid whose numbers follow from the trace number: `rows` lines of `length` traces, the fast axis running along each."""
+
+    rows: int
+    length: int
+    fast_is_crossline: bool
+    fast: tuple[int, int]
+    slow: tuple[int, int]
+    serpentine: bool
+    headers_read: int = 0
+
+    def at(self, trace: int) -> tuple[int, int]:
+        """(inline, crossline) of a trace."""
+        row, col = divmod(trace, self.length)
+        col = self.length - 1 - col if self.serpentine and row % 2 else col
+        f, s = self.fast[0] + col * self.fast[1], self.slow[0] + row * self.slow[1]
+        return (s, f) if self.fast_is_crossline else (f, s)
+
+
+def regular_grid(path: str, inline_byte: int = STANDARD[0], crossline_byte: int = STANDARD[1], checkpoints: int = 96) -> RegularGrid | None:
+    """The grid of a file without gaps, from about a hundred headers whatever its size; None if it isn't one, and the grid has to be indexed by all headers.
+
+    The first line's end is found by doubling and bisection; what follows from it is checked at traces
+    spread over the file and at the ends of lines.
+    """
+    at, seen = open_layout(path), {}
+    reader = SegyReader({"path": path, "view": "raw"})
+
+    def read(trace: int) -> tuple[int, int]:
+        if trace not in seen:
+            h = reader._heads(at, trace, 1)
+            seen[trace] = tuple(int(reader._column(h, b, "i4", at.little)[0]) for b in (inline_byte, crossline_byte))
+        return seen[trace]
+
+    n = at.traces
+    if n < 4 or read(0) == (0, 0):
+        return None
+    steps = [b - a for a, b in zip(read(0), read(1))]
+    if (steps[0] == 0) == (steps[1] == 0):
+        return None
+    fast = 1 if steps[1] else 0
+    slow = 1 - fast
+    left = lambda t: read(t)[slow] != read(0)[slow]
+    end = 2
+    while end < n and not left(end):
+        end *= 2
+    length = bisect_left(range(n), True, lo=end // 2, hi=min(end, n), key=left)
+    if length >= n or length < 2 or n % length or n // length < 2:
+        return None
+    rows, second = n // length, read(length)
+    grid = RegularGrid(rows, length, fast == 1, (read(0)[fast], steps[fast]), (read(0)[slow], second[slow] - read(0)[slow]), second[fast] == read(length - 1)[fast] != read(0)[fast])
+    spread = np.unique(np.linspace(0, n - 1, checkpoints).round().astype(int)).tolist()
+    borders = [r * length + d for r in np.unique(np.linspace(1, rows - 1, 8).round().astype(int)).tolist() for d in (-1, 0)]
+    if grid.slow[1] == 0 or any(read(t) != grid.at(t) for t in (*spread, *borders)):
+        return None
+    grid.headers_read = len(seen)
+    return grid
+
+
+def regular_index(spark: SparkSession, grid: RegularGrid) -> DataFrame:
+    """(trace_number, il, xl, row, col) of a regular grid, as grid.grid_index gives them, without reading any header."""
+    t = spark.range(grid.rows * grid.length).select(F.col("id").alias("trace_number"), F.floor(F.col("id") / grid.length).alias("r"), (F.col("id") % grid.length).alias("c"))
+    c = F.when(F.lit(grid.serpentine) & (F.col("r") % 2 == 1), F.lit(grid.length - 1) - F.col("c")).otherwise(F.col("c"))
+    rank = lambda k, step, size: k if step > 0 else F.lit(size - 1) - k
+    fast = ((grid.fast[0] + c * grid.fast[1]).cast("int"), rank(c, grid.fast[1], grid.length).cast("int"))
+    slow = ((grid.slow[0] + F.col("r") * grid.slow[1]).cast("int"), rank(F.col("r"), grid.slow[1], grid.rows).cast("int"))
+    (il, row), (xl, col) = (slow, fast) if grid.fast_is_crossline else (fast, slow)
+    return t.select("trace_number", il.alias("il"), xl.alias("xl"), row.alias("row"), col.alias("col"))
+
+
 def mapping_confidence(records, fields: dict[str, str]) -> dict[str, float]:
     """Confidence of each mapped field: the share of traces that have it, less where few values differ; offsets by their share alone."""
     one = records.agg(*(F.avg(F.when(F.col(c) != 0, 1.0).otherwise(0.0)).alias(f"c_{f}") for f, c in fields.items()), *((F.count_distinct(c) / F.count(F.lit(1))).alias(f"u_{f}") for f, c in fields.items())).collect()[0]

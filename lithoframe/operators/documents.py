@@ -52,6 +52,13 @@ class Plan:
     def remove(self, name: str) -> None:
         self.jobs = [j for j in self.jobs if j.name != name]
 
+    def update(self, name: str, job: Job) -> None:
+        """Puts a job in the place of another; its name may change, but not into that of a third."""
+        at = next(k for k, j in enumerate(self.jobs) if j.name == name)
+        if any(k != at and j.name.lower() == job.name.lower() for k, j in enumerate(self.jobs)):
+            raise ValueError(f"there is a job {job.name!r} already")
+        self.jobs[at] = job
+
     def move(self, name: str, to: int) -> None:
         job = next(j for j in self.jobs if j.name == name)
         self.jobs.remove(job)
@@ -107,17 +114,49 @@ def save(doc, path: str) -> None:
     os.replace(f.name, path)
 
 
-def run(plan: Plan, work) -> list[dict]:
-    """Runs the jobs in order until one fails; the rest stay pending. Returns their report, newest first, at most HISTORY entries."""
-    report = []
+def run(plan: Plan, work, go_on: bool = False, cancelled=lambda: False) -> list[dict]:
+    """Runs the jobs in order. Returns their report, newest first, at most HISTORY entries.
+
+    A failed job ends the run and leaves the rest pending, unless go_on. work may return the state
+    "partial" for a job that did a part. Once cancelled() holds no job is begun: the rest are cancelled.
+    """
+    report, stopped = [], False
     for job in plan.jobs:
-        job.state, began = "running", datetime.now(UTC)
+        if stopped := stopped or cancelled():
+            job.state = "cancelled"
+            continue
+        job.state, job.error, began = "running", None, datetime.now(UTC)
         try:
-            work(job)
-            job.state = "completed"
+            job.state = "partial" if work(job) == "partial" else "completed"
         except Exception as e:
             job.state, job.error = "failed", str(e)
         report.append({"job": job.name, "state": job.state, "error": job.error, "began": began.isoformat(), "ended": datetime.now(UTC).isoformat()})
-        if job.state == "failed":
+        if job.state == "failed" and not go_on:
             break
     return report[::-1][:HISTORY]
+
+
+@dataclass
+class Figure:
+    """What a picture was made from: its source files with their hashes, its parameters, and the hash of its pixels."""
+
+    name: str
+    sources: dict[str, str] = field(default_factory=dict)
+    parameters: dict[str, Any] = field(default_factory=dict)
+    pixels: str = ""
+    version: int = 1
+
+
+def publish_figure(figure: Figure, image: bytes, folder: str) -> str:
+    """Writes an image and its document as one new folder, whole or not at all; returns its path. A folder of that name is an error."""
+    final = os.path.join(folder, figure.name)
+    if not figure.name or os.path.basename(figure.name) != figure.name or figure.name in (".", ".."):
+        raise ValueError(f"{figure.name!r} isn't a plain name")
+    if os.path.exists(final):
+        raise FileExistsError(final)
+    part = tempfile.mkdtemp(dir=folder)
+    with open(os.path.join(part, "image.png"), "wb") as f:
+        f.write(image)
+    save(figure, os.path.join(part, "figure.json"))
+    os.rename(part, final)
+    return final

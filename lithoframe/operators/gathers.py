@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,28 +121,113 @@ def adjacent_keys(df: DataFrame, key: str) -> DataFrame:
     return met.select("key", F.coalesce("p", "key").alias("previous"), F.coalesce("x", "key").alias("next"))
 
 
-def parse_keys(text: str, available: list[float]) -> list[float]:
-    """Keys of an expression over the available ones: 'all', values, ranges 'a-b' or 'a..b', positions '#n' from 1; each once, in the order named."""
-    import re
+#: Separators of a key expression, and what stands between them.
+_SEPARATORS = re.compile(r"[,;，；\s]+")
+_NUMBER = r"[-+]?(?:\d+(?:\.\d+)?|\.\d+)"
+_RANGE = re.compile(rf"(#?)({_NUMBER})(?:(?:\.\.|-)(#?)({_NUMBER}))?")
+_BIN = re.compile(r"(-?\d+)[:/](-?\d+)")
 
-    found: dict[float, None] = {}
-    for part in (p.strip() for p in text.split(",")):
-        if not part:
-            continue
+
+def parse_keys(text: str, available: list) -> list:
+    """Keys of an expression over the available ones, each once, in the order named.
+
+    'all', values, ranges 'a-b' or 'a..b' in either order, positions '#n' and '#a-#b' from 1, and bins
+    'x:y' or 'x/y' where keys are pairs (x, y). Pairs have no numeric value, so values and ranges don't
+    find them. Raises ValueError for what can't be read and for what finds nothing.
+    """
+    found: dict = {}
+    for part in (p for p in _SEPARATORS.split(text.strip()) if p):
         if part.lower() == "all":
             found.update(dict.fromkeys(available))
             continue
-        m = re.fullmatch(r"(#?)(-?\d+(?:\.\d+)?)(?:(?:-|\.\.)(#?)(-?\d+(?:\.\d+)?))?", part)
+        if b := _BIN.fullmatch(part):
+            key = (int(b[1]), int(b[2]))
+            if key not in available:
+                raise ValueError(f"there is no bin {part!r}")
+            found[key] = None
+            continue
+        m = _RANGE.fullmatch(part)
         if not m or (m[3] and not m[1]):
             raise ValueError(f"not a key expression: {part!r}")
         lo, hi = sorted((float(m[2]), float(m[4] or m[2])))
         if m[1]:
-            if lo < 1 or hi > len(available):
+            if lo < 1 or hi > len(available) or lo % 1 or hi % 1:
                 raise ValueError(f"there are {len(available)} keys, so no {part!r}")
             found.update(dict.fromkeys(available[int(lo) - 1 : int(hi)]))
         else:
-            hit = [k for k in available if lo <= k <= hi]
+            hit = [k for k in available if not isinstance(k, tuple) and lo <= k <= hi]
             if not hit:
                 raise ValueError(f"no key in {part!r}")
             found.update(dict.fromkeys(hit))
+    if not found:
+        raise ValueError("an expression names at least one key")
     return list(found)
+
+
+#: Columns of a gather key of any kind; those of another kind are null. kind is id, offset_bin, azimuth_bin, cmp_bin, grid or xy.
+KEY_COLUMNS = "kind id bin_index bin_centre bin_width bin_i bin_j bin_size origin_x origin_y inline crossline x y".split()
+
+
+def key_order() -> list[Column]:
+    """Sort columns of gather keys: numbers and offset bins, then places, then grid cells, azimuth bins, and CMP bins, each by what they consist of."""
+    kind = F.col("kind")
+    of = lambda k, c: F.when(kind == k, c if isinstance(c, Column) else F.col(c))
+    rank = F.when(kind == "cmp_bin", 4).when(kind == "azimuth_bin", 3).when(kind == "grid", 2).when(kind == "xy", 1).otherwise(0)
+    low = F.col("bin_centre") - F.col("bin_width") / 2
+    return [rank, of("cmp_bin", "bin_i"), of("cmp_bin", "bin_j"), of("cmp_bin", "bin_size"), of("cmp_bin", "origin_x"), of("cmp_bin", "origin_y"), of("azimuth_bin", "bin_index"), of("azimuth_bin", "bin_width"), of("azimuth_bin", low), of("xy", "x"), of("xy", "y"), of("grid", "inline"), of("grid", "crossline"), F.when(kind.isin("id", "offset_bin"), F.coalesce(F.col("id").cast("double"), F.col("bin_index").cast("double")))]
+
+
+def key_value() -> Column:
+    """What a key is as a number: the centre of an offset or azimuth bin, or the number; null of CMP bins, grid cells and places."""
+    return F.when(F.col("kind").isin("offset_bin", "azimuth_bin"), F.col("bin_centre")).when(F.col("kind") == "id", F.col("id").cast("double"))
+
+
+def primary_keys(df: DataFrame, gather: str, flags: DataFrame | None = None, width: float | None = None, bin_size: float | None = None, origin: tuple[float, float] | None = None) -> DataFrame:
+    """The records with KEY_COLUMNS of a gather type: "cmp", "shot", "receiver", "offset" or "azimuth"; kind is null where a record has none.
+
+    flags is one row (uses_grid, source_by_place, receiver_by_place). A CMP is its XY bin if a size and an
+    origin are given, else the grid cell of a grid, else its CDP number if the record has one, else its
+    midpoint.
+    """
+    if gather not in ("cmp", "shot", "receiver", "offset", "azimuth"):
+        raise ValueError(f"gather is cmp, shot, receiver, offset or azimuth, not {gather}")
+    there = with_flags(df, flags) if flags is not None else df.withColumns({c: F.lit(False) for c in ("uses_grid", "source_by_place", "receiver_by_place")})
+    cells: dict[str, Column] = {}
+    if gather in ("shot", "receiver"):
+        p = "source" if gather == "shot" else "receiver"
+        placed = F.col(f"has_{p}") & is_finite(f"{p}_x") & is_finite(f"{p}_y")
+        cells["kind"] = F.when(F.col(f"{p}_by_place"), F.when(placed, F.lit("xy"))).when(F.coalesce(F.col(f"{p}_id"), F.lit(0)) != 0, F.lit("id"))
+        cells |= {"id": F.when(F.col("kind") == "id", F.col(f"{p}_id")), "x": F.when(F.col("kind") == "xy", F.col(f"{p}_x")), "y": F.when(F.col("kind") == "xy", F.col(f"{p}_y"))}
+    elif gather in ("offset", "azimuth"):
+        w = width if width and 0 < width < float("inf") else OFFSET_WIDTH if gather == "offset" else AZIMUTH_WIDTH
+        b = offset_bin(w) if gather == "offset" else azimuth_bin(w)
+        cells = {"kind": F.when(b.isNotNull(), F.lit(f"{gather}_bin")), "bin_index": b.cast("bigint"), "bin_centre": b * w, "bin_width": F.when(b.isNotNull(), F.lit(w))}
+    else:
+        mid = F.col("has_midpoint") & is_finite("midpoint_x") & is_finite("midpoint_y")
+        if bin_size and origin:
+            i, j = (F.floor((F.col(f"midpoint_{k}") - o) / bin_size) for k, o in zip("xy", origin))
+            cells = {"kind": F.when(mid, F.lit("cmp_bin")), **{c: F.when(mid, v) for c, v in (("bin_i", i), ("bin_j", j), ("bin_size", F.lit(bin_size)), ("origin_x", F.lit(origin[0])), ("origin_y", F.lit(origin[1])))}}
+        else:
+            on = (F.coalesce("inline", F.lit(0)) != 0) | (F.coalesce("crossline", F.lit(0)) != 0)
+            cells = {"kind": F.when(F.col("uses_grid"), F.when(on, F.lit("grid"))).when(F.col("has_cdp"), F.lit("id")).when(mid, F.lit("xy"))}
+            cells |= {"key_inline": F.when(F.col("kind") == "grid", F.col("inline")), "key_crossline": F.when(F.col("kind") == "grid", F.col("crossline")), "id": F.when(F.col("kind") == "id", F.col("cdp")), "x": F.when(F.col("kind") == "xy", F.col("midpoint_x")), "y": F.when(F.col("kind") == "xy", F.col("midpoint_y"))}
+    out = there.withColumn("kind", cells.pop("kind")).withColumns(cells)
+    kinds = {"id": "bigint", "bin_index": "bigint", "bin_i": "bigint", "bin_j": "bigint"}
+    key = [(F.col(f"key_{c}") if f"key_{c}" in out.columns else F.lit(None).cast("int")).alias(c) if c in ("inline", "crossline") else (F.col(c) if c in out.columns else F.lit(None)).cast(kinds.get(c, "double")).alias(c) if c != "kind" else F.col("kind") for c in KEY_COLUMNS]
+    return out.select(F.struct(*df.columns).alias("record"), *key)
+
+
+def legacy_order(df: DataFrame, mode: str | None, all_traces: bool = False) -> DataFrame:
+    """Adds output_order by a plain sort (offset, abs_offset or azimuth), without grouping by a primary key; unset, or physical, over all traces it is the order of the file."""
+    if mode not in (None, "physical", "offset", "abs_offset", "azimuth"):
+        raise ValueError(f"mode is offset, abs_offset or azimuth, not {mode}")
+    return numbered(df, secondary_order("physical" if mode is None or all_traces and mode == "physical" else mode), "output_order")
+
+
+def displayed(ordered: DataFrame, first: int, last: int, position: str = "position") -> DataFrame:
+    """The traces of an ordered gather that a view from first to last shows, ends included and in either order; the view is held within the gather, so something is always shown."""
+    lo, hi = sorted((first, last))
+    n = ordered.agg(F.max(position).alias("_top"))
+    held = with_flags(ordered, n)
+    inside = F.col(position).between(F.least(F.lit(max(lo, 0)), F.col("_top")), F.greatest(F.lit(max(hi, 0)), F.lit(0)))
+    return held.where(inside).drop("_top")

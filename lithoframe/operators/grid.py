@@ -85,3 +85,8 @@ def in_box(index: DataFrame, il: tuple[int, int], xl: tuple[int, int]) -> DataFr
 def cell_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_trace, b_trace, il, xl): every trace of A with the first trace of B in its cell."""
     return a.select(F.col("trace_number").alias("a_trace"), "il", "xl").join(first_per_cell(b).withColumnRenamed("trace_number", "b_trace"), ["il", "xl"])
+
+
+def places(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(trace_number, il, xl, row, col) of wanted traces (trace_number); those without a place have none."""
+    return index.join(wanted.select("trace_number").distinct(), "trace_number")

@@ -35,6 +35,13 @@ def file_sha256(path: str) -> str:
     return h.hexdigest()
 
 
+def raster_sha256(pixels: np.ndarray) -> str:
+    """Hash of an image (height x width x 4, premultiplied 8-bit RGBA), whatever file holds it: its size and its pixels, row by row, behind a prefix of their kind."""
+    h = hashlib.sha256(b"lithoframe.rgba8\0" + np.array(pixels.shape[1::-1], "<u8").tobytes())
+    h.update(np.ascontiguousarray(pixels, np.uint8).tobytes())
+    return h.hexdigest()
+
+
 def cached_records(spark: SparkSession, path: str, cache: str, mapping: dict[str, int] | None = None) -> DataFrame:
     """A file's records, from a Parquet table under its identity; scanned and kept there if there is none, or if the file changed meanwhile."""
     key = metadata_identity(path, mapping)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.functions.scalar import hypot
+from lithoframe.functions.scalar import hypot, is_finite
 
 
 def _by_trace():
@@ -31,6 +31,24 @@ def line_summary(line: DataFrame) -> DataFrame:
     return s.withColumn("usable", (F.col("traces") >= 2) & (F.col("length") > 0))
 
 
+def places(line: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, trace, x, y, distance, position) of wanted traces (line, trace) on their lines; those that aren't there have none."""
+    placed = with_distance(line).withColumn("position", F.row_number().over(_by_trace()) - 1)
+    return placed.join(wanted.select("line", "trace").distinct(), ["line", "trace"]).select("line", "trace", "x", "y", "distance", "position")
+
+
+def bounds(line: DataFrame) -> DataFrame:
+    """(line, x0, x1, y0, y1) over each line's finite places."""
+    return line.where(is_finite("x") & is_finite("y")).groupBy("line").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
+def count_lines(summary: DataFrame, nav: DataFrame) -> DataFrame:
+    """One row (lines, usable, navigated): usable ones of line_summary, and those with at least two control points (line, trace)."""
+    control = nav.groupBy("line").agg((F.count(F.lit(1)) >= 2).alias("navigated"))
+    met = summary.join(control, "line", "left")
+    return met.agg(F.count(F.lit(1)).alias("lines"), F.count_if("usable").alias("usable"), F.count_if(F.coalesce("navigated", F.lit(False))).alias("navigated"))
+
+
 def nearest_along(line: DataFrame, targets: DataFrame, position: str = "distance") -> DataFrame:
     """(line, qid, trace): the trace nearest to each target position of its line; ends clamp, the left one wins a tie, and of equal positions the first trace.
 

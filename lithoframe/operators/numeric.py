@@ -99,38 +99,53 @@ def fft_length(n: int, keep_all: bool = True, cap: int = MAX_SAMPLES) -> int:
     return up if keep_all else min(cap, up if up == n else up >> 1)
 
 
-def amplitude(samples: np.ndarray, interval_us: float, keep_all: bool = True, cap: int = MAX_SAMPLES) -> tuple[np.ndarray, np.ndarray] | None:
-    """(frequencies, amplitudes) of one trace: mean taken off, symmetric Hann window, zeros up to a power of two; None below MIN_SAMPLES finite samples or above MAX_SAMPLES."""
-    s = np.asarray(samples, float)
-    good = np.isfinite(s)
-    if good.sum() < MIN_SAMPLES or len(s) > MAX_SAMPLES or not interval_us > 0:
+def amplitudes(rows: np.ndarray, interval_us: float, keep_all: bool = True, cap: int = MAX_SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(which rows, frequencies, amplitudes) of traces of one length: mean taken off, symmetric Hann window, zeros up to a power of two; rows below MIN_SAMPLES finite samples are left out, None above MAX_SAMPLES or if no row is left."""
+    good = np.isfinite(rows)
+    at = np.flatnonzero(good.sum(1) >= MIN_SAMPLES)
+    if not len(at) or rows.shape[1] > MAX_SAMPLES or not interval_us > 0:
         return None
-    n = fft_length(len(s), keep_all, cap)
-    s = np.where(good, s, 0.0)[:n] if not keep_all else np.where(good, s, 0.0)
-    g = good[: len(s)]
-    s = np.where(g, s - s[g].mean(), 0.0) * np.hanning(len(s))
-    return np.fft.rfftfreq(n, interval_us * 1e-6), np.abs(np.fft.rfft(s, n))
+    n = fft_length(rows.shape[1], keep_all, cap)
+    s, g = (v[at] if keep_all else v[at, :n] for v in (np.where(good, rows, 0.0), good))
+    mean = np.divide(s.sum(1), g.sum(1), out=np.full(len(at), np.nan), where=g.any(1))
+    s = np.where(g, s - mean[:, None], 0.0) * np.hanning(s.shape[1])
+    return at, np.fft.rfftfreq(n, interval_us * 1e-6), np.abs(np.fft.rfft(s, n, axis=1))
 
 
-def decibels(amp: np.ndarray) -> np.ndarray:
-    """Relative to the largest amplitude but that of frequency 0, not below FLOOR_DB; all FLOOR_DB for a flat trace."""
-    top = amp[1:].max() if len(amp) > 1 else 0.0
+def amplitude(samples: np.ndarray, interval_us: float, keep_all: bool = True, cap: int = MAX_SAMPLES) -> tuple[np.ndarray, np.ndarray] | None:
+    """(frequencies, amplitudes) of one trace; None if it has too few finite samples or too many samples."""
+    got = amplitudes(np.asarray(samples, float)[None, :], interval_us, keep_all, cap)
+    return (got[1], got[2][0]) if got else None
+
+
+def decibels_of_rows(amp: np.ndarray) -> np.ndarray:
+    """Relative to each row's largest amplitude but that of frequency 0, not below FLOOR_DB; all FLOOR_DB for a flat trace."""
+    top = amp[:, 1:].max(1, initial=0.0)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        db = 20 * np.log10(amp / top) if top > 1e-12 else np.full(len(amp), FLOOR_DB)
+        db = np.where(top > 1e-12, 20 * np.log10(amp / top), FLOOR_DB)
     return np.maximum(np.nan_to_num(db, nan=FLOOR_DB, neginf=FLOOR_DB), FLOOR_DB)
 
 
+def decibels(amp: np.ndarray) -> np.ndarray:
+    """decibels_of_rows of one trace."""
+    return decibels_of_rows(np.asarray(amp, float)[None, :])[0]
+
+
 def spectra(df: DataFrame, interval_us: float, samples: str = "samples", keep_all: bool = True) -> DataFrame:
     """(trace, bin, frequency, amplitude, db) of every trace that has enough finite samples. FFTs run on Arrow batches: SQL has none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = amplitude(np.array([np.nan if v is None else v for v in s or []]), interval_us, keep_all)
+            traces, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            flat = lists.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            size = np.diff(lists.offsets.to_numpy())
+            starts, out = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), []
+            for n in np.unique(size):  # traces of one length at a time
+                at = np.flatnonzero(size == n)
+                got = amplitudes(flat[starts[at][:, None] + np.arange(n)], interval_us, keep_all)
                 if got:
-                    f, a = got
-                    out.append((np.full(len(f), t), np.arange(len(f)), f, a, decibels(a)))
+                    ok, f, a = got
+                    out.append((np.repeat(traces[at[ok]], len(f)), np.tile(np.arange(len(f)), len(ok)), np.tile(f, len(ok)), a.ravel(), decibels_of_rows(a).ravel()))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], names=["trace", "bin", "frequency", "amplitude", "db"])
@@ -168,3 +183,23 @@ def envelope(df: DataFrame, rows: int, samples: str = "samples") -> DataFrame:
     run = F.sum((~ok).cast("int")).over(Window.partitionBy("trace").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     placed = each.withColumn("run", run).where(ok).withColumn("row", F.floor(F.col("i") * rows / F.col("n")).cast("int"))
     return placed.groupBy("trace", "row", "run").agg(F.min_by("v", "i").alias("first"), F.max_by("v", "i").alias("last"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def analyse(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Statistics of traces A and B and of A - B: (id, role, ...columns of trace_stats but trace, note).
+
+    pairs is (id, a_trace, b_trace), a and b are (trace, samples, interval_us, first_sample). The
+    difference has statistics only where both are there with the same interval and window; note says what is in the way.
+    """
+    side = lambda df, s: df.select(F.col("trace").alias(f"{s}_trace"), *(F.col(c).alias(f"{s}_{c}") for c in ("samples", "interval_us", "first_sample")))
+    met = pairs.select("id", "a_trace", "b_trace").join(side(a, "a"), "a_trace", "left").join(side(b, "b"), "b_trace", "left")
+    differ = lambda c: ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    note = F.when(F.col("a_samples").isNull() | F.col("b_samples").isNull(), F.lit("a side is missing")).when(differ("interval_us"), F.lit("sample intervals differ")).when(differ("first_sample") | (F.size("a_samples") != F.size("b_samples")), F.lit("sample windows differ"))
+    roles = F.array(
+        F.struct(F.lit("A").alias("role"), F.col("a_samples").alias("samples"), F.lit(None).cast("string").alias("note")),
+        F.struct(F.lit("B").alias("role"), F.col("b_samples").alias("samples"), F.lit(None).cast("string").alias("note")),
+        F.struct(F.lit("A-B").alias("role"), F.when(note.isNull(), difference("a_samples", "b_samples")).alias("samples"), note.alias("note")),
+    )
+    each = met.select("id", F.explode(roles).alias("r")).select(F.struct("id", "r.role", "r.note").alias("trace"), "r.samples").where("samples IS NOT NULL OR trace.note IS NOT NULL")
+    stats = trace_stats(each)
+    return stats.select("trace.id", "trace.role", *(c for c in stats.columns if c != "trace"), "trace.note")

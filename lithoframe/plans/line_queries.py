@@ -422,3 +422,21 @@ def axis_steps(spark, sf):
     """Round steps for the axis of every rectangle."""
     t = table(spark, sf, "xy_ranges").where("x_max IS NOT NULL AND x_min IS NOT NULL AND NOT isnan(x_max) AND NOT isnan(x_min)").select("range_id", F.abs(F.col("x_max") - F.col("x_min")).alias("span")).distinct()
     return t.where(S.is_finite("span")).select("range_id", F.round(S.nice_step("span", 6), 9).alias("step"))
+
+
+@query(_DIST + ", k AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY trace) - 1 AS position FROM ds) SELECT k.line, k.trace, k.x, k.y, round(k.distance, 3) AS distance, k.position FROM k JOIN (SELECT DISTINCT line, trace FROM navigation) n ON n.line = k.line AND n.trace = k.trace")
+def places_of_traces(spark, sf):
+    """Where the traces that navigation names stand on their lines."""
+    return lines.places(trajectory(spark, sf), table(spark, sf, "navigation").select("line", "trace")).select("line", "trace", "x", "y", r("distance", 3), "position")
+
+
+@query(TRJ + " SELECT line, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM trj GROUP BY 1")
+def line_bounds(spark, sf):
+    """The box around every line."""
+    return lines.bounds(trajectory(spark, sf))
+
+
+@query(_DIST + ", s AS (SELECT line, count(*) >= 2 AND max(distance) > 0 AS usable FROM ds GROUP BY 1), n AS (SELECT line, count(DISTINCT trace) >= 2 AS nav FROM navigation GROUP BY 1) SELECT count(*) AS lines, count(*) FILTER (WHERE usable) AS usable, count(*) FILTER (WHERE nav) AS navigated FROM s LEFT JOIN n USING (line)")
+def line_counts(spark, sf):
+    """Lines, usable ones, and those with navigation."""
+    return lines.count_lines(lines.line_summary(trajectory(spark, sf)), navigation(spark, sf))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lithoframe.functions import scalar as S
 from lithoframe.operators import acquisition, gathers, qc
 from lithoframe.operators import records as R
+from lithoframe.operators.ordering import numbered
 from lithoframe.plans.views import REC, records
 from lithoframe.runtime import table
 
@@ -348,3 +349,45 @@ def coordinate_scaling(spark, sf):
 def code_labels(spark, sf):
     """Coordinate unit codes as words."""
     return table(spark, sf, "trace_coordinates").select("coord_id", S.code_label("units", S.COORDINATE_UNITS).alias("label")).distinct()
+
+
+_KEYED = REC + """, ks AS (SELECT record_id, CASE WHEN has_offset AND isfinite(trace_offset) THEN 'offset_bin' END AS kind, CAST(floor(trace_offset / 25.0 + 0.5) AS BIGINT) AS k, floor(trace_offset / 25.0 + 0.5) * 25.0 AS value FROM rec
+UNION ALL SELECT record_id, CASE WHEN source_id <> 0 THEN 'id' END, source_id, source_id FROM rec UNION ALL SELECT record_id, CASE WHEN inline <> 0 OR crossline <> 0 THEN 'grid' END, inline * 100000 + crossline, NULL FROM rec
+UNION ALL SELECT record_id, CASE WHEN has_midpoint AND isfinite(midpoint_x) AND isfinite(midpoint_y) THEN 'cmp_bin' END, CAST(floor(midpoint_x / 50.0) * 1000000 + floor(midpoint_y / 50.0) AS BIGINT), NULL FROM rec)"""
+
+
+def _all_keys(spark, sf):
+    rec = records(spark, sf)
+    grid = rec.limit(1).select(F.lit(True).alias("uses_grid"), F.lit(False).alias("source_by_place"), F.lit(False).alias("receiver_by_place"))
+    parts = [gathers.primary_keys(rec, "offset", width=25.0), gathers.primary_keys(rec, "shot"), gathers.primary_keys(rec, "cmp", flags=grid), gathers.primary_keys(rec, "cmp", bin_size=50.0, origin=(0.0, 0.0))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(_KEYED + " SELECT record_id, kind, CAST(value AS DOUBLE) AS value FROM ks WHERE kind IS NOT NULL")
+def gather_key_values(spark, sf):
+    """Every record's keys by offset, shot, grid cell and midpoint bin, with what they are as a number."""
+    return _all_keys(spark, sf).where("kind IS NOT NULL").select("record.record_id", "kind", gathers.key_value().alias("value"))
+
+
+@query(_KEYED + ", d AS (SELECT DISTINCT kind, k, CASE kind WHEN 'cmp_bin' THEN 4 WHEN 'grid' THEN 2 ELSE 0 END AS rank FROM ks WHERE kind IS NOT NULL) SELECT kind, count(*) AS keys, min(n) AS first, max(n) AS last FROM (SELECT *, row_number() OVER (ORDER BY rank, k) - 1 AS n FROM d WHERE rank > 0) t GROUP BY 1")
+def gather_key_order(spark, sf):
+    """Where the keys of each kind stand among all keys in their order: grid cells, then midpoint bins."""
+    keys = _all_keys(spark, sf).where("kind IN ('grid', 'cmp_bin')").select(*gathers.KEY_COLUMNS).distinct()
+    return numbered(keys, gathers.key_order()).groupBy("kind").agg(F.count(F.lit(1)).alias("keys"), F.min("n").alias("first"), F.max("n").alias("last"))
+
+
+@query(REC + " SELECT record_id, row_number() OVER (ORDER BY abs(CASE WHEN has_offset THEN trace_offset END) NULLS LAST, trace_number, record_id) - 1 AS output_order FROM rec")
+def gather_legacy_order(spark, sf):
+    """All records by distance alone, without grouping."""
+    rec = records(spark, sf)
+    return numbered(rec, [*gathers.secondary_order("abs_offset"), "record_id"], "output_order").select("record_id", "output_order")
+
+
+@query(REC + ", p AS (SELECT record_id, row_number() OVER (ORDER BY trace_number) - 1 AS position FROM rec WHERE source_id = 1010) SELECT record_id, position FROM p WHERE position BETWEEN 3 AND 9")
+def gather_displayed(spark, sf):
+    """The traces that a view from 9 back to 3 shows of a shot gather."""
+    g = gathers.ordered_gather(gathers.select_keys(records(spark, sf), "source_id", [1010]), ["source_id"])
+    return gathers.displayed(g, 9, 3).select("record_id", "position")

@@ -388,3 +388,12 @@ def header_confidence(spark, sf):
     rows = one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"c_{f}").alias("coverage"), (F.lit(1.0) if f == "offset" else F.col(f"u_{f}")).alias("u")) for f in fields))).alias("s")).select("s.*")
     conf = F.col("coverage") * (0.65 + 0.35 * F.least(F.lit(1.0), F.col("u")))
     return rows.select("field", r("coverage"), F.round(conf, 6).alias("confidence"), (conf < 0.7).alias("confirm"))
+
+
+@query(TRC + ", d AS (SELECT smp.trace, smp.v AS a, smb.v AS b FROM smp LEFT JOIN smb USING (trace, sample)), u AS (SELECT trace AS id, 'A' AS role, a AS v FROM d UNION ALL SELECT trace, 'B', b FROM d WHERE b IS NOT NULL UNION ALL SELECT trace, 'A-B', a - b FROM d) SELECT id, role, count(v) > 0 AS there, round(coalesce(avg(v), 0), 6) AS mean, round(coalesce(sqrt(avg(v * v)), 0), 6) AS rms, CASE WHEN count(v) = 0 THEN 'a side is missing' ELSE '' END AS note FROM u GROUP BY 1, 2")
+def trace_analysis(spark, sf):
+    """Statistics of A, B and A - B of every place; the last place has no B."""
+    side = lambda t: t.select("trace", "samples", F.lit(2000.0).alias("interval_us"), F.lit(0).alias("first_sample"))
+    a, b = side(traces(spark, sf)), side(traces_b(spark, sf))
+    pairs = a.select(F.col("trace").alias("id"), F.col("trace").alias("a_trace"), F.col("trace").alias("b_trace"))
+    return numeric.analyse(pairs, a, b).select("id", "role", F.coalesce(F.col("finite") > 0, F.lit(False)).alias("there"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"), F.round(F.coalesce("rms", F.lit(0.0)), 6).alias("rms"), F.coalesce("note", F.lit("")).alias("note"))

@@ -306,3 +306,16 @@ def segy_identity(spark, sf):
     kept = identity.cached_records(spark, a, _path(spark, sf, "cache"))
     row = (one == identity.metadata_identity(a), one == identity.metadata_identity(a, {"inline": 9}), one == identity.metadata_identity(b), kept.count())
     return spark.createDataFrame([row], "same boolean, under_other_mapping boolean, of_other_file boolean, cached bigint")
+
+
+@query(NUM + ", l AS (SELECT count(*) // 50 * 50 AS m FROM num) SELECT n AS trace_number, CAST(n // 50 + 1 AS INTEGER) AS il, CAST(n % 50 + 1 AS INTEGER) AS xl, CAST(n // 50 AS INTEGER) AS row, CAST(n % 50 AS INTEGER) AS col FROM num, l WHERE n < m")
+def segy_regular_grid(spark, sf):
+    """The grid of a file without gaps, inferred from about a hundred headers: the whole lines of the records."""
+
+    def write(path: str) -> None:
+        rows = _rows(spark, sf)
+        whole = rows.count() // 50 * 50
+        sink.write_traces(rows.where(F.col("output_order") < whole), path, DT_US, SAMPLES)
+
+    grid = detect.regular_grid(_once(spark, sf, "whole.sgy", write))
+    return detect.regular_index(spark, grid)

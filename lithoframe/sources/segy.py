@@ -229,15 +229,11 @@ class SegyReader(DataSourceReader):
             return np.frombuffer(f.read(n * at.trace_bytes), np.uint8).reshape(n, at.trace_bytes)
 
     def _heads(self, at: Layout, first: int, n: int) -> np.ndarray:
-        """Trace headers as rows of bytes; of large traces the samples between are skipped over."""
+        """Trace headers as rows of bytes; the file is mapped, so of large traces only the pages with headers are read."""
         if at.trace_bytes <= 2048:
             return self._blocks(at, first, n)[:, :240]
-        out = np.empty((n, 240), np.uint8)
-        with open(at.path, "rb") as f:
-            for i in range(n):
-                f.seek(at.data_start + (first + i) * at.trace_bytes)
-                out[i] = np.frombuffer(f.read(240), np.uint8)
-        return out
+        mapped = np.memmap(at.path, np.uint8, "r", at.data_start + first * at.trace_bytes, ((n - 1) * at.trace_bytes + 240,))
+        return np.array(np.lib.stride_tricks.as_strided(mapped, (n, 240), (at.trace_bytes, 1)))
 
     @staticmethod
     def _column(heads: np.ndarray, byte: int, kind: str, little: bool) -> np.ndarray:

@@ -83,3 +83,48 @@ def test_documents(tmp_path):
     session = documents.Session("a.sgy", {"cdp": 21}, documents.Selection("shot", [1.0]))
     documents.save(session, path)
     assert documents.load(documents.Session, path) == session
+
+
+def test_regular_grids_and_others(spark, tmp_path):
+    from test_segy import make, read
+
+    from lithoframe.operators.grid import grid_index
+
+    def file(name, place, traces=60):
+        make(tmp_path / name, traces=traces, ns=600, change=lambda t: dict(zip((189, 193), ((4, v) for v in place(t)))))
+        return str(tmp_path / name)
+
+    layouts = {
+        "rows": lambda t: (10 + t // 12 * 2, 100 + t % 12), "columns": lambda t: (50 - t % 12, 7 + t // 12), "snake": lambda t: (10 + t // 12, 100 + (t % 12 if t // 12 % 2 == 0 else 11 - t % 12)),
+    }
+    for name, place in layouts.items():
+        path = file(f"{name}.sgy", place)
+        grid = detect.regular_grid(path)
+        assert grid and grid.headers_read <= 60 and [grid.at(t) for t in range(60)] == [place(t) for t in range(60)], name
+        assert sorted(map(tuple, detect.regular_index(spark, grid).collect())) == sorted(map(tuple, grid_index(read(spark, path, "records")).collect())), name
+    for k, place in enumerate((lambda t: (10 + t // 12, 100 + t % 12 + (t == 31)), lambda t: (0, 0), lambda t: (1, 1), lambda t: (1, t), lambda t: (t, t), lambda t: (10 + t // 11, 100 + t % 11))):
+        assert detect.regular_grid(file(f"odd{k}.sgy", place)) is None, k
+
+
+def test_runs_that_go_on_and_figures(tmp_path):
+    plan = documents.Plan([documents.Job(n, "s", "r") for n in "abcd"])
+    seen = []
+
+    def work(job):
+        seen.append(job.name)
+        if job.name == "a":
+            raise ValueError("no")
+        return "partial" if job.name == "b" else None
+
+    report = documents.run(plan, work, go_on=True, cancelled=lambda: len(seen) >= 3)
+    assert [j.state for j in plan.jobs] == ["failed", "partial", "completed", "cancelled"] and [r["job"] for r in report] == ["c", "b", "a"]
+    plan.update("b", documents.Job("B2", "s", "r"))
+    assert [j.name for j in plan.jobs] == ["a", "B2", "c", "d"]
+    with pytest.raises(ValueError):
+        plan.update("c", documents.Job("D", "s", "r"))
+    figure = documents.Figure("fig", {"a.sgy": "00"}, {"gain": 2.0}, "ff")
+    path = documents.publish_figure(figure, b"png", str(tmp_path))
+    assert documents.load(documents.Figure, f"{path}/figure.json") == figure
+    for bad in ("fig", "../x", ""):
+        with pytest.raises((ValueError, FileExistsError)):
+            documents.publish_figure(documents.Figure(bad), b"", str(tmp_path))

@@ -203,3 +203,55 @@ def test_nearest_points_ties_and_limits(spark):
     pts = spark.createDataFrame([(5, 0.0, 0.0), (2, 10.0, 0.0)], "first_trace bigint, x double, y double")
     q = spark.createDataFrame([(1, 5.0, 0.0), (2, 30.0, 0.0), (3, float("nan"), 0.0), (4, 18.0, 0.0)], "qid bigint, x double, y double")
     assert rows(acquisition.nearest_points(q, pts, 10.0)) == [(1, 2, 5.0), (4, 2, 8.0)]
+
+
+def test_key_expressions():
+    from lithoframe.operators.gathers import parse_keys
+
+    some = [-40.0, -20.0, 0.0, 20.0, 1001.0, 1003.0]
+    assert parse_keys("all", some) == some and parse_keys("1003; 1001", some) == [1003.0, 1001.0]
+    assert parse_keys("-40--20", some) == [-40.0, -20.0] and parse_keys("20..-20", some) == [-20.0, 0.0, 20.0]
+    assert parse_keys("#2,#5-#6 #2", some) == [-20.0, 1001.0, 1003.0] and parse_keys(".0，+20", some) == [0.0, 20.0]
+    bins = [(3, 4), (3, 5), (-1, 2)]
+    assert parse_keys("3:5 -1/2", bins) == [(3, 5), (-1, 2)] and parse_keys("#1", bins) == [(3, 4)]
+    for bad, of in (("", some), ("9:9", bins), ("3", bins), ("#7", some), ("#0", some), ("5-6", some), ("x", some), ("1-#2", some)):
+        with pytest.raises(ValueError):
+            parse_keys(bad, of)
+
+
+def test_gather_keys_of_records_without_any(spark):
+    from lithoframe.operators import gathers
+
+    df = spark.createDataFrame([(0, None, None, None, False, False, False, False)], "source_id int, receiver_id int, cdp int, trace_offset double, has_offset boolean, has_azimuth boolean, has_cdp boolean, has_midpoint boolean")
+    df = df.selectExpr("*", "double(null) AS azimuth", "double(null) AS midpoint_x", "double(null) AS midpoint_y", "int(null) AS inline", "int(null) AS crossline", "double(null) AS source_x", "double(null) AS source_y", "false AS has_source", "double('NaN') AS receiver_x", "double(null) AS receiver_y", "true AS has_receiver", "'clash' AS kind", "7 AS id")
+    flags = spark.createDataFrame([(False, True, True)], "uses_grid boolean, source_by_place boolean, receiver_by_place boolean")
+    for gather in ("cmp", "shot", "receiver", "offset", "azimuth"):
+        for f in (None, flags):
+            got = gathers.primary_keys(df.drop("kind", "id"), gather, f).collect()
+            assert [r["kind"] for r in got] == [None] and all(got[0][c] is None for c in gathers.KEY_COLUMNS)
+
+
+def test_supports_and_folders(spark):
+    from lithoframe.functions import scalar
+    from lithoframe.operators import identity, panels
+
+    assert panels.sample_support(5, 3, False) == [(0, 0, 0, 0.0), (1, 2, 2, 0.0), (2, 4, 4, 0.0)]
+    assert panels.sample_support(3, 4, True)[1][:3] == (1, 0, 1) and panels.sample_support(1, 2, True) == [(0, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    df = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert scalar.common_folder(df("/a/B/x.sgy", "/a/b/y.sgy")).collect()[0][0].lower() == "/a/b" and scalar.common_folder(df("/a/x", "/b/y")).collect()[0][0] == "" and scalar.common_folder(df()).collect()[0][0] == ""
+    image = np.zeros((2, 3, 4), np.uint8)
+    assert identity.raster_sha256(image) == identity.raster_sha256(image.copy()) != identity.raster_sha256(image.reshape(3, 2, 4))
+
+
+def test_orders_of_all_rows(spark):
+    from lithoframe.operators.ordering import accumulated, numbered, surrounded
+
+    df = spark.createDataFrame([(i * 7919 % 1000, 1 if i % 3 else None) for i in range(1000)], "k bigint, v int").repartition(5)
+    assert sorted((r["k"], r["n"]) for r in numbered(df, ["k"]).collect()) == [(i, i) for i in range(1000)]
+    by = {r["k"]: r for r in surrounded(df, ["k"], F.when(F.col("v").isNotNull(), F.col("k"))).collect()}
+    has = [k for k in by if by[k]["v"] is not None]
+    for k, r in by.items():
+        assert r["before"] == max((h for h in has if h <= k), default=None) and r["after"] == min((h for h in has if h >= k), default=None)
+    got = {r["k"]: r["s"] for r in accumulated(df.na.fill(0), ["k"], "v", "s").collect()}
+    assert got[999] == len(has) and all(got[k] - got[k - 1] == (k in has) for k in range(1, 1000))
+    assert numbered(df.where("false"), ["k"]).count() == 0
