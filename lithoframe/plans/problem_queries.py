@@ -21,11 +21,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = normal_ranges(table(spark, sf_dir, "xy_ranges"))
     near = near_pairs(points, NEAR_M, CELL_M).select(F.lit("near").alias("kind"), "id_a", "id_b")
     inside = containing_ranges(points, ranges, CELL_M).select(F.lit("inside").alias("kind"), "id_a", "id_b")
-    return near.unionByName(inside).distinct()
+    return near.unionByName(inside)  # each pair once, as each trace has one place and the cells of a rectangle are disjoint
 
 
 _P1_SQL = """
-WITH t AS (SELECT DISTINCT trace_id, line, x, y FROM trajectory WHERE valid AND isfinite(x) AND isfinite(y)),
+WITH t AS (SELECT trace_id, min(line) AS line, min(x) AS x, min(y) AS y FROM trajectory WHERE valid AND isfinite(x) AND isfinite(y) GROUP BY 1),
 r AS (SELECT DISTINCT range_id, least(x_min, x_max) AS x0, greatest(x_min, x_max) AS x1, least(y_min, y_max) AS y0, greatest(y_min, y_max) AS y1
       FROM xy_ranges WHERE valid AND isfinite(x_min) AND isfinite(x_max) AND isfinite(y_min) AND isfinite(y_max) AND x_min <> x_max AND y_min <> y_max),
 a AS (SELECT *, CAST(floor(x / 15) AS BIGINT) AS cx, CAST(floor(y / 15) AS BIGINT) AS cy FROM t),

@@ -25,8 +25,14 @@ def frame(spark, pts):
 
 def test_near_matches_brute_force(spark):
     pts = cloud(1)
-    got = rows(near_pairs(distinct_positions(frame(spark, pts), "trace_id", "line"), 15.0).distinct())
-    assert got == brute_near(pts, 15.0)
+    assert rows(near_pairs(distinct_positions(frame(spark, pts), "trace_id", "line"), 15.0)) == brute_near(pts, 15.0)
+    # groups as text, where they are too many to be numbered
+    assert rows(near_pairs(distinct_positions(frame(spark, pts), "trace_id", "line", group_rows=0), 15.0)) == brute_near(pts, 15.0)
+
+
+def test_copies_that_disagree_have_one_place(spark):
+    pts = [(1, "a", 0.0, 0.0), (1, "a", 3.0, 0.0), (2, "b", 1.0, 0.0), (2, "c", 1.0, 0.0)]
+    assert rows(near_pairs(distinct_positions(frame(spark, pts), "trace_id", "line"), 15.0)) == [(1, 2)]
 
 
 def test_near_at_the_limit_and_across_cells(spark):
