@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,17 +115,27 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _path(tokenizer_dir: str, name: str) -> str:
-    return f"{tokenizer_dir}/{name}.json"
+def _served(df: DataFrame, tokenizer_dir: str, name: str) -> str:
+    """Has Spark serve a vocabulary file to every executor; returns the name it goes by there."""
+    path, sc = f"{tokenizer_dir}/{name}.json", df.sparkSession.sparkContext
+    served = getattr(sc, "_lithoframe_files", set())
+    if path not in served:
+        sc.addFile(path)
+        sc._lithoframe_files = served | {path}
+    return f"{name}.json"
+
+
+def _here(file: str) -> ByteBpe:
+    return load(SparkFiles.get(file))
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """(id_col, ids array<int>), one row per row of df; null and empty texts have the empty list. Texts are never cut."""
-    path = _path(tokenizer_dir, name)
+    file = _served(df, tokenizer_dir, name)
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = _here(file)
         for batch in batches:
             ids = pa.array([bpe.encode(t) for t in batch.column(1).to_pylist()], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
@@ -134,11 +145,11 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """(id_col, n_tokens bigint), one row per row of df; 0 for null and empty texts."""
-    path = _path(tokenizer_dir, name)
+    file = _served(df, tokenizer_dir, name)
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = _here(file)
         for batch in batches:
             n = pa.array([len(bpe.encode(t)) for t in batch.column(1).to_pylist()], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], names=[id_col, "n_tokens"])
@@ -148,11 +159,11 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """(id_col, text), one row per row of df; a null or empty list has the empty text."""
-    path = _path(tokenizer_dir, name)
+    file = _served(df, tokenizer_dir, name)
     kind = dict(df.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = _here(file)
         for batch in batches:
             text = pa.array([bpe.decode(i) for i in batch.column(1).to_pylist()], type=pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=[id_col, "text"])
