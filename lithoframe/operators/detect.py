@@ -7,7 +7,6 @@ MAX_HEADERS rows of 240 bytes, whatever the file's size.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -63,7 +62,7 @@ def sample_windows(traces: int, wanted: int = 3072) -> list[tuple[int, int]]:
 
 def _commonest_share(steps: np.ndarray) -> float:
     steps = steps[(steps > 0) & (steps <= MAX_STEP)]
-    return max(Counter(steps.tolist()).values()) if len(steps) else 0
+    return int(np.unique(steps, return_counts=True)[1].max()) if len(steps) else 0
 
 
 def field_scores(values: np.ndarray, follows: np.ndarray) -> dict[str, np.ndarray]:
@@ -85,17 +84,23 @@ def field_scores(values: np.ndarray, follows: np.ndarray) -> dict[str, np.ndarra
     return {"score": score, "unique": unique, "changes": changes, "constant": constant}
 
 
+def _runs_of(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of a sorted array starts and ends."""
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    return (np.r_[0, cuts], np.r_[cuts, len(group)]) if len(group) else (np.zeros(0, int), np.zeros(0, int))
+
+
 def pair_metrics(a: np.ndarray, b: np.ndarray, group: np.ndarray, follows: np.ndarray, fallback: tuple[float, float]) -> dict[str, float]:
     """How much two words behave like the axes of a grid. Headers where both are 0 don't count."""
     on = (a != 0) | (b != 0)
-    both = np.stack([a[on], b[on]], 1)
-    distinct = len(np.unique(both, axis=0)) if len(both) else 0
+    pa, pb, g = a[on], b[on], group[on]
+    both = pa << 32 ^ pb & 0xFFFFFFFF  # words of 32 bits, so the pair is one of 64
+    distinct = len(np.unique(both))
     fills = []
-    for g in np.unique(group[on]):
-        part = both[group[on] == g]
-        cells = len(np.unique(part, axis=0))
+    for first, last in zip(*_runs_of(g)):
+        cells = len(np.unique(both[first:last]))
         if cells >= 2:
-            fills.append(min(1.0, cells / (len(np.unique(part[:, 0])) * len(np.unique(part[:, 1])))))
+            fills.append(min(1.0, cells / (len(np.unique(pa[first:last])) * len(np.unique(pb[first:last])))))
     at = np.flatnonzero(follows & on)
     da, db = np.abs(a[at] - a[at - 1]), np.abs(b[at] - b[at - 1])
     alone = (da > 0) != (db > 0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.runtime import broadcast_if_small, finite
@@ -16,32 +16,23 @@ from lithoframe.runtime import broadcast_if_small, finite
 #: Cell sizes of the coverage grow by this factor from level to level.
 LEVEL_FACTOR = 4
 #: Stands for a null group, so that group is a plain join key and all joins share one exchange.
-NO_GROUP, NUMBERLESS = "\0", 0
-#: So many groups at most are numbered, by a table that is broadcast.
-BROADCAST_GROUP_ROWS = 100_000
+NO_GROUP = "\0"
 #: A coverage of at most so many rows (about 10 MB as a hash table) is broadcast.
 BROADCAST_COVER_ROWS = 100_000
 
 
-def distinct_positions(df: DataFrame, id_col: str, group_col: str, x: str = "x", y: str = "y", valid: str | None = "valid", group_rows: int = BROADCAST_GROUP_ROWS) -> DataFrame:
+def distinct_positions(df: DataFrame, id_col: str, group_col: str, x: str = "x", y: str = "y", valid: str | None = "valid") -> DataFrame:
     """The located points (id, grp, x, y), each id once.
 
     Rows whose id is null, whose `valid` isn't true or whose position isn't finite have no place and
-    are left out. If copies of an id disagree, the one that sorts first (by group, x, y) stands. grp is
-    a number where there are at most `group_rows` groups, which are then told to all tasks, else the
-    group itself as text; a point without a group has NUMBERLESS or NO_GROUP.
+    are left out. If copies of an id disagree, the one that sorts first (by group, x, y) stands. A
+    caller that asks more than one question writes them out once (runtime.durable).
     """
     keep = finite(F.col(x)) & finite(F.col(y)) & F.col(id_col).isNotNull()
     if valid:
         keep = keep & F.col(valid)
-    rows = df.where(keep).select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    groups = df.where(F.col(group_col).isNotNull()).select(F.col(group_col).cast("string").alias("g")).distinct()
-    if groups.limit(group_rows + 1).count() <= group_rows:
-        numbers = groups.select("g", F.row_number().over(Window.orderBy("g")).alias("grp"))
-        rows = rows.join(F.broadcast(numbers), "g", "left").select("id", F.coalesce("grp", F.lit(NUMBERLESS)).alias("grp"), "x", "y")
-    else:
-        rows = rows.select("id", F.coalesce("g", F.lit(NO_GROUP)).alias("grp"), "x", "y")
-    return rows.groupBy("id").agg(F.min(F.struct("grp", "x", "y")).alias("p")).select("id", "p.*")
+    place = F.struct(F.coalesce(F.col(group_col).cast("string"), F.lit(NO_GROUP)).alias("grp"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return df.where(keep).groupBy(F.col(id_col).alias("id")).agg(F.min(place).alias("p")).select("id", "p.*")
 
 
 def blocks_of(points: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
@@ -78,8 +69,7 @@ def near_pairs(points: DataFrame, distance: float, cell: float | None = None) ->
     far = lambda k: F.greatest(F.col(f"a_{k}1") - F.col(f"b_{k}0"), F.col(f"b_{k}1") - F.col(f"a_{k}0"))
     limit = distance * distance
     # Of both sides at once: a filter on one would sink below the shared exchange and split it in two.
-    none = F.lit(NO_GROUP if dict(points.dtypes)["grp"] == "string" else NUMBERLESS)
-    known = (F.least("a_grp", "b_grp") != none) & (F.greatest("a_grp", "b_grp") != none)
+    known = (F.least("a_grp", "b_grp") != NO_GROUP) & (F.greatest("a_grp", "b_grp") != NO_GROUP)
     met = (
         home.join(spread, ["a_cx", "a_cy"])
         .where((F.col("a_grp") < F.col("b_grp")) & known & (gap("x") * gap("x") + gap("y") * gap("y") <= limit * (1 + 1e-9)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators.proximity import containing_ranges, distinct_positions, near_pairs, normal_ranges
 from lithoframe.operators.units import common_units, units_sql
-from lithoframe.runtime import table
+from lithoframe.runtime import durable, table
 
 #: Metres within which traces of two lines count as near.
 NEAR_M = 15.0
@@ -17,7 +17,7 @@ CELL_M = 64.0
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, id_a, id_b: traces of different lines at most 15 m apart, and traces inside rectangles."""
-    points = distinct_positions(table(spark, sf_dir, "trajectory"), "trace_id", "line")
+    points = durable(distinct_positions(table(spark, sf_dir, "trajectory"), "trace_id", "line"))  # both joins read them
     ranges = normal_ranges(table(spark, sf_dir, "xy_ranges"))
     near = near_pairs(points, NEAR_M, CELL_M).select(F.lit("near").alias("kind"), "id_a", "id_b")
     inside = containing_ranges(points, ranges, CELL_M).select(F.lit("inside").alias("kind"), "id_a", "id_b")

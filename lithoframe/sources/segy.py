@@ -293,17 +293,21 @@ class SegyReader(DataSourceReader):
             raise ValueError(f"no sample in {self.sample_start}..{self.sample_end} of {at.count}")
         return a, b
 
+    def _cut(self, at: Layout, first: int, n: int, a: int, b: int) -> np.ndarray:
+        """The bytes of samples a..b of traces, as rows; the file is mapped, so of a narrow window only its pages are read."""
+        mapped = np.memmap(at.path, np.uint8, "r", at.data_start + first * at.trace_bytes, (n * at.trace_bytes,))
+        return np.array(mapped.reshape(n, at.trace_bytes)[:, 240 + a * at.width : 240 + (b + 1) * at.width])
+
     def _samples(self, at: Layout, first: int, n: int) -> Iterator[pa.RecordBatch]:
         a, b = self._window(at)
-        data = np.ascontiguousarray(self._blocks(at, first, n)[:, 240 + a * at.width : 240 + (b + 1) * at.width])
-        values = decode_samples(data.tobytes(), at.code, at.little)
+        values = decode_samples(self._cut(at, first, n, a, b).tobytes(), at.code, at.little)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * (b - a + 1), b - a + 1, dtype=np.int32)), pa.array(values))
         yield pa.RecordBatch.from_arrays([pa.array([at.path] * n), pa.array(np.arange(first, first + n)), lists], names=["path", "trace_number", "samples"])
 
     def _raw(self, at: Layout, first: int, n: int) -> Iterator[pa.RecordBatch]:
         a, b = self._window(at)
-        blocks = self._blocks(at, first, n)
-        yield pa.RecordBatch.from_arrays([pa.array([at.path] * n), pa.array(np.arange(first, first + n)), pa.array([t[:240].tobytes() for t in blocks], pa.binary()), pa.array([t[240 + a * at.width : 240 + (b + 1) * at.width].tobytes() for t in blocks], pa.binary())], names=["path", "trace_number", "header", "raw_samples"])
+        heads, data = self._heads(at, first, n), self._cut(at, first, n, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([at.path] * n), pa.array(np.arange(first, first + n)), pa.array([h.tobytes() for h in heads], pa.binary()), pa.array([d.tobytes() for d in data], pa.binary())], names=["path", "trace_number", "header", "raw_samples"])
 
 
 def register(spark: SparkSession) -> None:

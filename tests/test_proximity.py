@@ -26,8 +26,6 @@ def frame(spark, pts):
 def test_near_matches_brute_force(spark):
     pts = cloud(1)
     assert rows(near_pairs(distinct_positions(frame(spark, pts), "trace_id", "line"), 15.0)) == brute_near(pts, 15.0)
-    # groups as text, where they are too many to be numbered
-    assert rows(near_pairs(distinct_positions(frame(spark, pts), "trace_id", "line", group_rows=0), 15.0)) == brute_near(pts, 15.0)
 
 
 def test_copies_that_disagree_have_one_place(spark):
