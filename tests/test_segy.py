@@ -5,7 +5,7 @@ import pytest
 
 from lithoframe.sources import sink
 from lithoframe.sources.segy import open_layout, register, segy_paths
-from lithoframe.sources.words import SAMPLE_BYTES, decode_samples, encode_samples, float_to_ibm, ibm_to_float, text_encoding
+from lithoframe.sources.words import SAMPLE_BYTES, decode_samples, decode_text, encode_samples, float_to_ibm, ibm_to_float, text_encoding
 
 
 def make(path, traces=8, ns=16, code=5, little=False, dt=2000, extended=0, text="ascii", change=None):
@@ -142,3 +142,60 @@ def test_gather_list(spark, data, tmp_path):
     assert g.columns == sink.GATHER_COLUMNS and g.agg({"position": "min"}).collect()[0][0] == 1
     sink.write_report(g, str(tmp_path / "g"))
     assert spark.read.option("header", True).csv(str(tmp_path / "g")).count() == g.count()
+
+
+def patched(path, *words, order="big"):
+    raw = bytearray(path.read_bytes())
+    for byte, width, v in words:
+        raw[byte - 1 : byte - 1 + width] = (v & ((1 << 8 * width) - 1)).to_bytes(width, order)
+    path.write_bytes(bytes(raw))
+
+
+def test_typed_headers_and_warnings(spark, tmp_path):
+    path = tmp_path / "a.sgy"
+    own = {1: (4, 101), 41: (4, 1250), 45: (4, -500), 49: (4, 200), 69: (2, -10), 71: (2, 10), 73: (4, 100), 89: (2, 7), 115: (2, 15), 117: (2, 4000), 181: (4, 500), 197: (4, 1234), 201: (2, -10)}
+    make(path, change=lambda t: own if t == 1 else {})
+    patched(path, (3205, 4, -77), (3501, 2, 0x0100))
+    reel = read(spark, path, "reel").collect()[0]
+    assert reel["line_number"] == -77 and (reel["revision_major"], reel["revision_minor"]) == (1, 0) and len(reel["raw"]) == 400
+    assert len(reel["warnings"]) == 1 and "fixed" in reel["warnings"][0]
+    patched(path, (3503, 2, 1), (3507, 4, 2))
+    assert ["additional" in w for w in read(spark, path, "reel").collect()[0]["warnings"]] == [True]
+    t = {r["trace_number"]: r for r in read(spark, path, "traces").collect()}
+    one = t[1]
+    assert (one["trace_in_line"], one["receiver_elevation"], one["surface_elevation"], one["source_depth"], one["source_x"], one["cdp_x"]) == (101, 125.0, -50.0, 20.0, 1000.0, 5000.0)
+    assert abs(one["shotpoint_number"] - 123.4) < 1e-9 and len(one["raw"]) == 240 and t[0]["warnings"] == []
+    assert [w.split()[0] for w in one["warnings"]] == ["15", "interval", "unknown"]
+    from lithoframe.operators.display import interpreted
+
+    words = {(r["trace_number"], r["name"]): r for r in interpreted(read(spark, path, "trace_headers")).collect()}
+    assert words[1, "receiver_elevation"]["scaled"] == 125.0 and words[0, "source_x"]["shown_unit"] == "length" and words[1, "coordinate_units"]["meaning"] == "unknown"
+    named = {r["name"]: r for r in interpreted(read(spark, path, "binary_header")).collect()}
+    assert named["revision"]["meaning"] == "1.0" and named["format_code"]["meaning"] == "IEEE float32" and named["sample_interval_us"]["shown_unit"] == "us"
+
+
+def test_text_headers_are_decoded_as_told():
+    card = "".join(f"C {i:2d} EBCDIC".ljust(80) for i in range(40))
+    raw = card.encode("cp037")
+    assert text_encoding(raw) == "ebcdic-cp037" and decode_text(raw) == decode_text(raw, "ebcdic-cp037") and "".join(decode_text(raw)) == card
+    assert decode_text(raw, "ascii")[0].startswith("Ã@@ð@") and decode_text(b"\x81" * 3200, "ascii")[0] == "�" * 80 and decode_text(b"\0\r\n\t" * 800, "ascii") == [" " * 80] * 40
+    for bad in ((raw[:-1], None), (raw, "utf-8")):
+        with pytest.raises(ValueError):
+            decode_text(*bad)
+
+
+def test_layouts_that_cannot_be(spark, tmp_path):
+    path = tmp_path / "a.sgy"
+    make(path, traces=2)
+    patched(path, (3505, 2, 20_000))
+    assert open_layout(str(path)).data_start == 3600 and open_layout(str(path)).traces == 2
+    with pytest.raises(Exception, match="exceed"):
+        read(spark, path, "text_headers").collect()
+    patched(path, (3505, 2, 500))
+    with pytest.raises(ValueError, match="would start"):
+        open_layout(str(path))
+    patched(path, (3505, 2, -1))
+    assert open_layout(str(path)).extended == 0 and any("end marks" in w for w in read(spark, path, "reel").collect()[0]["warnings"])
+    patched(path, (3505, 2, 0), (3221, 2, 60_000))
+    with pytest.raises(ValueError, match="no whole trace"):
+        open_layout(str(path))
