@@ -113,7 +113,8 @@ def match(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = keys.groupBy("key").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
     known = durable(keys.join(counts, "key"))
     ka, kb = known.where("side = 'a'"), known.where("side = 'b'")
-    unique = ka.where("na = 1 AND nb = 1").select("key", F.col("ord").alias("a"), "rank").join(kb.where("na = 1 AND nb = 1").select("key", F.col("ord").alias("b")), "key").select("a", "rank", "b")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("ord")))
+    unique = durable(known.where("na = 1 AND nb = 1").groupBy("key").agg(of("a").alias("a"), F.max("rank").alias("rank"), of("b").alias("b")).select("a", "rank", "b"))
     tentative = durable(_serial(unique))
     lost = ka.join(tentative.select(F.col("a").alias("ord")), "ord", "left_anti")
     group = lost.where("nb >= 1 AND (na > 1 OR nb > 1)").select("key").distinct()
